@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from textloom.llm import catalog_native, catalog_tokens
+from textloom.llm import catalog_groups, catalog_native, catalog_tokens
 
-QUERIES = {**catalog_native.QUERIES, **catalog_tokens.QUERIES}
+QUERIES = {**catalog_native.QUERIES, **catalog_tokens.QUERIES, **catalog_groups.QUERIES}
 ORACLES = {**catalog_native.ORACLES}
