@@ -5,4 +5,4 @@ from __future__ import annotations
 from textloom.llm import catalog_groups, catalog_native, catalog_tokens
 
 QUERIES = {**catalog_native.QUERIES, **catalog_tokens.QUERIES, **catalog_groups.QUERIES}
-ORACLES = {**catalog_native.ORACLES}
+ORACLES = {**catalog_native.ORACLES, **catalog_groups.ORACLES}
