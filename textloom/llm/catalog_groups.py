@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from textloom.functions.runtime import table
-from textloom.llm import line_dedup, near_dup
+from textloom.llm import ann, line_dedup, near_dup
+
+
+def op1_multiprobe(spark, sf_dir):
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
 
 def op2_line_dedup(spark, sf_dir):
@@ -23,7 +27,7 @@ def op10_near_dup(spark, sf_dir):
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"), width=2, similarity=80)
 
 
-QUERIES = {"op2_line_dedup": op2_line_dedup, "op10_near_dup": op10_near_dup}
+QUERIES = {"op1_multiprobe": op1_multiprobe, "op2_line_dedup": op2_line_dedup, "op10_near_dup": op10_near_dup}
 
 ORACLES = {
     "op2_line_dedup": r"""
