@@ -1,58 +1,30 @@
 """Byte-level BPE by one global shuffle of distinct words.
 
-Encoding goes in three steps.
-
-1. Explode. Where texts are scanned, runs of documents (chunks) are split into pre-tokens.
-   A chunk numbers its distinct words and writes one row for each, and in place of its
-   texts the numbers in order of position, compressed, in blocks of whole documents.
-2. Encode. Words are shuffled by their bytes, so that all rows of a word meet in one place
-   in one run, and each distinct word of the corpus is encoded once.
-3. Reassemble. Ids go back by chunk, where the blocks' numbers are replaced by the ids of
-   their words, position by position.
-
-What is shuffled is a word for each chunk that holds it and about two bytes a position. A
-chunk is bounded by its number of positions, except that a document is never split. A hot
-word has one row a chunk. The partitions of the scan make the chunks, so ``docs`` should
-be a table as it is read; rows are never matched by id, so ids may repeat.
-
+Pre-tokens are exploded with their positions, each distinct one of the corpus is encoded
+once, and ids are joined back and reassembled by position, as ``distinct_words`` tells.
 Decoding joins ids with the token-byte table, whose size is that of the vocabulary.
 
-Defined results: null texts are empty and have no ids; null ids of documents stay null;
-columns besides ``doc_id`` and ``text`` are not read; an empty table gives an empty
-result; null or empty id lists decode to empty; an id outside the table is an error.
+Defined results: null texts are empty and have no ids; null ids of documents stay null and
+ids may repeat; columns besides ``doc_id`` and ``text`` are not read; an empty table gives
+an empty result; null or empty id lists decode to empty; an id outside the table is an error.
 """
 
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401  makes pa.compute
 import regex
-import zstandard
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.pieces import cut, once, read_vocabulary, strings
+from textloom.llm.distinct_words import encode_words, take_runs
+from textloom.llm.pieces import cut, once, read_vocabulary
 from textloom.llm.token_counts import PRE_TOKENS
-from textloom.llm.token_files import take_runs
-
-#: Positions after which a chunk ends, and a block inside it.
-CHUNK, BLOCK = 4_000_000, 250_000
-_EXPLODED = pa.schema(
-    [
-        ("word", pa.binary()),
-        ("chunk", pa.int64()),
-        ("slot", pa.int32()),
-        ("doc_ids", pa.list_(pa.int64())),
-        ("counts", pa.list_(pa.int32())),
-        ("payload", pa.binary()),
-    ]
-)
-_EXPLODED_SQL = "word binary, chunk long, slot int, doc_ids array<long>, counts array<int>, payload binary"
 
 
 def read_ranks(blob: bytes) -> dict[bytes, int]:
@@ -60,166 +32,22 @@ def read_ranks(blob: bytes) -> dict[bytes, int]:
     return {base64.b64decode(a): int(b) for a, b in map(bytes.split, blob.splitlines()) if a}
 
 
-def _encoding(blob: bytes):
-    import tiktoken
-
-    return tiktoken.Encoding("words", pat_str=PRE_TOKENS, mergeable_ranks=read_ranks(blob), special_tokens={})
-
-
-def pack(numbers: np.ndarray) -> bytes:
-    """Compress small numbers: byte planes, lowest first, then zstd."""
-    planes = numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T
-    return zstandard.compress(planes.tobytes(), 3)
-
-
-def unpack(payload: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.decompress(payload), np.uint8).reshape(4, -1)
-    return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
-
-
-class _Chunk:
-    """Distinct words and pieces of the documents read since the last chunk ended."""
-
-    def __init__(self, find):
-        self.find = find
-        self.slots: dict[str, int] = {}
-        self.plain: dict[str, int] = {}
-        self.blank: dict[str, int] = {}
-        self.words: list[int] = []
-        self.ends = [0]
-        self.positions = self.block = 0
-        self._new_block()
-
-    def _new_block(self) -> None:
-        self.ids, self.sizes, self.pieces = [], [], []
-
-    def _piece(self, memo: dict[str, int], key: str, piece: str) -> int:
-        slots = self.slots
-        self.words.extend([slots.setdefault(w, len(slots)) for w in self.find(piece)])
-        self.ends.append(len(self.words))
-        memo[key] = at = len(self.ends) - 2
-        return at
-
-    def add(self, doc_id: int | None, text: str) -> None:
-        whole, parts = cut(text)
-        at = [self.plain[p] if p in self.plain else self._piece(self.plain, p, p) for p in whole]
-        blank = self.blank
-        try:
-            at.extend(map(blank.__getitem__, parts))
-        except KeyError:
-            del at[len(whole) :]
-            at.extend([blank[p] if p in blank else self._piece(blank, p, " " + p) for p in parts])
-        self.ids.append(doc_id)
-        self.sizes.append(len(at))
-        self.pieces.append(np.array(at, np.int64))
-
-    def close_block(self, chunk: int) -> dict:
-        self.block -= 1
-        at = np.concatenate(self.pieces) if self.pieces else np.zeros(0, np.int64)
-        numbers, ends = take_runs(np.array(self.words, np.int64), np.array(self.ends, np.int64), at)
-        counts = np.diff(ends[np.concatenate([[0], np.cumsum(self.sizes)])])
-        row = {
-            "word": b"\0%d" % (chunk * 1000 - self.block),
-            "chunk": chunk,
-            "slot": self.block,
-            "doc_ids": self.ids,
-            "counts": counts,
-            "payload": pack(numbers),
-        }
-        self.positions += len(numbers)
-        self._new_block()
-        return row
-
-    def word_rows(self, chunk: int) -> Iterator[pa.RecordBatch]:
-        words = pa.array([w.encode("utf-8") for w in self.slots], pa.binary())
-        for start in range(0, len(words), 10_000):
-            part = words.slice(start, 10_000)
-            n = len(part)
-            yield pa.record_batch(
-                [
-                    part,
-                    pa.array(np.full(n, chunk), pa.int64()),
-                    pa.array(np.arange(start, start + n), pa.int32()),
-                    pa.nulls(n, pa.list_(pa.int64())),
-                    pa.nulls(n, pa.list_(pa.int32())),
-                    pa.nulls(n, pa.binary()),
-                ],
-                schema=_EXPLODED,
-            )
-
-
-def _explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _splitter() -> tuple[Callable, tuple[Callable, Callable]]:
     find = regex.compile(PRE_TOKENS).findall
-    number = TaskContext.get().partitionId() << 32
-    chunk, waiting = _Chunk(find), 0
-    row = lambda: pa.RecordBatch.from_pylist([chunk.close_block(number)], schema=_EXPLODED)
-    for batch in batches:
-        for doc_id, text in zip(batch.column(0).to_pylist(), strings(batch.column(1))):
-            chunk.add(doc_id, text)
-            waiting += chunk.sizes[-1] + 1
-            if waiting >= BLOCK:
-                yield row()
-                waiting = 0
-                if chunk.positions >= CHUNK:
-                    yield from chunk.word_rows(number)
-                    number += 1
-                    chunk = _Chunk(find)
-    if chunk.ids:
-        yield row()
-    yield from chunk.word_rows(number)
+    return cut, (lambda p: [w.encode() for w in find(p)], lambda p: [w.encode() for w in find(" " + p)])
 
 
-def _encode_words(blob):
-    """Replace the word of each row by its ids; equal words follow each other."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = once("word ids", blob.value, _encoding).encode_ordinary
-        last, packed = None, b""
-        for batch in batches:
-            out = []
-            for word, slot in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
-                if slot < 0:
-                    out.append(None)
-                    continue
-                if word != last:
-                    last, packed = word, np.array(encode(word.decode("utf-8")), "<u4").tobytes()
-                out.append(packed)
-            yield pa.record_batch([pa.array(out, pa.binary()), *batch.columns[1:]], schema=_EXPLODED)
-
-    return run
-
+def _encoder(blob: bytes) -> Callable[[bytes], bytes]:
+    import tiktoken
 
-def _reassemble(chunk: pa.Table) -> pa.Table:
-    """Ids of a chunk's documents from its words' ids and its blocks."""
-    slots = chunk["slot"].to_numpy()
-    is_word = slots >= 0
-    words = chunk["word"].filter(pa.array(is_word)).to_pylist()
-    order = np.argsort(slots[is_word], kind="stable")
-    words = [words[i] for i in order]
-    flat = np.frombuffer(b"".join(words), "<u4").astype(np.int32)
-    ends = np.concatenate([[0], np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) // 4)])
-    docs, ids, sizes = [], [], []
-    for block in chunk.filter(pa.array(~is_word)).select(["doc_ids", "counts", "payload"]).to_pylist():
-        numbers = unpack(block["payload"])
-        got, at = take_runs(flat, ends, numbers)
-        docs += block["doc_ids"]
-        ids.append(got)
-        sizes.append(np.diff(at[np.concatenate([[0], np.cumsum(block["counts"])]).astype(np.int64)]))
-    ids = np.concatenate(ids) if ids else np.zeros(0, np.int32)
-    sizes = np.concatenate(sizes) if sizes else np.zeros(0, np.int64)
-    bounds = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
-    lists = pa.ListArray.from_arrays(bounds, pa.array(ids, pa.int32()))
-    return pa.table([pa.array(docs, pa.int64()), lists], ["doc_id", "ids"])
+    ranks = read_ranks(blob)
+    encode = tiktoken.Encoding("words", pat_str=PRE_TOKENS, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    return lambda word: array("i", encode(word.decode("utf-8"))).tobytes()
 
 
 def encode(docs: DataFrame, vocabulary: str) -> DataFrame:
     """doc_id, ids (array<int>) for every row of ``docs``."""
-    blob = docs.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary))
-    exploded = docs.select("doc_id", "text").mapInArrow(_explode, _EXPLODED_SQL)
-    encoded = (
-        exploded.repartition("word").sortWithinPartitions("word").mapInArrow(_encode_words(blob), _EXPLODED_SQL)
-    )
-    return encoded.groupBy("chunk").applyInArrow(_reassemble, "doc_id long, ids array<int>")
+    return encode_words(docs, _splitter, _encoder, vocabulary)
 
 
 class _TokenBytes:
