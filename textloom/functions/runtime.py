@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,3 +36,12 @@ def materialize(df: DataFrame) -> DataFrame:
     """
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def small_enough(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, materialized, and marked for broadcast if it has at most ``rows`` rows.
+
+    For narrow frames that are joined with wide ones; with more rows the join shuffles.
+    """
+    df = materialize(df)
+    return F.broadcast(df) if df.count() <= rows else df
