@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from textloom.functions.runtime import table
-from textloom.llm import ann, line_dedup, near_dup
+from textloom.llm import ann, line_dedup, near_dup, resampling
 
 
 def op1_multiprobe(spark, sf_dir):
@@ -23,11 +23,15 @@ def op2_line_dedup(spark, sf_dir):
     )
 
 
+def op5_resampling(spark, sf_dir):
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_near_dup(spark, sf_dir):
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"), width=2, similarity=80)
 
 
-QUERIES = {"op1_multiprobe": op1_multiprobe, "op2_line_dedup": op2_line_dedup, "op10_near_dup": op10_near_dup}
+QUERIES = {"op1_multiprobe": op1_multiprobe, "op2_line_dedup": op2_line_dedup, "op5_resampling": op5_resampling, "op10_near_dup": op10_near_dup}
 
 ORACLES = {
     "op2_line_dedup": r"""
