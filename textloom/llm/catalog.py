@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from textloom.llm import catalog_groups, catalog_native, catalog_tokens
 
-QUERIES = {**catalog_native.QUERIES, **catalog_tokens.QUERIES, **catalog_groups.QUERIES}
+QUERIES = {**catalog_native.QUERIES, **catalog_tokens.QUERIES, **catalog_groups.QUERIES, "pipeline": corpus_pipeline.run}
 ORACLES = {**catalog_native.ORACLES, **catalog_groups.ORACLES}

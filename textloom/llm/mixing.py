@@ -91,25 +91,20 @@ def _copies(slim: DataFrame, seed: str, max_copies: int, **options) -> DataFrame
     return at.withColumn("copies", copies.cast("long")).drop("_row", "_step", "_u")
 
 
-def mix_documents(docs: DataFrame, **options) -> DataFrame:
+def mix_documents(docs: DataFrame, max_copies: int = 3, **options) -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it.
 
-    Rows that share id, source and size may have different numbers of copies; the plan is
-    joined back on these and the running number among them, so every row finds its own.
+    Rows that share id, source and size may get different numbers of copies. The plan is
+    joined back as a count of rows for each number of copies, and the rows of a key, in
+    order of a hash of their text, are dealt these numbers; rows are shuffled once.
     """
-    twin = Window.partitionBy("doc_id", "source", "size").orderBy(F.lit(0))
-    plan = plan_mix(docs, **options).withColumn("_twin", F.row_number().over(twin))
-    plan = plan.where("copies > 0").select(
-        F.col("doc_id").alias("_i"), F.col("source").alias("_s"), F.col("size").alias("_z"), "_twin", "copies"
-    )
-    whole = docs.withColumn("_size", word_count(F.col("text")))
-    own = Window.partitionBy("doc_id", "source", "_size").orderBy("text")
-    whole = whole.withColumn("_own", F.row_number().over(own))
-    same = (
-        whole["doc_id"].eqNullSafe(plan["_i"])
-        & whole["source"].eqNullSafe(plan["_s"])
-        & (whole["_size"] == plan["_z"])
-        & (whole["_own"] == plan["_twin"])
-    )
-    taken = whole.join(plan, same).withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-    return taken.select(*[taken[c] for c in docs.columns])
+    key = lambda size: F.struct("doc_id", "source", size.alias("size"))
+    plan = plan_mix(docs, max_copies=max_copies, **options)
+    some = [F.count_if(F.col("copies") >= c).alias(f"_at_least_{c}") for c in range(1, max_copies + 1)]
+    plan = plan.where("copies > 0").groupBy(key(F.col("size")).alias("_key")).agg(*some)
+    whole = docs.withColumn("_key", key(word_count(F.col("text"))))
+    own = Window.partitionBy("_key").orderBy(F.xxhash64("text"))
+    joined = whole.withColumn("_own", F.row_number().over(own)).join(plan, "_key")
+    copies = sum((F.col("_own") <= F.col(f"_at_least_{c}")).cast("int") for c in range(1, max_copies + 1))
+    taken = joined.withColumn("_n", copies).where("_n > 0").withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_n"))))
+    return taken.select(*docs.columns)

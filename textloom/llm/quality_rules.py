@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.functions.runtime import materialize
+from textloom.functions.runtime import materialize, small_enough
 from textloom.llm.text import SPACES, words
 
 SYMBOLS = "#*$%&|<>"
@@ -34,6 +34,8 @@ RULES = BASE | {
     "dup_lines": "10 * n_dup_lines > 3 * n_lines",
     "long_words": "n_words > 0 AND word_chars > 12 * n_words",
 }
+#: Hosts up to which the accepted ones are sent to all tasks; beyond it they are joined.
+FEW_HOSTS = 100_000
 #: Bounds of the prior's weight, in documents.
 MIN_WEIGHT, MAX_WEIGHT = 1.0, 1e6
 
@@ -142,7 +144,7 @@ def keep_passing(docs: DataFrame, host: str = "source", max_rate: float = 0.5) -
     shuffled nor ids have to be unique.
     """
     verdict = host_verdicts(materialize(measures(docs, host)), max_rate)
-    good = verdict.where("host_ok").select(F.col("host").alias("_host"))
+    good = small_enough(verdict.where("host_ok").select(F.col("host").alias("_host")), FEW_HOSTS)
     return docs.where(passes_base(F.col("text"))).join(
         good, docs[host].eqNullSafe(good["_host"]), "left_semi"
     )
