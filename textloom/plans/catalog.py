@@ -1,4 +1,680 @@
-"""Registered queries of the retrieval operators."""
+"""Registered queries of the retrieval operators, each beside its SQL oracle.
+
+A query takes (spark, sf_dir) and reads whole tables. Array results are joined to strings,
+and floating-point results rounded to six places, for comparison between engines.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from textloom.functions import tokens as T
+from textloom.functions.runtime import table
+from textloom.functions.strings import common_prefix, occurrences, replace_between, rotate_left
+from textloom.operators import bm25, boolean, encodings, indexbuild, vectors, wildcard, zones
+from textloom.plans import sql
+from textloom.sources import fb2
 
 QUERIES: dict = {}
 ORACLES: dict = {}
+
+
+def query(name: str, oracle: str | None = None):
+    """Register a function (spark, sf_dir) under a name."""
+
+    def add(make):
+        QUERIES[name] = make
+        if oracle:
+            ORACLES[name] = oracle
+        return make
+
+    return add
+
+
+def documents(spark, sf_dir):
+    return table(spark, sf_dir, "documents")
+
+
+def joined(array):
+    return F.array_join(F.transform(array, lambda x: x.cast("string")), ",")
+
+
+# Tokenization
+
+for _name, _profile in {"strict": T.STRICT, "loose": T.LOOSE, "simple": T.SIMPLE, "latin": T.LATIN}.items():
+
+    @query(f"tok_{_name}_tf", f"SELECT doc_id, word, count(*) AS tf FROM ({sql.words(_profile)}) GROUP BY ALL")
+    def _tf(spark, sf_dir, profile=_profile):
+        return T.term_frequencies(documents(spark, sf_dir), profile)
+
+
+@query("tok_author", sql.words(T.AUTHOR, text="source"))
+def tok_author(spark, sf_dir):
+    return T.tokens(documents(spark, sf_dir), T.AUTHOR, text="source")
+
+
+@query("tok_genre", sql.words(T.GENRE, text="lang"))
+def tok_genre(spark, sf_dir):
+    return T.tokens(documents(spark, sf_dir), T.GENRE, text="lang")
+
+
+@query("tok_pages_loose", f"SELECT word, count(*) AS tf FROM ({sql.words(T.LOOSE, 'pages', 'html', 'page_id')}) GROUP BY ALL")
+def tok_pages_loose(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    return T.tokens(pages, T.LOOSE, text="html", doc_id="page_id").groupBy("word").agg(F.count(F.lit(1)).alias("tf"))
+
+
+# Boolean retrieval
+
+_SIMPLE = f"WITH p AS (SELECT DISTINCT doc_id, word FROM ({sql.words(T.SIMPLE)})) "
+
+
+def simple_index(spark, sf_dir, **options):
+    return boolean.BooleanIndex.build(documents(spark, sf_dir), T.SIMPLE, **options)
+
+
+@query(
+    "dict_fill_stats",
+    f"""SELECT d.doc_id, coalesce(n, 0) AS words, strlen(text)::BIGINT AS bytes FROM documents d
+    LEFT JOIN (SELECT doc_id, count(*) AS n FROM ({sql.words(T.SIMPLE)}) GROUP BY doc_id) w USING (doc_id)""",
+)
+def dict_fill_stats(spark, sf_dir):
+    return boolean.fill_stats(documents(spark, sf_dir))
+
+
+@query(
+    "dict_fill_totals",
+    f"""SELECT count(*) AS words, count(DISTINCT word) AS dictionary,
+    (SELECT sum(strlen(text))::BIGINT FROM documents) AS bytes FROM ({sql.words(T.SIMPLE)})""",
+)
+def dict_fill_totals(spark, sf_dir):
+    return boolean.fill_totals(documents(spark, sf_dir))
+
+
+@query("dict_size", f"SELECT count(DISTINCT word) AS n FROM ({sql.words(T.SIMPLE)})")
+def dict_size(spark, sf_dir):
+    return simple_index(spark, sf_dir).size()
+
+
+@query(
+    "bool_postings",
+    _SIMPLE + "SELECT word, count(*) AS df, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) AS docs FROM p GROUP BY word",
+)
+def bool_postings(spark, sf_dir):
+    lists = boolean.nested(simple_index(spark, sf_dir).postings)
+    return lists.select("word", F.size("doc_ids").cast("long").alias("df"), joined("doc_ids").alias("docs"))
+
+
+@query("bool_lookup", _SIMPLE + "SELECT doc_id FROM p WHERE word = 'that'")
+def bool_lookup(spark, sf_dir):
+    return simple_index(spark, sf_dir).lookup("That")
+
+
+@query("bool_names", _SIMPLE + "SELECT doc_id, doc_id::VARCHAR AS name FROM p WHERE word = 'that'")
+def bool_names(spark, sf_dir):
+    index = simple_index(spark, sf_dir)
+    return index.names(index.lookup("that"))
+
+
+@query("bool_and", _SIMPLE + "SELECT doc_id FROM p WHERE word IN ('the', 'that') GROUP BY doc_id HAVING count(*) = 2")
+def bool_and(spark, sf_dir):
+    return simple_index(spark, sf_dir).all_of("the", "that", "the")
+
+
+@query("bool_and_missing", _SIMPLE + "SELECT doc_id FROM p WHERE false")
+def bool_and_missing(spark, sf_dir):
+    return simple_index(spark, sf_dir).all_of("the", "no such word")
+
+
+@query("bool_or", _SIMPLE + "SELECT DISTINCT doc_id FROM p WHERE word IN ('the', 'that')")
+def bool_or(spark, sf_dir):
+    return simple_index(spark, sf_dir).any_of("the", "that")
+
+
+@query("bool_not", _SIMPLE + "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM p WHERE word = 'the')")
+def bool_not(spark, sf_dir):
+    return simple_index(spark, sf_dir).none_of("the")
+
+
+
+
+def _set(operator):
+    return _SIMPLE + f"SELECT doc_id FROM p WHERE word = 'the' {operator} SELECT doc_id FROM p WHERE word = 'that'"
+
+
+
+@query("bool_and_not", _set("EXCEPT"))
+def bool_and_not(spark, sf_dir):
+    index = simple_index(spark, sf_dir)
+    return boolean.difference(index.lookup("the"), index.lookup("that"))
+
+
+@query("bool_set_union", _set("UNION"))
+def bool_set_union(spark, sf_dir):
+    index = simple_index(spark, sf_dir)
+    return boolean.union(index.lookup("the"), index.lookup("that"))
+
+
+@query("bool_set_intersect", _set("INTERSECT"))
+def bool_set_intersect(spark, sf_dir):
+    index = simple_index(spark, sf_dir)
+    return boolean.intersect(index.lookup("the"), index.lookup("that"))
+
+
+@query("bool_count", _SIMPLE + "SELECT count(*) AS n FROM p WHERE word = 'the'")
+def bool_count(spark, sf_dir):
+    return simple_index(spark, sf_dir).lookup("the").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "bool_add",
+    _SIMPLE + "SELECT doc_id FROM (SELECT * FROM p UNION SELECT turn * 0 - conv_id - 1, role FROM conversations) WHERE word = 'user'",
+)
+def bool_add(spark, sf_dir):
+    more = table(spark, sf_dir, "conversations").select((-F.col("conv_id") - 1).alias("doc_id"), F.col("role").alias("word"))
+    return simple_index(spark, sf_dir).add(more).lookup("user")
+
+
+_PAIRS = f"""WITH w AS (SELECT doc_id, {sql.word_list(T.STRICT)} AS ws FROM documents),
+p AS (SELECT DISTINCT doc_id, ws[i] || ' ' || ws[i + 1] AS pair FROM (SELECT doc_id, ws, unnest(range(1, len(ws))) AS i FROM w)) """
+
+
+@query("bool_phrase", _PAIRS + "SELECT doc_id FROM p WHERE pair = 'of the'")
+def bool_phrase(spark, sf_dir):
+    return boolean.BooleanIndex.build(documents(spark, sf_dir), T.STRICT).phrase("Of  the")
+
+
+@query("bool_phrase_three", _PAIRS + "SELECT doc_id FROM p WHERE pair IN ('of the', 'the and') GROUP BY doc_id HAVING count(*) = 2")
+def bool_phrase_three(spark, sf_dir):
+    return boolean.BooleanIndex.build(documents(spark, sf_dir), T.STRICT).phrase("of the and")
+
+
+# Wildcards
+
+_VOCAB = f"WITH p AS (SELECT DISTINCT doc_id, word FROM ({sql.words(T.LOOSE)})), v AS (SELECT DISTINCT word FROM p) "
+
+
+def loose_words(spark, sf_dir):
+    return boolean.postings(T.tokens(documents(spark, sf_dir), T.LOOSE))
+
+
+def vocab(spark, sf_dir):
+    return wildcard.vocabulary(T.tokens(documents(spark, sf_dir), T.LOOSE))
+
+
+def wild(name, condition, find):
+    query(name, _VOCAB + f"SELECT word FROM v WHERE {condition}")(lambda spark, sf_dir: find(vocab(spark, sf_dir)))
+
+
+wild("trie_exact", "word = 'that'", lambda v: wildcard.search(v, "That"))
+wild("trie_prefix", "word LIKE 'th%'", lambda v: wildcard.search(v, "th*"))
+wild("trie_suffix", "word LIKE '%tion'", lambda v: wildcard.search(v, "*tion"))
+wild("trie_prefix_suffix", "starts_with(word, 'en') AND ends_with(word, 'en')", lambda v: wildcard.search(v, "en*en"))
+wild("trie_delete", "word LIKE 'the%' AND word NOT IN ('the', 'then')", lambda v: wildcard.search(wildcard.delete(v, "the", "then"), "the*"))
+wild("gram_prefix", "word LIKE 'th%'", lambda v: wildcard.gram_search(wildcard.gram_index(v), v, "th*"))
+wild("gram_prefix_compat", "word LIKE 'th%' AND length(word) <> 3", lambda v: wildcard.gram_search(wildcard.gram_index(v), v, "th*", compat=True))
+wild("gram_suffix", "word LIKE '%tion'", lambda v: wildcard.gram_search(wildcard.gram_index(v), v, "*tion"))
+wild("gram_both", "starts_with(word, 'th') AND ends_with(word, 'on')", lambda v: wildcard.gram_search(wildcard.gram_index(v), v, "th*on"))
+wild("gram_word", "word = 'that'", lambda v: wildcard.gram_search(wildcard.gram_index(v), v, "that"))
+_ONE, _TWO = "starts_with(word, 'the') AND ends_with(word, 'ent') AND length(word) >= 6", "starts_with(word, 'th') AND contains(word, 'er') AND ends_with(word, 'on') AND length(word) >= 4"
+wild("perm_one_star", _ONE, lambda v: wildcard.rotation_search(wildcard.rotation_index(v), "the*ent"))
+wild("perm_two_star", _TWO, lambda v: wildcard.rotation_search(wildcard.rotation_index(v), "th*er*on"))
+wild("perm_all", "true", lambda v: wildcard.rotation_search(wildcard.rotation_index(v), "*"))
+wild("perm_no_star", "false", lambda v: wildcard.rotation_search(wildcard.rotation_index(v), "that"))
+wild("perm_no_overlap", "starts_with(word, 'en') AND ends_with(word, 'en') AND length(word) >= 4", lambda v: wildcard.rotation_search(wildcard.rotation_index(v), "en*en"))
+wild("perm_predicate", _TWO, lambda v: v.where(wildcard.rotation_predicate("th*er*on")).select("word"))
+wild("wordset_and", "word LIKE 'th%' AND word LIKE '%tion'", lambda v: wildcard.word_intersect(wildcard.search(v, "th*"), wildcard.search(v, "*tion")))
+wild("wordset_or", "word LIKE 'th%' OR word LIKE '%tion'", lambda v: wildcard.word_union(wildcard.search(v, "th*"), wildcard.search(v, "*tion")))
+
+
+@query("trie_size", _VOCAB + "SELECT count(*) AS n FROM v")
+def trie_size(spark, sf_dir):
+    return vocab(spark, sf_dir).agg(F.count(F.lit(1)).alias("n"))
+
+
+def wild_docs(name, condition, find):
+    def run(spark, sf_dir):
+        words = loose_words(spark, sf_dir)
+        return wildcard.docs_of(find(wildcard.vocabulary(words)), words)
+
+    query(name, _VOCAB + f"SELECT DISTINCT doc_id FROM p WHERE {condition}")(run)
+
+
+wild_docs("trie_docs", "word LIKE '%tion'", lambda v: wildcard.search(v, "*tion"))
+wild_docs("gram_docs", "word LIKE 'th%' AND word LIKE '%on'", lambda v: wildcard.gram_search(wildcard.gram_index(v), v, "th*on"))
+wild_docs("perm_docs", _ONE, lambda v: wildcard.rotation_search(wildcard.rotation_index(v), "the*ent"))
+
+
+@query("perm_docs_compat", _VOCAB + f"SELECT DISTINCT doc_id FROM (SELECT word, min(doc_id) AS doc_id FROM p GROUP BY word) WHERE {_TWO}")
+def perm_docs_compat(spark, sf_dir):
+    words = loose_words(spark, sf_dir)
+    found = wildcard.rotation_search(wildcard.rotation_index(wildcard.vocabulary(words)), "th*er*on")
+    return wildcard.docs_of(found, wildcard.first_docs(words))
+
+
+@query(
+    "gram_word_compat",
+    _VOCAB + """SELECT 'thation' AS word FROM (SELECT 1) WHERE
+    (SELECT bool_or(starts_with(word, 'th') AND length(word) <> 3 AND length(word) > 1) FROM v)
+    AND (SELECT bool_and(hit) FROM (SELECT g, (SELECT bool_or(contains(word, g) AND length(word) > 3) FROM v) AS hit
+      FROM (SELECT unnest(['tha', 'hat', 'ati', 'tio', 'ion']) AS g)))""",
+)
+def gram_word_compat(spark, sf_dir):
+    v = vocab(spark, sf_dir)
+    return wildcard.gram_word(wildcard.gram_index(v), v, "thation", compat=True)
+
+
+@query(
+    "gram_index",
+    _VOCAB + """, g AS (SELECT word, unnest(CASE WHEN length(word) > 3
+      THEN list_concat([chr(3) || word[:2]], list_concat(list_transform(range(1, length(word) - 1), lambda i: substr(word, i, 3)), [word[-2:] || chr(3)]))
+      WHEN length(word) = 2 THEN [chr(3) || word, word || chr(3)] ELSE [chr(3) || word || chr(3)] END) AS gram FROM v)
+    SELECT DISTINCT gram, word FROM g""",
+)
+def gram_index(spark, sf_dir):
+    return wildcard.gram_index(vocab(spark, sf_dir))
+
+
+@query(
+    "perm_index",
+    _VOCAB + """SELECT substr(m, i + 1) || substr(m, 1, i) AS rotation, word
+    FROM (SELECT word, word || chr(3) AS m, unnest(range(0, length(word) + 1)) AS i FROM v)""",
+)
+def perm_index(spark, sf_dir):
+    return wildcard.rotation_index(vocab(spark, sf_dir))
+
+
+@query(
+    "string_functions",
+    _VOCAB + """SELECT word, length(word) - length(replace(word, 'e', '')) AS n_e, substr(word, 2) || word[1] AS rotated,
+    CASE WHEN length(word) >= 3 THEN word[1] || '#' || substr(word, 4) END AS replaced FROM v""",
+)
+def string_functions(spark, sf_dir):
+    word = F.col("word")
+    return vocab(spark, sf_dir).select(
+        "word",
+        occurrences(word, "e").cast("long").alias("n_e"),
+        rotate_left(word).alias("rotated"),
+        F.when(F.length(word) >= 3, replace_between(word, 1, 2, "#")).alias("replaced"),
+    )
+
+
+# Zones
+
+_ZONED = f"""WITH z AS (SELECT DISTINCT word, doc_id, zone FROM (SELECT *, 0 AS zone FROM ({sql.words(T.STRICT)})
+  UNION ALL SELECT *, 1 FROM ({sql.words(T.AUTHOR, text='source')}) UNION ALL SELECT *, 2 FROM ({sql.words(T.GENRE, text='lang')}))),
+s AS (SELECT word, doc_id, bool_or(zone = 0) AS z0, bool_or(zone = 1) AS z1, bool_or(zone = 2) AS z2 FROM z GROUP BY ALL),
+r AS (SELECT *, round((CASE WHEN z0 THEN 0.2::FLOAT ELSE 0::FLOAT END + CASE WHEN z1 THEN 0.3::FLOAT ELSE 0::FLOAT END
+  + CASE WHEN z2 THEN 0.3::FLOAT ELSE 0::FLOAT END)::DOUBLE, 6) AS weight FROM s) """
+
+
+def zoned(spark, sf_dir):
+    return zones.zone_postings(documents(spark, sf_dir), [("text", T.STRICT), ("source", T.AUTHOR), ("lang", T.GENRE)])
+
+
+_WEIGHT = F.round(F.col("weight").cast("double"), 6).alias("weight")
+
+
+@query("zone_index", _ZONED + "SELECT word, doc_id, weight FROM r")
+def zone_index(spark, sf_dir):
+    return zones.weighted(zoned(spark, sf_dir)).select("word", "doc_id", _WEIGHT)
+
+
+@query("zone_query", _ZONED + "SELECT doc_id, weight FROM r WHERE word = 'de'")
+def zone_query(spark, sf_dir):
+    return zones.rank(zoned(spark, sf_dir), "de").select("doc_id", _WEIGHT)
+
+
+@query("zone_weights", _ZONED + "SELECT doc_id, (CASE WHEN z0 THEN 1.0 ELSE 0 END + CASE WHEN z2 THEN 2.0 ELSE 0 END)::DOUBLE AS weight FROM s WHERE word = 'de'")
+def zone_weights(spark, sf_dir):
+    return zones.rank(zoned(spark, sf_dir), "de", (1.0, 0.5, 2.0)).select("doc_id", _WEIGHT)
+
+
+@query("zone_bits", _ZONED + "SELECT word, doc_id, concat_ws(',', z0::VARCHAR, z1::VARCHAR, z2::VARCHAR) AS zones FROM s")
+def zone_bits(spark, sf_dir):
+    return zones.bits(zoned(spark, sf_dir), 3).select("word", "doc_id", joined("zones").alias("zones"))
+
+
+# BM25
+
+_STRICT = f"""WITH tf AS (SELECT doc_id, word, count(*) AS tf FROM ({sql.words(T.STRICT)}) GROUP BY ALL),
+n AS (SELECT count(*)::DOUBLE AS n FROM documents),
+idf AS (SELECT word, count(*) AS df, log10(any_value(n) / count(*))::FLOAT AS idf FROM tf, n GROUP BY word),
+dl AS (SELECT doc_id, sum(tf)::BIGINT AS dl FROM tf GROUP BY doc_id),
+a AS (SELECT avg(dl) AS avgdl FROM dl) """
+_SCORE = """, s AS (SELECT doc_id, sum({} * idf::DOUBLE * (tf * 3.0::DOUBLE) / (tf + 2.0::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl))) AS score
+  FROM tf JOIN idf USING (word) JOIN dl USING (doc_id), a WHERE word IN ({}) GROUP BY doc_id)
+SELECT doc_id, round(score, 6) AS score FROM s WHERE score > 0 """
+
+
+@query("bm25_idf", _STRICT + "SELECT word, df, round(idf::DOUBLE, 6) AS idf FROM idf")
+def bm25_idf(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    idf = bm25.inverse_frequencies(T.term_frequencies(docs, T.STRICT), docs.count())
+    return idf.select("word", "df", F.round(F.col("idf").cast("double"), 6).alias("idf"))
+
+
+@query("bm25_doclen", _STRICT + "SELECT doc_id, dl FROM dl")
+def bm25_doclen(spark, sf_dir):
+    return bm25.lengths(T.term_frequencies(documents(spark, sf_dir), T.STRICT))
+
+
+def ranked(spark, sf_dir, text, k=None):
+    index = bm25.Bm25Index.build(documents(spark, sf_dir))
+    return index.query(text, k).select("doc_id", F.round("score", 6).alias("score"))
+
+
+@query("bm25_query", _STRICT + _SCORE.format("1", "'the', 'tion', 'that'"))
+def bm25_query(spark, sf_dir):
+    return ranked(spark, sf_dir, "the tion that")
+
+
+@query("bm25_repeated_term", _STRICT + _SCORE.format("CASE word WHEN 'the' THEN 2 ELSE 1 END", "'the', 'that'"))
+def bm25_repeated_term(spark, sf_dir):
+    return ranked(spark, sf_dir, "the that  the")
+
+
+@query("bm25_top10", _STRICT + _SCORE.format("1", "'that', 'thing'") + "ORDER BY s.score DESC, doc_id LIMIT 10")
+def bm25_top10(spark, sf_dir):
+    return ranked(spark, sf_dir, "that thing", 10)
+
+
+# Vector space
+
+_TFIDF = _STRICT + """, v AS (SELECT doc_id, word, (tf::FLOAT * idf)::FLOAT::DOUBLE AS weight FROM tf JOIN idf USING (word) WHERE idf <> 0),
+nm AS (SELECT doc_id, sqrt(sum(weight * weight)) AS norm FROM v GROUP BY doc_id),
+l AS (SELECT doc_id FROM documents ORDER BY md5(doc_id::VARCHAR), doc_id LIMIT (SELECT floor(sqrt(count(*)))::BIGINT FROM documents)),
+c AS (SELECT x.doc_id AS a, y.doc_id AS b, sum(x.weight * y.weight) / any_value(nx.norm * ny.norm) AS cosine
+  FROM v x JOIN (SELECT * FROM v WHERE doc_id IN (FROM l)) y USING (word) JOIN nm nx ON nx.doc_id = x.doc_id JOIN nm ny ON ny.doc_id = y.doc_id
+  WHERE x.doc_id NOT IN (FROM l) GROUP BY ALL),
+b AS (SELECT a AS doc_id, b AS leader, round(cosine, 9) AS level FROM c QUALIFY row_number() OVER (PARTITION BY a ORDER BY round(cosine, 9) DESC, b) = 1),
+g AS (SELECT d.doc_id, coalesce(leader, (SELECT min(doc_id) FROM l)) AS leader, coalesce(level, 0) AS level
+  FROM documents d LEFT JOIN b USING (doc_id) WHERE d.doc_id NOT IN (FROM l)) """
+
+
+def space(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    return docs, vectors.tfidf(T.term_frequencies(docs, T.STRICT), docs.count())
+
+
+def assigned(spark, sf_dir):
+    docs, v = space(spark, sf_dir)
+    chosen = vectors.leaders(docs)
+    return docs, chosen, vectors.assign(v, docs, chosen)
+
+
+@query("tfidf_vectors", _TFIDF + "SELECT doc_id, word, round(weight, 6) AS weight FROM v")
+def tfidf_vectors(spark, sf_dir):
+    return space(spark, sf_dir)[1].select("doc_id", "word", F.round(F.col("weight").cast("double"), 6).alias("weight"))
+
+
+@query("tfidf_norms", _TFIDF + "SELECT doc_id, round(norm, 6) AS norm FROM nm")
+def tfidf_norms(spark, sf_dir):
+    return vectors.norms(space(spark, sf_dir)[1]).select("doc_id", F.round("norm", 6).alias("norm"))
+
+
+@query("cosine_pairs", _TFIDF + "SELECT a, b, round(cosine, 6) AS cosine FROM c")
+def cosine_pairs(spark, sf_dir):
+    docs, v = space(spark, sf_dir)
+    chosen = vectors.leaders(docs)
+    pairs = vectors.cosines(v.join(chosen, "doc_id", "left_anti"), v.join(chosen, "doc_id", "left_semi"))
+    return pairs.select("a", "b", F.round("cosine", 6).alias("cosine"))
+
+
+@query("cluster_leaders", _TFIDF + "SELECT doc_id FROM l")
+def cluster_leaders(spark, sf_dir):
+    return vectors.leaders(documents(spark, sf_dir))
+
+
+@query("cluster_assign", _TFIDF + "SELECT doc_id, leader, round(level, 6) AS level FROM g")
+def cluster_assign(spark, sf_dir):
+    return assigned(spark, sf_dir)[2].select("doc_id", "leader", F.round("level", 6).alias("level"))
+
+
+@query("cluster_members", _TFIDF + "SELECT leader, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) AS members FROM g GROUP BY leader")
+def cluster_members(spark, sf_dir):
+    return vectors.clusters(assigned(spark, sf_dir)[2]).select("leader", joined("members").alias("members"))
+
+
+@query("cluster_sizes", _TFIDF + "SELECT leader, count(*) AS size FROM g GROUP BY leader")
+def cluster_sizes(spark, sf_dir):
+    return vectors.cluster_sizes(assigned(spark, sf_dir)[2])
+
+
+@query(
+    "cluster_stats",
+    _TFIDF + "SELECT (SELECT count(*) FROM documents) AS files, (SELECT count(*) FROM l) AS leaders, count(DISTINCT leader) AS clusters FROM g",
+)
+def cluster_stats(spark, sf_dir):
+    return vectors.cluster_stats(*assigned(spark, sf_dir))
+
+
+_DENSE = """WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+l AS (SELECT vec_id FROM embeddings ORDER BY md5(vec_id::VARCHAR), vec_id LIMIT (SELECT floor(sqrt(count(*)))::BIGINT FROM embeddings)),
+c AS (SELECT x.vec_id, y.vec_id AS leader, list_inner_product(x.e, y.e) / (sqrt(list_inner_product(x.e, x.e)) * sqrt(list_inner_product(y.e, y.e))) AS cosine
+  FROM e x, e y WHERE x.vec_id NOT IN (FROM l) AND y.vec_id IN (FROM l)) """
+
+
+@query(
+    "embedding_cosine",
+    """SELECT vec_id, round(list_inner_product(embedding::DOUBLE[], f) / (sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[]))
+    * sqrt(list_inner_product(f, f))), 6) AS cosine FROM embeddings, (SELECT embedding::DOUBLE[] AS f FROM embeddings WHERE vec_id = 0)""",
+)
+def embedding_cosine(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings")
+    first = rows.where("vec_id = 0").select(F.col("embedding").alias("f"))
+    return rows.join(F.broadcast(first)).select("vec_id", F.round(vectors.cosine(F.col("embedding"), F.col("f")), 6).alias("cosine"))
+
+
+@query(
+    "embedding_clusters",
+    _DENSE + "SELECT vec_id, leader, round(cosine, 6) AS level FROM c QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY round(cosine, 9) DESC, leader) = 1",
+)
+def embedding_clusters(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings")
+    chosen = vectors.leaders(rows.select(F.col("vec_id").alias("doc_id"))).withColumnRenamed("doc_id", "vec_id")
+    return vectors.assign_dense(rows, chosen).select("vec_id", "leader", F.round("level", 6).alias("level"))
+
+
+# Index build
+
+_BATCH_BYTES, _BIG_BYTES = 100_000, 10_000
+_LATIN = f"WITH RECURSIVE w AS (SELECT DISTINCT doc_id, word FROM ({sql.words(T.LATIN)})), "
+_BUCKET = "CASE WHEN word[1] BETWEEN 'a' AND 'd' THEN 'a-d' WHEN word[1] BETWEEN 'e' AND 'g' THEN 'e-g' WHEN word[1] BETWEEN 'h' AND 'p' THEN 'h-p' WHEN word[1] BETWEEN 'q' AND 'z' THEN 'q-z' ELSE 'a-d' END"
+_BATCHES = f"""f AS (SELECT doc_id, strlen(text)::BIGINT AS bytes, strlen(text) >= {_BIG_BYTES} AS big,
+  row_number() OVER (PARTITION BY strlen(text) >= {_BIG_BYTES} ORDER BY doc_id) AS k FROM documents),
+r AS (SELECT doc_id, bytes, big, k, 0::BIGINT AS batch, bytes AS held FROM f WHERE k = 1
+  UNION ALL SELECT f.doc_id, f.bytes, f.big, f.k, CASE WHEN held >= {_BATCH_BYTES} THEN batch + 1 ELSE batch END,
+  CASE WHEN held >= {_BATCH_BYTES} THEN 0 ELSE held END + f.bytes FROM r JOIN f ON f.big = r.big AND f.k = r.k + 1),
+b AS (SELECT doc_id, bytes, big, batch + CASE WHEN big THEN coalesce((SELECT max(batch) + 1 FROM r WHERE NOT big), 0) ELSE 0 END AS batch FROM r) """
+
+
+def latin_words(spark, sf_dir):
+    return boolean.postings(T.tokens(documents(spark, sf_dir), T.LATIN))
+
+
+def batched(spark, sf_dir):
+    files = documents(spark, sf_dir).select("doc_id", F.octet_length("text").cast("long").alias("bytes"))
+    return indexbuild.batches(files, _BATCH_BYTES, _BIG_BYTES)
+
+
+@query("mr_batches", _LATIN + _BATCHES + "SELECT doc_id, bytes, big, batch FROM b")
+def mr_batches(spark, sf_dir):
+    return batched(spark, sf_dir)
+
+
+@query("mr_lexicon", _LATIN.rstrip(", ") + " SELECT word, row_number() OVER (ORDER BY word) AS word_id FROM (SELECT DISTINCT word FROM w)")
+def mr_lexicon(spark, sf_dir):
+    return indexbuild.lexicon(latin_words(spark, sf_dir))
+
+
+@query("mr_buckets", _LATIN.rstrip(", ") + f" SELECT {_BUCKET} AS bucket, count(DISTINCT word) AS words, count(*) AS rows FROM w GROUP BY ALL")
+def mr_buckets(spark, sf_dir):
+    lists = indexbuild.inverted(latin_words(spark, sf_dir))
+    return lists.groupBy("bucket").agg(F.count(F.lit(1)).alias("words"), F.sum("df").alias("rows"))
+
+
+@query(
+    "mr_postings",
+    _LATIN.rstrip(", ") + f" SELECT word, {_BUCKET} AS bucket, count(*) AS df, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) AS docs FROM w GROUP BY word",
+)
+def mr_postings(spark, sf_dir):
+    return indexbuild.inverted(latin_words(spark, sf_dir)).select("word", "bucket", "df", joined("doc_ids").alias("docs"))
+
+
+@query(
+    "mr_segments",
+    _LATIN + _BATCHES + f", s AS (SELECT batch, {_BUCKET} AS bucket, word, doc_id FROM w JOIN b USING (doc_id)) "
+    "SELECT batch, bucket, word, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) AS docs FROM s GROUP BY ALL",
+)
+def mr_segments(spark, sf_dir):
+    spilled = indexbuild.segments(latin_words(spark, sf_dir), batched(spark, sf_dir))
+    return spilled.select("batch", "bucket", "word", joined("doc_ids").alias("docs"))
+
+
+@query(
+    "mr_merge",
+    _LATIN.rstrip(", ") + f" SELECT {_BUCKET} AS bucket, word, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) AS docs FROM w GROUP BY word",
+)
+def mr_merge(spark, sf_dir):
+    merged = indexbuild.merge(indexbuild.segments(latin_words(spark, sf_dir), batched(spark, sf_dir)))
+    return merged.select("bucket", "word", joined("doc_ids").alias("docs"))
+
+
+@query(
+    "mr_stats",
+    _LATIN + _BATCHES + """SELECT (SELECT sum(strlen(text)) // 1000 FROM documents)::BIGINT AS kilobytes, (SELECT count(DISTINCT batch) FROM b) AS batches,
+    (SELECT count(*) FROM (SELECT DISTINCT word, batch FROM w JOIN b USING (doc_id))) AS mapped, (SELECT count(DISTINCT word) FROM w) AS unique_words""",
+)
+def mr_stats(spark, sf_dir):
+    return indexbuild.build_stats(documents(spark, sf_dir), latin_words(spark, sf_dir), batched(spark, sf_dir))
+
+
+@query("mr_reader_query", _LATIN.rstrip(", ") + " SELECT doc_id, doc_id::VARCHAR AS name FROM w WHERE word = 'that'")
+def mr_reader_query(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    lists = indexbuild.inverted(boolean.postings(T.tokens(docs, T.LATIN)))
+    hit = lists.where((F.col("bucket") == indexbuild.bucket_of("that")) & (F.col("word") == "that"))
+    names = docs.select("doc_id", F.col("doc_id").cast("string").alias("name"))
+    return names.join(hit.select(F.explode("doc_ids").alias("doc_id")), "doc_id", "left_semi")
+
+
+# Encodings
+
+_GAPS = _LATIN.rstrip(", ") + ", g AS (SELECT word, doc_id + 1 AS doc_id, doc_id + 1 - coalesce(lag(doc_id + 1) OVER (PARTITION BY word ORDER BY doc_id), 0) AS gap FROM w) "
+_GAP_BYTES = "CASE WHEN gap < 128 THEN 1 WHEN gap < 16384 THEN 2 WHEN gap < 2097152 THEN 3 ELSE 4 END"
+
+
+def from_one(spark, sf_dir):
+    return latin_words(spark, sf_dir).withColumn("doc_id", F.col("doc_id") + 1)
+
+
+@query("enc_gaps", _GAPS + "SELECT word, doc_id, gap FROM g")
+def enc_gaps(spark, sf_dir):
+    return encodings.gaps(from_one(spark, sf_dir)).select("word", "doc_id", "gap")
+
+
+@query("enc_vbyte_len", _GAPS + f"SELECT word, (5 + sum({_GAP_BYTES}))::BIGINT AS bytes FROM g GROUP BY word")
+def enc_vbyte_len(spark, sf_dir):
+    lists = indexbuild.inverted(from_one(spark, sf_dir))
+    lengths = F.transform(encodings.gap_array(F.col("doc_ids")), encodings.gap_length)
+    return lists.select("word", (F.aggregate(lengths, F.lit(5), lambda s, x: s + x)).cast("long").alias("bytes"))
+
+
+_BYTES_OF = """CASE WHEN gap < 128 THEN printf('%02x', gap + 128)
+  WHEN gap < 16384 THEN printf('%02x%02x', gap & 127, (gap >> 7) + 128)
+  WHEN gap < 2097152 THEN printf('%02x%02x%02x', gap & 127, (gap >> 7) & 127, (gap >> 14) + 128)
+  ELSE printf('%02x%02x%02x%02x', gap & 127, (gap >> 7) & 127, (gap >> 14) & 127, (gap >> 21) + 128) END"""
+
+
+def records(spark, sf_dir):
+    words = from_one(spark, sf_dir)
+    return encodings.encode_postings(indexbuild.inverted(words).join(indexbuild.lexicon(words), "word"))
+
+
+@query(
+    "enc_vbyte_bytes",
+    _GAPS + f""", i AS (SELECT word, row_number() OVER (ORDER BY word) AS word_id FROM (SELECT DISTINCT word FROM w))
+    SELECT word_id, printf('%02x%02x%02x%02x', word_id & 255, (word_id >> 8) & 255, (word_id >> 16) & 255, word_id >> 24)
+      || string_agg({_BYTES_OF}, '' ORDER BY doc_id) || '80' AS record FROM g JOIN i USING (word) GROUP BY word_id""",
+)
+def enc_vbyte_bytes(spark, sf_dir):
+    return records(spark, sf_dir).select("word_id", F.lower(F.hex("record")).alias("record"))
+
+
+@query(
+    "enc_vbyte_roundtrip",
+    _LATIN.rstrip(", ") + """, i AS (SELECT word, row_number() OVER (ORDER BY word) AS word_id FROM (SELECT DISTINCT word FROM w))
+    SELECT word_id, string_agg((doc_id + 1)::VARCHAR, ',' ORDER BY doc_id) AS docs FROM w JOIN i USING (word) GROUP BY word_id""",
+)
+def enc_vbyte_roundtrip(spark, sf_dir):
+    return encodings.decode_postings(records(spark, sf_dir)).select("word_id", joined("doc_ids").alias("docs"))
+
+
+_BLOCKS = _LATIN.rstrip(", ") + """, i AS (SELECT word, row_number() OVER (ORDER BY word) AS word_id FROM (SELECT DISTINCT word FROM w)),
+k AS (SELECT (word_id - 1) // 3 AS block, word, word_id FROM i),
+m AS (SELECT block, min(word) AS a, max(word) AS z FROM k GROUP BY block),
+x AS (SELECT block, list_max(list_filter(range(0, least(length(a), length(z)) + 1), lambda n: a[:n] = z[:n] OR n = 0)) AS n, a FROM m),
+q AS (SELECT block, CASE WHEN n = 0 THEN '' ELSE a[:n] END AS prefix, n FROM x) """
+
+
+def blocks(spark, sf_dir):
+    return encodings.front_code(indexbuild.lexicon(latin_words(spark, sf_dir)))
+
+
+@query(
+    "enc_front_coding",
+    _BLOCKS + """SELECT block, any_value(prefix) AS prefix, string_agg(word_id::VARCHAR, ',' ORDER BY word) AS word_ids,
+    string_agg(substr(word, n + 1), ',' ORDER BY word) AS suffixes FROM k JOIN q USING (block) GROUP BY block""",
+)
+def enc_front_coding(spark, sf_dir):
+    return blocks(spark, sf_dir).select("block", "prefix", joined("word_ids").alias("word_ids"), F.array_join("suffixes", ",").alias("suffixes"))
+
+
+@query("enc_front_decode", _BLOCKS + "SELECT word, word_id FROM i")
+def enc_front_decode(spark, sf_dir):
+    return encodings.front_decode(blocks(spark, sf_dir))
+
+
+@query("enc_lcp", _BLOCKS + "SELECT a, z, prefix FROM m JOIN q USING (block)")
+def enc_lcp(spark, sf_dir):
+    ids = indexbuild.lexicon(latin_words(spark, sf_dir)).withColumn("block", F.floor((F.col("word_id") - 1) / 3))
+    ends = ids.groupBy("block").agg(F.min("word").alias("a"), F.max("word").alias("z"))
+    return ends.select("a", "z", common_prefix(F.col("a"), F.col("z")).alias("prefix"))
+
+
+# E-books
+
+_BODY = sql.words(T.STRICT)
+
+
+def books(spark, sf_dir):
+    """Each document as a book with its source as author and its language as genre."""
+    escaped = lambda c: F.replace(F.replace(F.col(c), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    head = '<FictionBook xmlns="http://www.gribuser.ru/xml/fictionbook/2.0"><description><title-info><genre>'
+    middle = "</genre><author><nickname>"
+    return documents(spark, sf_dir).select(
+        "doc_id",
+        F.concat(
+            F.lit(head), escaped("lang"), F.lit(middle), escaped("source"),
+            F.lit("</nickname></author></title-info></description><body><section><p>"), escaped("text"),
+            F.lit("</p></section></body></FictionBook>"),
+        ).alias("xml"),
+    )
+
+
+_BOOKS = f"""SELECT doc_id, 0 AS zone, word FROM ({_BODY}) UNION ALL SELECT doc_id, 1, word FROM ({sql.words(T.AUTHOR, text='source')})
+  UNION ALL SELECT doc_id, 2, word FROM ({sql.words(T.GENRE, text='lang')})"""
+
+
+@query("xml_tokens", f"SELECT doc_id, zone, word, count(*) AS tf FROM ({_BOOKS}) GROUP BY ALL")
+def xml_tokens(spark, sf_dir):
+    words = fb2.book_words(fb2.parse_books(books(spark, sf_dir)))
+    return words.groupBy("doc_id", "zone", "word").agg(F.count(F.lit(1)).alias("tf"))
+
+
+@query("xml_boolean", f"SELECT DISTINCT doc_id FROM ({_BOOKS}) WHERE word = 'es'")
+def xml_boolean(spark, sf_dir):
+    parsed = books(spark, sf_dir)
+    index = boolean.BooleanIndex(boolean.postings(fb2.book_words(fb2.parse_books(parsed))), parsed.select("doc_id"), case_sensitive=True)
+    return index.lookup("es")
