@@ -468,7 +468,7 @@ def embedding_cosine(spark, sf_dir):
 
 @query(
     "embedding_clusters",
-    _DENSE + "SELECT vec_id, leader, round(cosine, 6) AS level FROM c QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY round(cosine, 9) DESC, leader) = 1",
+    _DENSE + "SELECT vec_id, leader, round(round(cosine, 9), 6) AS level FROM c QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY round(cosine, 9) DESC, leader) = 1",
 )
 def embedding_clusters(spark, sf_dir):
     rows = table(spark, sf_dir, "embeddings")
