@@ -22,8 +22,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.distinct_words import encode_words, take_runs
-from textloom.llm.pieces import cut, once, read_vocabulary
+from textloom.llm.distinct_words import Chunk, encode_words, take_runs
+from textloom.llm.pieces import cut, once, read_vocabulary, strings
 from textloom.llm.token_counts import PRE_TOKENS
 
 
@@ -32,9 +32,26 @@ def read_ranks(blob: bytes) -> dict[bytes, int]:
     return {base64.b64decode(a): int(b) for a, b in map(bytes.split, blob.splitlines()) if a}
 
 
-def _splitter() -> tuple[Callable, tuple[Callable, Callable]]:
+def _splitter(_: bytes) -> Callable:
     find = regex.compile(PRE_TOKENS).findall
-    return cut, (lambda p: [w.encode() for w in find(p)], lambda p: [w.encode() for w in find(" " + p)])
+
+    def start(chunk: Chunk) -> Callable:
+        plain = chunk.memo(lambda p: [w.encode("utf-8") for w in find(p)])
+        blank = chunk.memo(lambda p: [w.encode("utf-8") for w in find(" " + p)])
+
+        def split(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+            pieces: list[int] = []
+            ends = [0]
+            for text in strings(texts):
+                whole, parts = cut(text)
+                pieces.extend(map(plain.__getitem__, whole))
+                pieces.extend(map(blank.__getitem__, parts))
+                ends.append(len(pieces))
+            return np.array(pieces, np.int64), np.diff(ends)
+
+        return split
+
+    return start
 
 
 def _encoder(blob: bytes) -> Callable[[bytes], bytes]:

@@ -21,7 +21,7 @@ def vocabulary(name):
 def op3_token_files(spark, sf_dir):
     path = f"{shared_dir(spark)}/token-ids-{uuid.uuid4().hex}"
     token_files.write_token_ids(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), path, end=2)
-    return token_files.checksums(token_files.read_token_ids(spark, path))
+    return token_files.checksums(spark, path)
 
 
 def op7_byte_bpe(spark, sf_dir):

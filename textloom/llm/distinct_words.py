@@ -28,10 +28,12 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from textloom.llm.pieces import once, read_vocabulary, strings
+from textloom.llm.pieces import once, read_vocabulary, tidy
 
 #: Positions after which a chunk ends, and a block inside it.
-CHUNK, BLOCK = 8_000_000, 250_000
+CHUNK, BLOCK = 4_000_000, 250_000
+#: Bytes of text that are split at a time.
+SLICE = 1_500_000
 _EXPLODED = pa.schema(
     [
         ("bucket", pa.int32()),
@@ -79,6 +81,21 @@ def unpack_runs(packed: bytes) -> tuple[np.ndarray, bytes]:
     return np.frombuffer(raw, np.uint32, n, 4).astype(np.int64), raw[4 + 4 * n :]
 
 
+def leave_out_new(numbers: np.ndarray, known: int) -> np.ndarray:
+    """0 for the first mention of a word, which has the next number, else number + 1.
+
+    ``known`` words have been mentioned before.
+    """
+    most = np.maximum.accumulate(np.concatenate([[known - 1], numbers]))
+    return np.where(numbers > most[:-1], 0, numbers + 1)
+
+
+def put_new_back(coded: np.ndarray, known: int) -> np.ndarray:
+    """Inverse of ``leave_out_new``."""
+    new = coded == 0
+    return np.where(new, known - 1 + np.cumsum(new), coded - 1)
+
+
 class Memo(dict):
     """A table that learns what it is asked for."""
 
@@ -90,51 +107,63 @@ class Memo(dict):
         return value
 
 
+class _Slots(dict):
+    def __missing__(self, word):
+        number = self[word] = len(self)
+        return number
+
+
 class Chunk:
     """Distinct words of the documents read since the last chunk ended.
 
-    ``split`` gives two lists of pieces of a text, the first before the second;
-    ``words_of`` has for either the function from a piece to its words, as bytes.
+    ``memo`` makes a table from pieces of texts to their numbers in this chunk, given the
+    function from a piece to its words, as bytes.
     """
 
-    def __init__(self, split: Callable, words_of: tuple[Callable, Callable], number: int):
-        self.split, self.number = split, number
-        self.slots: dict[bytes, int] = {}
-        self.first, self.second = (Memo(lambda p, f=f: self._learn(f(p))) for f in words_of)
-        self.words: list[int] = []
-        self.ends = [0]
-        self.positions = self.blocks = 0
+    def __init__(self, number: int):
+        self.number = number
+        self.slots = _Slots()
+        self.learned = 0
+        self.words: list[int] = []  # of pieces learned since the last block
+        self.sizes_of: list[int] = []
+        self.flat, self.ends = np.zeros(0, np.int64), np.zeros(1, np.int64)
+        self.positions = self.blocks = self.known = 0
         self._new_block()
 
     def _new_block(self) -> None:
         self.ids, self.sizes, self.pieces, self.waiting = [], [], [], 0
 
+    def memo(self, words_of: Callable) -> Memo:
+        return Memo(lambda piece: self._learn(words_of(piece)))
+
     def _learn(self, words: list[bytes]) -> int:
-        slots = self.slots
-        self.words.extend([slots.setdefault(w, len(slots)) for w in words])
-        self.ends.append(len(self.words))
-        return len(self.ends) - 2
-
-    def add(self, doc_id: int | None, text: str) -> None:
-        first, second = self.split(text)
-        before = len(self.pieces)
-        self.pieces.extend(map(self.first.__getitem__, first))
-        self.pieces.extend(map(self.second.__getitem__, second))
-        self.ids.append(doc_id)
-        self.sizes.append(len(self.pieces) - before)
-        self.waiting += self.sizes[-1] + 1
+        self.words.extend(map(self.slots.__getitem__, words))
+        self.sizes_of.append(len(words))
+        self.learned += 1
+        return self.learned - 1
+
+    def add(self, doc_ids: list[int | None], pieces: np.ndarray, counts: np.ndarray) -> None:
+        """Documents with the numbers of their pieces, ``counts`` for each document."""
+        self.ids += doc_ids
+        self.pieces.append(pieces)
+        self.sizes.append(counts)
+        self.waiting += len(pieces) + len(counts)
 
     def close_block(self, buckets: int) -> pa.RecordBatch:
-        at = np.array(self.pieces, np.int64)
-        numbers, ends = take_runs(np.array(self.words, np.int64), np.array(self.ends, np.int64), at)
-        counts = np.diff(ends[np.concatenate([[0], np.cumsum(self.sizes, dtype=np.int64)])])
+        self.flat = np.concatenate([self.flat, np.array(self.words, np.int64)])
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(self.sizes_of, dtype=np.int64)])
+        self.words, self.sizes_of = [], []
+        numbers, ends = take_runs(self.flat, self.ends, np.concatenate(self.pieces))
+        counts = np.diff(ends[np.concatenate([[0], *self.sizes]).cumsum()])
         row = {
             "bucket": (self.number + self.blocks) % buckets,
             "chunk": self.number,
+            "slots": self.known.to_bytes(8, "little"),
             "doc_ids": self.ids,
             "counts": counts,
-            "payload": pack(numbers),
+            "payload": pack(leave_out_new(numbers, self.known)),
         }
+        self.known = len(self.slots)
         self.positions += len(numbers)
         self.blocks += 1
         self._new_block()
@@ -155,19 +184,34 @@ class Chunk:
             yield pa.RecordBatch.from_pylist([row], schema=_EXPLODED)
 
 
-def _explode(buckets: int, splitter: Callable):
+def _slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """(start, length) of runs of rows of about SLICE bytes, one row at least."""
+    size = pa.compute.fill_null(pa.compute.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    part = np.cumsum(size, dtype=np.int64) // SLICE
+    starts = np.concatenate([[0], np.nonzero(np.diff(part))[0] + 1, [len(texts)]])
+    return zip(starts[:-1].tolist(), np.diff(starts).tolist())
+
+
+def _explode(buckets: int, blob, splitter: Callable):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, words_of = splitter()
-        chunk = Chunk(split, words_of, TaskContext.get().partitionId() << 32)
+        with tidy():
+            yield from exploded(batches)
+
+    def exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        start = splitter(blob.value)
+        chunk = Chunk(TaskContext.get().partitionId() << 32)
+        split = start(chunk)
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), strings(batch.column(1))):
-                chunk.add(doc_id, text)
+            for at, length in _slices(batch.column(1)):
+                part = batch.slice(at, length)
+                chunk.add(part.column(0).to_pylist(), *split(part.column(1)))
                 if chunk.waiting < BLOCK:
                     continue
                 yield chunk.close_block(buckets)
                 if chunk.positions >= CHUNK:
                     yield from chunk.word_rows(buckets)
-                    chunk = Chunk(split, words_of, chunk.number + 1)
+                    chunk = Chunk(chunk.number + 1)
+                    split = start(chunk)
         if chunk.ids:
             yield chunk.close_block(buckets)
         yield from chunk.word_rows(buckets)
@@ -198,14 +242,31 @@ def _encode(blob, encoder: Callable):
     return run
 
 
-def _reassemble(end: int | None):
+def _packed_type(largest: int) -> np.dtype:
+    return np.dtype("<u2" if largest < 1 << 16 else "<u4")
+
+
+def unpack_ids(packed: pa.Array, largest: int) -> pa.Array:
+    """list<int32> of ids that ``encode_words`` packed."""
+    kind = _packed_type(largest)
+    sizes = pa.compute.fill_null(pa.compute.binary_length(packed), 0).to_numpy(zero_copy_only=False)
+    ends = np.concatenate([[0], np.cumsum(sizes // kind.itemsize)])
+    flat = np.frombuffer(b"".join(packed.to_pylist()), kind).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
+
+
+def _reassemble(end: int | None, packed: bool, largest: int):
     """Ids of a chunk's documents from its words' ids and its blocks; ``end`` follows each."""
 
     def run(chunk: pa.Table) -> pa.Table:
+        with tidy():
+            return whole(chunk)
+
+    def whole(chunk: pa.Table) -> pa.Table:
         slots, sizes, raws = [], [], []
-        for packed, at in zip(chunk["words"].to_pylist(), chunk["slots"].to_pylist()):
-            if packed is not None:
-                size, raw = unpack_runs(packed)
+        for runs, at in zip(chunk["words"].to_pylist(), chunk["slots"].to_pylist()):
+            if runs is not None:
+                size, raw = unpack_runs(runs)
                 slots.append(np.cumsum(unpack(at)))
                 sizes.append(size // 4)
                 raws.append(np.frombuffer(raw, "<i4"))
@@ -214,9 +275,11 @@ def _reassemble(end: int | None):
         flat = np.concatenate(raws) if raws else np.zeros(0, np.int32)
         ends = np.concatenate([[0], np.cumsum(np.concatenate(sizes) if sizes else [])]).astype(np.int64)
         docs, ids, counts = [], [], []
-        for doc_ids, count, payload in zip(*(chunk[c].to_pylist() for c in ("doc_ids", "counts", "payload"))):
+        blocks = zip(*(chunk[c].to_pylist() for c in ("slots", "doc_ids", "counts", "payload")))
+        for known, doc_ids, count, payload in blocks:
             if payload is not None:
-                got, at = take_runs(flat, ends, place[unpack(payload)])
+                numbers = put_new_back(unpack(payload), int.from_bytes(known, "little"))
+                got, at = take_runs(flat, ends, place[numbers])
                 size = np.diff(at[np.concatenate([[0], np.cumsum(count, dtype=np.int64)])])
                 if end is not None:
                     got, size = np.insert(got, np.cumsum(size), end), size + 1
@@ -225,6 +288,11 @@ def _reassemble(end: int | None):
                 counts.append(size)
         bounds = np.concatenate([[0], *counts]).cumsum()
         flat = np.concatenate(ids or [flat[:0]])
+        if packed:
+            raw = pa.py_buffer(flat.astype(_packed_type(largest)).tobytes())
+            at = pa.py_buffer((bounds * _packed_type(largest).itemsize).astype(np.int32).tobytes())
+            ids = pa.Array.from_buffers(pa.binary(), len(docs), [None, at, raw])
+            return pa.table([pa.array(docs, pa.int64()), ids], ["doc_id", "ids"])
         lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(flat, pa.int32()))
         return pa.table([pa.array(docs, pa.int64()), lists], ["doc_id", "ids"])
 
@@ -232,17 +300,27 @@ def _reassemble(end: int | None):
 
 
 def encode_words(
-    docs: DataFrame, splitter: Callable, encoder: Callable, vocabulary: str, end: int | None = None
+    docs: DataFrame,
+    splitter: Callable,
+    encoder: Callable,
+    vocabulary: str,
+    end: int | None = None,
+    packed: bool = False,
+    largest: int = 2**31 - 1,
 ) -> DataFrame:
-    """doc_id, ids (array<int>) for every row of ``docs`` (doc_id, text).
+    """doc_id, ids for every row of ``docs`` (doc_id, text).
 
-    ``splitter()`` gives what ``Chunk`` splits with; ``encoder(blob)`` gives a function from
+    ``ids`` is array<int>, or with ``packed`` what ``unpack_ids`` reads, which is smaller to
+    shuffle once more; no id is above ``largest``. ``end`` follows the ids of each document.
+    ``splitter(blob)(chunk)`` gives a function from texts to the numbers of their pieces, in
+    tables of the chunk, and how many each text has; ``encoder(blob)`` gives a function from
     a word to its ids as little-endian 32-bit integers. Both run on executors.
     """
     spark = docs.sparkSession
     blob = spark.sparkContext.broadcast(read_vocabulary(vocabulary))
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    exploded = docs.select("doc_id", "text").mapInArrow(_explode(buckets, splitter), _EXPLODED_SQL)
+    exploded = docs.select("doc_id", "text").mapInArrow(_explode(buckets, blob, splitter), _EXPLODED_SQL)
     by_bucket = exploded.repartition("bucket").sortWithinPartitions("bucket")
     encoded = by_bucket.mapInArrow(_encode(blob, encoder), _EXPLODED_SQL)
-    return encoded.groupBy("chunk").applyInArrow(_reassemble(end), "doc_id long, ids array<int>")
+    kind = "binary" if packed else "array<int>"
+    return encoded.groupBy("chunk").applyInArrow(_reassemble(end, packed, largest), f"doc_id long, ids {kind}")

@@ -8,8 +8,10 @@ piece holds is looked up in a table that lives as long as the Python worker.
 
 from __future__ import annotations
 
+import ctypes
 import re
 from collections.abc import Callable
+from contextlib import contextmanager
 
 import pyarrow as pa
 
@@ -62,3 +64,15 @@ def once(kind: str, blob: bytes, make: Callable):
 def strings(column: pa.Array) -> list[str]:
     """Texts of an Arrow column, null as empty."""
     return ["" if x is None else x for x in column.to_pylist()]
+
+
+@contextmanager
+def tidy():
+    """Give freed memory back when a task ends, as Python workers wait for others."""
+    try:
+        yield
+    finally:
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)

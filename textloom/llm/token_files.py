@@ -1,14 +1,13 @@
 """Token ids in ORC files.
 
 Rows lie in ascending order of ``doc_id`` over all files. A row holds the id of a document,
-the number of ids before it in its file, and its ids. Integers are run-length encoded by
-the format; stripes and row groups carry minima and maxima of document ids and a Bloom
-filter on them, so that looking up documents reads few stripes, and a scan runs over
-stripes in parallel.
+its place in the order, and its ids. Integers are run-length encoded by the format; stripes
+and row groups carry minima and maxima of document ids and a Bloom filter on them, so that
+looking up documents reads few stripes, and a scan runs over stripes in parallel.
 
-Texts are dealt by range of id and encoded in that order, with a table of encoded words
-that a Python worker keeps. A word here is what white space parts: the tokenizer drops
-white space and none of its pre-tokens spans it, so words encode one by one.
+The tokenizer drops white space and none of its pre-tokens spans it, so what white space
+parts is encoded word by word, each distinct one of the corpus once. Documents then go by
+range of id to the task that writes the range's file.
 
 Defined results: a null text is encoded as empty and holds only the end id; null ids come
 first; rows with equal ids lie next to each other in any order; columns besides ``doc_id``
@@ -17,93 +16,109 @@ and ``text`` are not read; an empty table gives files without rows.
 
 from __future__ import annotations
 
+import os
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401  makes pa.compute
+import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from textloom.llm.pieces import once, read_vocabulary
-
-SCHEMA = "doc_id long, file_start long, ids array<int>"
-#: Words whose ids a Python worker keeps.
-KEPT = 600_000
-
-
-class WordEncoder:
-    """Encodes texts word by word with a tokenizer that treats words alone."""
-
-    def __init__(self, blob: bytes):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_str(blob.decode("utf-8"))
-        self._forget()
-
-    def _forget(self) -> None:
-        self.place: dict[bytes, int] = {}
-        self.ids = np.zeros(0, np.int32)
-        self.ends = np.zeros(1, np.int64)
-
-    def _learn(self, words: set[bytes]) -> None:
-        new = list(words)
-        made = self.tokenizer.encode_batch_fast([w.decode("utf-8") for w in new], add_special_tokens=False)
-        made = [x.ids for x in made]
-        self.place.update(zip(new, range(len(self.place), len(self.place) + len(new))))
-        sizes = np.fromiter(map(len, made), np.int64, len(made))
-        flat = np.fromiter((i for x in made for i in x), np.int32, int(sizes.sum()))
-        self.ids = np.concatenate([self.ids, flat])
-        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes)])
-
-    def encode(self, texts: list[str | None], end: int) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts, each followed by ``end``; number of ids of each)."""
-        split = [("" if x is None else x).encode("utf-8").split() for x in texts]
-        if len(self.place) > KEPT:
-            self._forget()
-        if new := {w for ws in split for w in ws}.difference(self.place):
-            self._learn(new)
-        counts = np.fromiter(map(len, split), np.int64, len(split))
-        get = self.place.__getitem__
-        at = np.fromiter((p for ws in split for p in map(get, ws)), np.int64, int(counts.sum()))
-        flat, ends = take_runs(self.ids, self.ends, at)
-        sizes = np.diff(ends[np.concatenate([[0], np.cumsum(counts)])])
-        out = np.full(len(flat) + len(texts), end, np.int32)
-        out[np.arange(len(flat)) + np.repeat(np.arange(len(texts)), sizes)] = flat
-        return out, sizes + 1
-
-
-def take_runs(values: np.ndarray, ends: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Concatenate runs ``values[ends[i]:ends[i + 1]]`` for i in ``at``; with their ends."""
-    starts, sizes = ends[at], ends[at + 1] - ends[at]
-    out = np.concatenate([[0], np.cumsum(sizes)])
-    return values[np.arange(out[-1]) + np.repeat(starts - out[:-1], sizes)], out
+from textloom.functions.ordering import quantile_chunks
+from textloom.functions.runtime import materialize
+from textloom.llm.distinct_words import Chunk, encode_words, unpack_ids
+from textloom.llm.pieces import read_vocabulary
+
+#: Files whose first positions are sent to all tasks; beyond it they are joined.
+FEW_FILES = 100_000
+SCHEMA = "doc_id long, place long, ids array<int>"
+#: Chunks of ``quantile_chunks``.
+_FAN = 32
+
+
+#: Fixed value: the tokenizer's pre-tokens, once its normalizer has lowered a text.
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+#: Fixed value: below it and without the exception, lowering leaves composed text composed,
+#: and is the same in any library.
+SIMPLE_BELOW, EXCEPTION = "\u0180", "\u0130"
+
+
+def _splitter(blob: bytes) -> Callable:
+    """Pieces between ASCII white space, and the normalized words of a piece.
+
+    A piece that holds an added token, or a word that normalizing would change once more,
+    is a word as it stands.
+    """
+    tokenizer = _tokenizer(blob)
+    normal, find = tokenizer.normalizer.normalize_str, regex.compile(WORDS).findall
+    added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+    begin = {c[0] for c in added}
+
+    def words(piece: str) -> list[bytes]:
+        if any(c in piece for c in begin) and any(c in piece for c in added):
+            return [piece.encode("utf-8")]
+        if piece.isascii() or (max(piece) < SIMPLE_BELOW and EXCEPTION not in piece):
+            return [w.encode("utf-8") for w in find(piece.lower())]
+        found = find(normal(piece))
+        if any(normal(w) != w for w in found):
+            return [piece.encode("utf-8")]
+        return [w.encode("utf-8") for w in found]
+
+    def start(chunk: Chunk) -> Callable:
+        memo = chunk.memo(words)
+
+        def split(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+            # Empty pieces, of white space at the ends, have no words.
+            lists = pa.compute.ascii_split_whitespace(pa.compute.fill_null(texts, ""))
+            coded = lists.flatten().dictionary_encode()
+            known = np.fromiter(map(memo.__getitem__, coded.dictionary.to_pylist()), np.int64, len(coded.dictionary))
+            counts = lists.value_lengths().to_numpy(zero_copy_only=False)
+            return known[coded.indices.to_numpy()], counts.astype(np.int64)
+
+        return split
+
+    return start
+
+
+def _tokenizer(blob: bytes):
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_str(blob.decode("utf-8"))
+
+
+def _encoder(blob: bytes) -> Callable[[bytes], bytes]:
+    encode = _tokenizer(blob).encode
+    return lambda word: array("i", encode(word.decode("utf-8"), add_special_tokens=False).ids).tobytes()
 
 
 def write_token_ids(docs: DataFrame, vocabulary: str, path: str, end: int = 2) -> None:
-    """Encode every whole text of ``docs`` and write the files below ``path``."""
-    blob = docs.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary))
+    """Encode every whole text of ``docs`` and write the files below ``path``.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = once("word encoder", blob.value, WordEncoder)
-        before = 0
-        for whole in batches:
-            for start in range(0, whole.num_rows, 500):
-                batch = whole.slice(start, 500)
-                ids, sizes = encoder.encode(batch.column(1).to_pylist(), end)
-                ends = np.concatenate([[0], np.cumsum(sizes)])
-                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids))
-                yield pa.record_batch(
-                    [batch.column(0), pa.array(before + ends[:-1], pa.int64()), lists],
-                    ["doc_id", "file_start", "ids"],
-                )
-                before += int(ends[-1])
-
-    placed = docs.select("doc_id", "text").repartitionByRange(F.col("doc_id").asc_nulls_first())
+    The bounds of ranges come from a scan of the ids alone, before texts are read.
+    """
+    files = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    chunk = quantile_chunks(docs.select("doc_id"), "doc_id", _FAN)
+    part = F.least(F.floor(chunk * files / (_FAN * _FAN)), F.lit(files - 1)).cast("int")
+    largest = max(_tokenizer(read_vocabulary(vocabulary)).get_vocab_size(), end)
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.record_batch([batch.column(0), unpack_ids(batch.column(1), largest)], ["doc_id", "ids"])
+
+    encoded = encode_words(docs, _splitter, _encoder, vocabulary, end, packed=True, largest=largest)
+    encoded = encoded.withColumn("_part", part)
     (
-        placed.sortWithinPartitions(F.col("doc_id").asc_nulls_first())
-        .mapInArrow(run, SCHEMA)
+        encoded.repartitionById(files, F.col("_part"))
+        .sortWithinPartitions(F.col("doc_id").asc_nulls_first())
+        .mapInArrow(unpack, "doc_id long, ids array<int>")
+        .select("doc_id", F.monotonically_increasing_id().alias("place"), "ids")
         .write.mode("overwrite")
         .option("compression", "zstd")
         .option("orc.bloom.filter.columns", "doc_id")
@@ -113,18 +128,33 @@ def write_token_ids(docs: DataFrame, vocabulary: str, path: str, end: int = 2) -
     )
 
 
-def read_token_ids(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start, ids: all documents, ``start`` being the ids of all documents before.
+def _rows(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(SCHEMA).orc(path).withColumn("file", F.col("_metadata.file_name"))
+
 
-    Only sizes are read to add up what each file holds; files follow each other by name.
+def _from_start(spark: SparkSession, path: str, rows: DataFrame) -> DataFrame:
+    """doc_id, start and the other columns of ``rows`` (doc_id, file, place, ...).
+
+    Places ascend over files as well as in them, so files follow each other by their least
+    place. What each file holds is one row a file; they are sent to all tasks if they are few.
     """
-    rows = spark.read.schema(SCHEMA).orc(path).withColumn("file", F.col("_metadata.file_name"))
-    per_file = rows.groupBy("file").agg(F.max(F.col("file_start") + F.size("ids")).alias("held"))
-    order = Window.orderBy("file")
-    base = per_file.select("file", (F.sum("held").over(order) - F.col("held")).alias("base"))
-    return rows.join(base, "file").select(
-        "doc_id", (F.col("base") + F.col("file_start")).alias("start"), "ids"
-    )
+    sizes = _rows(spark, path).select("file", "place", F.size("ids").cast("long").alias("n"))
+    sizes = materialize(sizes)
+    order = Window.orderBy("least")
+    base = sizes.groupBy("file").agg(F.min("place").alias("least"), F.sum("n").alias("held"))
+    base = materialize(base.select("file", (F.sum("held").over(order) - F.col("held")).alias("base")))
+    if base.count() <= FEW_FILES:
+        base = F.broadcast(base)
+    inside = Window.partitionBy("file").orderBy("place")
+    starts = sizes.withColumn("in_file", F.sum("n").over(inside) - F.col("n")).join(base, "file")
+    starts = starts.select("place", (F.col("base") + F.col("in_file")).alias("start"))
+    others = [c for c in rows.columns if c not in ("file", "doc_id", "place")]
+    return rows.join(starts, "place").select("doc_id", "start", *others)
+
+
+def read_token_ids(spark: SparkSession, path: str) -> DataFrame:
+    """doc_id, start, ids: all documents, ``start`` being the ids of all documents before."""
+    return _from_start(spark, path, _rows(spark, path))
 
 
 def find_documents(spark: SparkSession, path: str, doc_ids: list[int]) -> DataFrame:
@@ -133,21 +163,22 @@ def find_documents(spark: SparkSession, path: str, doc_ids: list[int]) -> DataFr
     return rows.where(F.col("doc_id").isin(doc_ids)).select("doc_id", "ids")
 
 
-def checksums(rows: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of rows with doc_id, start, ids."""
+def checksums(spark: SparkSession, path: str) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 of all documents in the files."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(2).flatten().to_numpy(zero_copy_only=False)
-            sizes = np.array([0 if n is None else n for n in pa.compute.list_value_length(batch.column(2)).to_pylist()], np.int64)
-            ends = np.concatenate([[0], np.cumsum(sizes)])
-            raw = memoryview(ids.astype("<u4").tobytes())
-            sums = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(ends[:-1], ends[1:])]
+            lists = batch.column(3)
+            raw = memoryview(lists.flatten().to_numpy(zero_copy_only=False).astype("<u4").tobytes())
+            sizes = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            ends = np.concatenate([[0], np.cumsum(sizes)]) * 4
+            sums = [zlib.crc32(raw[a:b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
             yield pa.record_batch(
-                [batch.column(0), batch.column(1), pa.array(sizes), pa.array(sums, pa.int64())],
-                ["doc_id", "start", "n_tokens", "ids_crc32"],
+                [*batch.columns[:3], pa.array(sizes), pa.array(sums, pa.int64())],
+                ["doc_id", "file", "place", "n_tokens", "ids_crc32"],
             )
 
-    return rows.select("doc_id", "start", "ids").mapInArrow(
-        run, "doc_id long, start long, n_tokens long, ids_crc32 long"
+    summed = _rows(spark, path).select("doc_id", "file", "place", "ids").mapInArrow(
+        run, "doc_id long, file string, place long, n_tokens long, ids_crc32 long"
     )
+    return _from_start(spark, path, summed)
