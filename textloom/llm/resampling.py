@@ -32,7 +32,7 @@ from textloom.functions.ordering import chunked_row_number, quantile_chunks
 from textloom.functions.runtime import materialize
 from textloom.llm.pieces import Bounded
 
-BUCKETS, LENGTH, KEPT = 65_536, 100, 400_000
+BUCKETS, LENGTH, KEPT = 65_536, 100, 200_000
 
 _word_hash = Bounded(lambda w: xxhash.xxh3_64_intdigest(w), KEPT)
 
