@@ -1,0 +1,47 @@
+from pyspark.sql import functions as F
+
+from textloom.functions import tokens as T
+from textloom.functions.strings import common_prefix, occurrences, replace_between, rotate_left
+
+
+def words(spark, profile, text):
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    got = [r.word for r in T.tokens(df, profile).collect()]
+    array = df.select(profile.array(F.col("text")).alias("w")).first().w
+    assert text is None or array == got
+    return got
+
+
+def test_strict(spark):
+    assert words(spark, T.STRICT, "a---b «Hello» foo_ don't") == ["a", "b", "hello", "foo"]
+    assert words(spark, T.STRICT, "x" * 31 + " " + "y" * 30) == ["y" * 30]
+    assert words(spark, T.STRICT, "tab\tinside Ünïcode\r\nÉté") == ["ünïcode", "été"]
+    assert words(spark, T.STRICT, None) == [] and words(spark, T.STRICT, "") == []
+
+
+def test_loose_keeps_what_holds_a_word_character(spark):
+    assert words(spark, T.LOOSE, "don't '' a\tb " + "x" * 31) == ["don't", "a\tb", "x" * 31]
+
+
+def test_simple_splits_at_blanks_only(spark):
+    assert words(spark, T.SIMPLE, "a,b c; -- (d) ?!") == ["a,b", "c", "(d)"]
+
+
+def test_latin_starts_with_a_to_z(spark):
+    assert words(spark, T.LATIN, "Abc école 1abc zed") == ["abc", "zed"]
+
+
+def test_author_and_genre(spark):
+    assert words(spark, T.AUTHOR, "«Jane» O'Neil, \n — x") == ["jane", "o'neil,", "x"]
+    assert words(spark, T.GENRE, "sci_fi Space  opera") == ["sci", "fi", "space", "opera"]
+
+
+def test_strings(spark):
+    df = spark.createDataFrame([("banana", "bandana"), ("", "x"), ("same", "same")], "a string, b string")
+    got = df.select(
+        occurrences(F.col("a"), "a").alias("n"),
+        rotate_left(F.col("a")).alias("r"),
+        replace_between(F.col("b"), 0, 1, "--").alias("p"),
+        common_prefix(F.col("a"), F.col("b")).alias("c"),
+    ).collect()
+    assert [tuple(r) for r in got] == [(3, "ananab", "--ndana", "ban"), (0, "", "--", ""), (1, "ames", "--me", "same")]
