@@ -312,22 +312,23 @@ def zoned(spark, sf_dir):
     return zones.zone_postings(documents(spark, sf_dir), [("text", T.STRICT), ("source", T.AUTHOR), ("lang", T.GENRE)])
 
 
-_WEIGHT = F.round(F.col("weight").cast("double"), 6).alias("weight")
+def _weight():
+    return F.round(F.col("weight").cast("double"), 6).alias("weight")
 
 
 @query("zone_index", _ZONED + "SELECT word, doc_id, weight FROM r")
 def zone_index(spark, sf_dir):
-    return zones.weighted(zoned(spark, sf_dir)).select("word", "doc_id", _WEIGHT)
+    return zones.weighted(zoned(spark, sf_dir)).select("word", "doc_id", _weight())
 
 
 @query("zone_query", _ZONED + "SELECT doc_id, weight FROM r WHERE word = 'de'")
 def zone_query(spark, sf_dir):
-    return zones.rank(zoned(spark, sf_dir), "de").select("doc_id", _WEIGHT)
+    return zones.rank(zoned(spark, sf_dir), "de").select("doc_id", _weight())
 
 
 @query("zone_weights", _ZONED + "SELECT doc_id, (CASE WHEN z0 THEN 1.0 ELSE 0 END + CASE WHEN z2 THEN 2.0 ELSE 0 END)::DOUBLE AS weight FROM s WHERE word = 'de'")
 def zone_weights(spark, sf_dir):
-    return zones.rank(zoned(spark, sf_dir), "de", (1.0, 0.5, 2.0)).select("doc_id", _WEIGHT)
+    return zones.rank(zoned(spark, sf_dir), "de", (1.0, 0.5, 2.0)).select("doc_id", _weight())
 
 
 @query("zone_bits", _ZONED + "SELECT word, doc_id, concat_ws(',', z0::VARCHAR, z1::VARCHAR, z2::VARCHAR) AS zones FROM s")
