@@ -45,3 +45,11 @@ def small_enough(df: DataFrame, rows: int) -> DataFrame:
     """
     df = materialize(df)
     return F.broadcast(df) if df.count() <= rows else df
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name like ``name`` that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
