@@ -57,11 +57,16 @@ def feistel(x: Column, n: int, key: str) -> Column:
 
 
 def longest_walk(spark, n: int, key: str) -> int:
-    """Steps that the slowest cell outside ``0..n-1`` needs to come inside."""
+    """Steps that the slowest cell outside ``0..n-1`` needs to come inside.
+
+    Cells that never do form cycles of their own, which no row enters; there are at most
+    as many steps as cells outside.
+    """
     a, b = grid(n)
-    if a * b == n:
+    outside = a * b - n
+    if n == 0 or not outside:
         return 0
-    tries = 16
+    tries = min(16, outside)
     while True:
         def step(s: Column, _: Column) -> Column:
             moved = F.struct(feistel(s["x"], n, key).alias("x"), (s["k"] + 1).alias("k"))
@@ -69,11 +74,12 @@ def longest_walk(spark, n: int, key: str) -> int:
 
         start = F.struct(F.col("id").alias("x"), F.lit(0).alias("k"))
         walked = F.aggregate(F.sequence(F.lit(1), F.lit(tries)), start, step)
-        out = spark.range(n, a * b, 1, 1).select(walked.alias("s"))
-        top = out.agg(F.max("s.k").alias("k"), F.max("s.x").alias("x")).first()
-        if top["x"] < n:
-            return top["k"]
-        tries *= 2
+        out = spark.range(n, a * b).select(walked.alias("s"))
+        came = F.col("s.x") < n
+        top = out.agg(F.max(F.when(came, F.col("s.k"))).alias("k"), F.bool_and(came).alias("all")).first()
+        if top["all"] or tries == outside:
+            return top["k"] or 0
+        tries = min(2 * tries, outside)
 
 
 def permute(x: Column, n: int, key: str, walk: int) -> Column:
