@@ -22,7 +22,7 @@ blocks of queries, so the result always has ``k`` rows or all there are.
 
 Defined results: vectors that are null, zero, of another length than most, or hold null or
 non-finite components take no part, nor do null ids; rows with equal ids are one item with
-several vectors, which scores its best; ties go to the smaller id; an empty table gives an
+several vectors, which scores the best that is found; ties go to the smaller id; an empty table gives an
 empty result; other columns are not read.
 """
 

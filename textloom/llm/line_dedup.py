@@ -36,7 +36,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.functions.runtime import materialize
+from textloom.functions.runtime import fresh, materialize
+from textloom.llm.pieces import strings, tidy
 
 _WINDOWS = "doc_id long, text_hash long, windows array<struct<print: long, at: int, hash: long, start: int, stop: int>>"
 _STRUCT = pa.list_(
@@ -88,8 +89,12 @@ def find_windows(text: str, min_words: int) -> list[dict]:
 
 def _scan(min_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [x or "" for x in batch.column(1).to_pylist()]
+        with tidy():
+            yield from scanned(batches)
+
+    def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (b.slice(i, 500) for b in batches for i in range(0, b.num_rows, 500)):
+            texts = strings(batch.column(1))
             yield pa.record_batch(
                 [
                     batch.column(0),
@@ -139,21 +144,23 @@ def _cut_lines(text: pa.Array, starts: pa.Array, stops: pa.Array) -> pa.Array:
 
 
 def dedup_lines(docs: DataFrame, min_words: int = 50) -> DataFrame:
-    """``docs`` with ``_cut``: the text without repeated runs, and what was taken out.
+    """``docs`` with one more column, ``_cut``: the text without repeated runs, and what was
+    taken out.
 
-    ``_cut`` has text, lines (lines with words before), removed (of these) and removed_words.
+    It has text, lines (lines with words before), removed (of these) and removed_words.
     """
     hash_text = F.arrow_udf(_hash_text, "long")
     cut_lines = F.arrow_udf(_cut_lines, "struct<text: string, lines: long, removed: long, removed_words: long>")
     runs = repeated_runs(docs, min_words)
+    key, cut, ranges = (fresh(docs, name) for name in ("_key", "_cut", "_ranges"))
     per = runs.groupBy(F.col("doc_id").alias("_i"), F.col("text_hash").alias("_h")).agg(
-        F.collect_set(F.struct("start", "stop")).alias("_r")
+        F.collect_set(F.struct("start", "stop")).alias(ranges)
     )
-    keyed = docs.withColumn("_key", hash_text(F.col("text")))
-    same = keyed["doc_id"].eqNullSafe(per["_i"]) & (keyed["_key"] == per["_h"])
+    keyed = docs.withColumn(key, hash_text(F.col("text")))
+    same = keyed["doc_id"].eqNullSafe(per["_i"]) & (keyed[key] == per["_h"])
     joined = keyed.join(per, same, "left")
-    cut = cut_lines(F.col("text"), F.col("_r.start"), F.col("_r.stop"))
-    return joined.select(*[keyed[c] for c in docs.columns], cut.alias("_cut"))
+    found = cut_lines(keyed["text"], joined[ranges]["start"], joined[ranges]["stop"])
+    return joined.select(*[keyed[c] for c in docs.columns], found.alias(cut))
 
 
 def has_words(text: Column) -> Column:
@@ -162,7 +169,7 @@ def has_words(text: Column) -> Column:
 
 def drop_repeated_lines(docs: DataFrame, min_words: int = 50) -> DataFrame:
     """``docs`` with their columns, less repeated runs; documents that lost all words go."""
-    cut = dedup_lines(docs, min_words)
-    emptied = (F.col("_cut.removed") > 0) & ~has_words(F.col("_cut.text"))
-    left = cut.where(~emptied)
-    return left.select(*[F.col("_cut.text").alias("text") if c == "text" else F.col(c) for c in docs.columns])
+    deduped = dedup_lines(docs, min_words)
+    cut = F.col(deduped.columns[-1])
+    left = deduped.where(~((cut["removed"] > 0) & ~has_words(cut["text"])))
+    return left.select(*[cut["text"].alias("text") if c == "text" else F.col(c) for c in docs.columns])

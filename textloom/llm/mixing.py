@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.functions.ordering import chunked_row_number
-from textloom.functions.runtime import materialize
+from textloom.functions.runtime import fresh, materialize
 from textloom.llm.text import word_count
 
 #: Chunks of equal size class into which a source's rows are spread.
@@ -101,10 +101,12 @@ def mix_documents(docs: DataFrame, max_copies: int = 3, **options) -> DataFrame:
     key = lambda size: F.struct("doc_id", "source", size.alias("size"))
     plan = plan_mix(docs, max_copies=max_copies, **options)
     some = [F.count_if(F.col("copies") >= c).alias(f"_at_least_{c}") for c in range(1, max_copies + 1)]
-    plan = plan.where("copies > 0").groupBy(key(F.col("size")).alias("_key")).agg(*some)
-    whole = docs.withColumn("_key", key(word_count(F.col("text"))))
-    own = Window.partitionBy("_key").orderBy(F.xxhash64("text"))
-    joined = whole.withColumn("_own", F.row_number().over(own)).join(plan, "_key")
-    copies = sum((F.col("_own") <= F.col(f"_at_least_{c}")).cast("int") for c in range(1, max_copies + 1))
-    taken = joined.withColumn("_n", copies).where("_n > 0").withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_n"))))
-    return taken.select(*docs.columns)
+    name, own, times = (fresh(docs, n) for n in ("_key", "_own", "_times"))
+    plan = plan.where("copies > 0").groupBy(key(F.col("size")).alias(name)).agg(*some)
+    whole = docs.withColumn(name, key(word_count(F.col("text"))))
+    order = Window.partitionBy(name).orderBy(F.xxhash64("text"))
+    joined = whole.withColumn(own, F.row_number().over(order)).join(plan, name)
+    copies = sum((F.col(own) <= plan[f"_at_least_{c}"]).cast("int") for c in range(1, max_copies + 1))
+    taken = joined.withColumn(times, copies).where(F.col(times) > 0)
+    taken = taken.withColumn(times, F.explode(F.sequence(F.lit(1), F.col(times))))
+    return taken.select(*[whole[c] for c in docs.columns])
