@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 
 from textloom.functions.runtime import materialize
 
+#: Edges in a partition, about.
+EDGES = 200_000
+
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -29,15 +32,15 @@ def _small_star(edges: DataFrame) -> DataFrame:
 
 def connected_components(links: DataFrame) -> DataFrame:
     """node, component (its least node) for every node of the links (a, b)."""
-    edges = links.select(F.col("a").alias("u"), F.col("b").alias("v")).where("a <> b").distinct()
-    before = None
-    while True:
-        edges = materialize(_small_star(_large_star(edges)))
+    edges = materialize(links.select(F.col("a").alias("u"), F.col("b").alias("v")).where("a <> b").distinct())
+    count = edges.count()
+    # Edges do not grow in number, so few partitions suffice for few of them.
+    parts = count // EDGES + 1
+    before, now = None, (count,)
+    while count and now != before:
+        edges = materialize(_small_star(_large_star(edges.coalesce(parts))).coalesce(parts))
         # The set of edges is compared by its size and the combined hash of its rows.
-        now = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if now == before:
-            break
-        before = now
+        before, now = now, edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
     tops = edges.select(F.col("v").alias("node")).distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
         tops.select("node", F.col("node").alias("component"))

@@ -11,14 +11,21 @@ in at most one symbol in some chunk (pigeonhole, 47 < 2 * 24); each chunk is ent
 an index once for each symbol that may be wrong, keyed by the others. A pair with J of 0.8
 differs in 48 or more symbols with a probability of about 2e-6, so links are not lost.
 
-From the buckets of the index come pairs to confirm, in two rounds, so that a group of
+From the buckets of the index come pairs to confirm, in three rounds, so that a group of
 near copies does not make all its pairs:
 
-1. every member is paired with the first of its bucket and the two before it, which is
-   all pairs for up to four members; pairs within the distance are confirmed on full sets,
-   and the components of the links are found;
-2. buckets of more members that still lie in different components yield their pairs across
-   components that have not been tried. After that no pair of a bucket is left open.
+1. every class is paired with the least class that it shares a bucket with; a pair within
+   the distance is confirmed on the full sets;
+2. every member of a bucket is paired with the first and the two before it, which is all
+   pairs for up to four members, but for those that the first round has linked with the
+   same class; then the components of all links are found;
+3. buckets of more members that still lie in different components are finished apart.
+   Components that meet in such a bucket form crowds; signatures are compared inside a
+   crowd, in blocks and across components only, and what passes is gathered to clusters of
+   near signatures. A cluster is dealt to blocks of about 500, large components having
+   blocks of their own, and two blocks are compared on full sets in one task. What comes
+   out is links between components, not pairs of documents. After that no pair of a bucket
+   is open.
 
 Everything is distributed: components come from joins and grouped minima, not from a
 driver-side union-find.
@@ -41,16 +48,20 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.functions.runtime import materialize
+from textloom.functions.runtime import materialize, small_enough
 from textloom.llm.components import connected_components
-from textloom.llm.pieces import Bounded
+from textloom.llm.pieces import Bounded, tidy
 
 SYMBOLS, CHUNKS = 128, 24
 DISTANCE = 2 * CHUNKS - 1
-#: Members of a bucket up to which the first round tries all pairs.
+#: Members of a bucket up to which the second round tries all pairs.
 SMALL = 4
+#: In the third round, members of a block when sets are compared, and when signatures are.
+BLOCK, CROWD = 500, 4_096
+#: Ids up to which the wanted texts are picked where they are scanned; beyond it by a join.
+FEW_IDS = 1_000_000
 #: Hashes of words that a Python worker keeps.
-KEPT = 400_000
+KEPT = 200_000
 
 _U = np.uint64
 
@@ -120,6 +131,10 @@ def index_keys(signatures: np.ndarray) -> np.ndarray:
 
 def _signatures(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with tidy():
+            yield from signed(batches)
+
+    def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, high, low, signs = [], [], [], []
             for text in batch.column(1):
@@ -159,7 +174,7 @@ def _within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(i, 500) for b in batches for i in range(0, b.num_rows, 500)):
             sets = [shingle_set(x.as_py(), width).view(np.int64) for x in batch.column(1)]
             ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
             flat = np.concatenate(sets) if sets else np.zeros(0, np.int64)
@@ -169,39 +184,191 @@ def _sets(width: int):
     return run
 
 
+def _similar(a: np.ndarray, b: np.ndarray, similarity: int) -> bool:
+    shared = len(np.intersect1d(a, b, assume_unique=True))
+    return shared * 100 >= (len(a) + len(b) - shared) * similarity
+
+
+def _across(similarity: int):
+    """Links (a, b) between components of the members of two blocks (side 0 and 1), or of
+    one block; one for each two components that it joins, links implied by others left out."""
+
+    def run(members: pa.Table) -> pa.Table:
+        side = members["side"].to_numpy()
+        sets = [np.array(x, np.int64) for x in members["shingles"].to_pylist()]
+        signs = _matrix(members["signature"].combine_chunks())
+        component = members["component"].to_numpy()
+        size = np.fromiter(map(len, sets), np.int64, len(sets))
+        left, right = np.nonzero(side == 0)[0], np.nonzero(side == side.max())[0]
+        top = {c: c for c in component.tolist()}
+
+        def find(c: int) -> int:
+            while top[c] != c:
+                top[c] = top[top[c]]
+                c = top[c]
+            return c
+
+        out = []
+        for i in left:
+            other = right[component[right] != component[i]]
+            small, large = np.minimum(size[other], size[i]), np.maximum(size[other], size[i])
+            other = other[small * 100 >= large * similarity]
+            other = other[(signs[other] != signs[i]).sum(axis=1) <= DISTANCE]
+            for j in other.tolist():
+                a, b = find(int(component[i])), find(int(component[j]))
+                if a != b and _similar(sets[i], sets[j], similarity):
+                    top[max(a, b)] = min(a, b)
+                    out.append((int(component[i]), int(component[j])))
+        columns = list(zip(*out)) or [[], []]
+        return pa.table([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64())], ["a", "b"])
+
+    return run
+
+
+def _near_in_crowd(crowd: dict[str, np.ndarray]) -> list[tuple[int, int]]:
+    """(rep, root) of members with a near signature in another component.
+
+    Members that are joined by such pairs have the same root.
+    """
+    rep, component, size, block = (crowd[k] for k in ("rep", "component", "n", "block"))
+    signs = crowd["signature"]
+    kinds, counts = np.unique(component, return_counts=True)
+    rest = np.nonzero(component != kinds[counts.argmax()])[0]
+    label, met = np.arange(len(rep)), np.zeros(len(rep), bool)
+    twofold = block.min() != block.max()
+    for i in rest.tolist():
+        ok = (component != component[i]) & (
+            np.minimum(size, size[i]) * 100 >= np.maximum(size, size[i]) * crowd["similarity"]
+        )
+        if twofold:
+            ok &= block != block[i]
+        other = np.nonzero(ok)[0]
+        other = other[(signs[other] != signs[i]).sum(axis=1) <= DISTANCE]
+        if len(other):
+            met[other] = met[i] = True
+            for old in np.unique(label[other]).tolist():
+                if old != label[i]:
+                    label[label == old] = label[i]
+    # The least member is the root, so that buckets with the same members agree on it.
+    least = np.full(len(rep), np.iinfo(np.int64).max)
+    np.minimum.at(least, label[met], rep[met])
+    return [(int(rep[i]), int(least[label[i]])) for i in np.nonzero(met)[0]]
+
+
+def _near(similarity: int):
+    """Rows (crowd, left, right, block, rep, component, n, signature), two blocks in a run."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
+        for batch in batches:
+            groups = pa.compute.binary_join_element_wise(
+                *[batch.column(k).cast(pa.string()) for k in range(3)], ":"
+            ).to_pylist()
+            cuts = [0, *[i for i in range(1, len(groups)) if groups[i] != groups[i - 1]], len(groups)]
+            for a, b in zip(cuts, cuts[1:]):
+                if a == b:
+                    continue
+                if held and held[0] != groups[a]:
+                    yield finish(held[1:])
+                    held = []
+                held = held or [groups[a]]
+                held.append(pa.Table.from_batches([batch.slice(a, b - a)]))
+        if held:
+            yield finish(held[1:])
+
+    def finish(parts: list[pa.Table]) -> pa.RecordBatch:
+        table = pa.concat_tables(parts).combine_chunks()
+        crowd = {k: table[k].to_numpy() for k in ("rep", "component", "n", "block")}
+        crowd |= {"signature": _matrix(table["signature"].combine_chunks()), "similarity": similarity}
+        found = list(zip(*_near_in_crowd(crowd))) or [[], []]
+        return pa.record_batch([pa.array(found[0], pa.int64()), pa.array(found[1], pa.int64())], ["a", "b"])
+
+    return run
+
+
 class _Confirmer:
-    """Confirms candidate pairs on signatures, then on the full sets of their texts."""
+    """Confirms candidates on signatures, then on the full sets of their texts."""
 
     def __init__(self, docs: DataFrame, classes: DataFrame, width: int, similarity: int):
         self.docs, self.classes, self.width, self.similarity = docs, classes, width, similarity
 
-    def sizes_allow(self, a: Column, b: Column) -> Column:
-        """Sets whose sizes differ too much cannot be similar enough."""
-        return F.least(a, b) * 100 >= F.greatest(a, b) * self.similarity
+    def sets(self, wanted: DataFrame) -> DataFrame:
+        """rep, shingles of the documents in ``wanted`` (doc_id), materialized."""
+        wanted = small_enough(wanted.distinct(), FEW_IDS)
+        texts = self.docs.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+        return materialize(texts.mapInArrow(_sets(self.width), "rep long, shingles array<long>"))
 
     def links(self, pairs: DataFrame) -> DataFrame:
-        """Distinct (a, b) of ``pairs`` that are similar enough."""
+        """The distinct ``pairs`` (a, b) that are similar enough."""
         side = lambda x: self.classes.select(
             F.col("rep").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("signature").alias(f"sign_{x}")
         )
+        fits = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * self.similarity
         near = (
             pairs.join(side("a"), "a")
             .join(side("b"), "b")
-            .where(self.sizes_allow(F.col("n_a"), F.col("n_b")))
+            .where(fits)
             .select("a", "b", "sign_a", "sign_b")
             .mapInArrow(_within, "a long, b long")
         )
         near = materialize(near)
-        wanted = near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-        texts = self.docs.join(wanted, "doc_id", "left_semi").select("doc_id", "text").dropDuplicates(["doc_id"])
-        sets = texts.mapInArrow(_sets(self.width), "rep long, shingles array<long>")
-        sets = materialize(sets)
+        sets = self.sets(near.select(F.explode(F.array("a", "b")).alias("doc_id")))
         one = lambda x: sets.select(F.col("rep").alias(x), F.col("shingles").alias(f"set_{x}"))
         both = near.join(one("a"), "a").join(one("b"), "b")
         shared = F.size(F.array_intersect("set_a", "set_b"))
         union = F.size("set_a") + F.size("set_b") - shared
         return both.where(shared * 100 >= union * self.similarity).select("a", "b")
 
+    def links_across(self, members: DataFrame) -> DataFrame:
+        """Links (a, b) between components, of members (rep, component, crowd)."""
+        full = members.groupBy("crowd").agg(F.ceil(F.count(F.lit(1)) / CROWD).alias("blocks"))
+        block = F.pmod(F.xxhash64("rep"), F.col("blocks")).alias("block")
+        signs = self.classes.select("rep", F.col("n_shingles").alias("n"), "signature")
+        signed = members.join(full, "crowd").join(signs, "rep")
+        signed = signed.select("crowd", "rep", "component", "n", "signature", "blocks", block).withColumn(
+            "with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+        )
+        crowds = signed.select(
+            "crowd", F.least("block", "with").alias("left"), F.greatest("block", "with").alias("right"), "block", "rep", "component", "n", "signature"
+        )
+        runs = crowds.repartition("crowd", "left", "right").sortWithinPartitions("crowd", "left", "right")
+        near = materialize(runs.mapInArrow(_near(self.similarity), "a long, b long").distinct())
+        cluster = connected_components(near).toDF("rep", "home")
+        own = members.select("rep", "component").distinct().join(cluster, "rep")
+        own = materialize(own)
+        blocked = materialize(own.join(_block_plan(own), ["home", "component"]).select("rep", "component", "home", _block()))
+        names = blocked.select("home", "block").distinct()
+        owner = lambda x: F.substring_index(x, ":", 2)
+        same_owner = F.col("a").contains(":own:") & (owner("a") == owner("b"))  # component:own
+        two = names.withColumnRenamed("block", "a").join(names.withColumnRenamed("block", "b"), "home").where("a <= b")
+        two = materialize(two.where(~same_owner).select("a", "b"))
+        blocked = blocked.select("rep", "component", "block")
+        whole = (
+            blocked.join(self.sets(blocked.select(F.col("rep").alias("doc_id"))), "rep")
+            .join(self.classes.select("rep", "signature"), "rep")
+        )
+        side = lambda n, at: two.join(whole.withColumnRenamed("block", at), at).select(
+            "a", "b", F.lit(n).alias("side"), "component", "signature", "shingles"
+        )
+        sides = side(0, "a").unionByName(side(1, "b").where("a <> b"))
+        return sides.groupBy("a", "b").applyInArrow(_across(self.similarity), "a long, b long").distinct()
+
+
+def _block_plan(own: DataFrame) -> DataFrame:
+    """home, component, large, parts: how the members of a component are dealt to blocks."""
+    sizes = own.groupBy("home", "component").agg(F.count(F.lit(1)).alias("n"))
+    sizes = sizes.withColumn("large", F.col("n") >= BLOCK)
+    rest = sizes.groupBy("home").agg(F.sum(F.when(~F.col("large"), F.col("n"))).alias("rest"))
+    held = F.when(F.col("large"), F.col("n")).otherwise(F.col("rest"))
+    return sizes.join(rest, "home").select("home", "component", "large", F.ceil(held / BLOCK).alias("parts"))
+
+
+def _block() -> Column:
+    """Large components have blocks of their own; small ones of a bucket share blocks whole."""
+    own = F.concat_ws(":", "component", F.lit("own"), "home", F.pmod(F.xxhash64("rep"), F.col("parts")))
+    shared = F.concat_ws(":", "home", F.lit("all"), F.pmod(F.xxhash64("component"), F.col("parts")))
+    return F.when(F.col("large"), own).otherwise(shared).alias("block")
+
 
 def near_duplicates(docs: DataFrame, width: int = 5, similarity: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs``.
@@ -244,36 +411,42 @@ def _components(docs: DataFrame, classes: DataFrame, confirm: _Confirmer) -> Dat
         F.first("rep").over(order).alias("head"),
         F.lag("rep", 1).over(order).alias("one"),
         F.lag("rep", 2).over(order).alias("two"),
-        F.lead("rep", 1).over(order).alias("next"),
-        F.row_number().over(order).alias("place"),
-    ).where("head <> rep OR next IS NOT NULL")
+        F.count(F.lit(1)).over(Window.partitionBy("key")).alias("members"),
+    ).where("members > 1")
     member = materialize(member)
-    tried = (
+    nearest = materialize(member.where("head <> rep").groupBy("rep").agg(F.min("head").alias("a")).select("a", F.col("rep").alias("b")))
+    links = materialize(confirm.links(nearest))
+    root = lambda x: links.select(F.col("b").alias(x), F.col("a").alias(f"root_{x}"))
+    least = nearest.select(F.col("a").alias("least"), "b")
+    other = (
         member.where("head <> rep")
         .select(F.explode(F.array_distinct(F.array("head", "one", "two"))).alias("a"), F.col("rep").alias("b"))
         .where("a IS NOT NULL")
         .distinct()
+        .join(least, "b")
+        .where("a <> least")
+        .join(root("a"), "a", "left")
+        .join(root("b"), "b", "left")
+        .where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b"))
+        .select("a", "b")
     )
-    links = materialize(confirm.links(tried))
+    links = links.unionByName(materialize(confirm.links(other)))
     found = connected_components(links)
-    large = member.where(f"place > {SMALL}").select("key").distinct()
-    open_members = member.join(large, "key", "left_semi").select("key", "rep")
-    named = open_members.join(found.withColumnRenamed("node", "rep"), "rep", "left").select(
-        "key", "rep", F.coalesce("component", "rep").alias("component")
+    # A bucket is open if a member lies in another component than the first one does.
+    meet = member.where((F.col("members") > SMALL) & (F.col("head") != F.col("rep"))).select("head", "rep").distinct()
+    part = lambda x: found.select(F.col("node").alias(x), F.col("component").alias(f"of_{x}"))
+    meet = meet.join(part("head"), "head", "left").join(part("rep"), "rep", "left")
+    meet = materialize(
+        meet.select("head", "rep", F.coalesce("of_head", "head").alias("a"), F.coalesce("of_rep", "rep").alias("b"))
     )
-    split = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
-    named = materialize(named.join(split.where("lo <> hi"), "key").select("key", "rep", "component"))
-    sizes = classes.select("rep", "n_shingles")
-    sized = named.join(sizes, "rep")
-    left = sized.select("key", F.col("rep").alias("a"), F.col("component").alias("ca"), F.col("n_shingles").alias("na"))
-    right = sized.select("key", F.col("rep").alias("b"), F.col("component").alias("cb"), F.col("n_shingles").alias("nb"))
-    met = (left["key"] == right["key"]) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb"))
-    rest = left.join(right, met & confirm.sizes_allow(F.col("na"), F.col("nb"))).select("a", "b").distinct()
-    rest = rest.join(tried, ["a", "b"], "left_anti")
-    more = materialize(confirm.links(rest))
-    if more.isEmpty():
+    crowd = connected_components(meet.where("a <> b").select("a", "b").distinct()).toDF("component", "crowd")
+    members = meet.select(F.explode(F.array(F.struct(F.col("head").alias("rep"), F.col("a").alias("component")), F.struct("rep", F.col("b").alias("component")))).alias("m"))
+    open_members = materialize(members.select("m.*").distinct().join(crowd, "component"))
+    if open_members.isEmpty():
         return found
-    return connected_components(links.unionByName(more))
+    more = materialize(confirm.links_across(open_members))
+    # Links between components join their least nodes, so they can stand beside the first.
+    return connected_components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
 
 
 def drop_near_duplicates(docs: DataFrame, width: int = 5, similarity: int = 80) -> DataFrame:
@@ -282,5 +455,5 @@ def drop_near_duplicates(docs: DataFrame, width: int = 5, similarity: int = 80)
     Rows with the same id are copies of one another and one of them stays; rows with a
     null id stay.
     """
-    gone = near_duplicates(docs, width, similarity).where("NOT kept").select("doc_id").distinct()
+    gone = small_enough(near_duplicates(docs, width, similarity).where("NOT kept").select("doc_id").distinct(), FEW_IDS)
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
