@@ -97,12 +97,12 @@ def test_chunks_and_blocks(documents, monkeypatch):
     path = vocabulary("byte_bpe_multi_50k.tiktoken")
     docs = documents([(i, f"word{i % 7} and text {i}\n  and more" * (i % 5)) for i in range(200)])
     want = sorted((r.doc_id, r.ids) for r in byte_bpe.encode(docs, path).collect())
-    for name, value in (("CHUNK", 100), ("BLOCK", 30), ("SLICE", 50)):
+    for name, value in (("BLOCK", 30), ("SLICE", 50)):
         monkeypatch.setattr(distinct_words, name, value)
     blob = type("B", (), {"value": open(path, "rb").read()})
     monkeypatch.setattr(distinct_words, "TaskContext", type("C", (), {"get": staticmethod(lambda: type("T", (), {"partitionId": lambda self: 3})())}))
     rows = docs.select("doc_id", "text").toArrow().to_batches()
-    parts = list(distinct_words._explode(4, blob, byte_bpe._splitter)(iter(rows)))
+    parts = list(distinct_words._explode(4, blob, byte_bpe._splitter, 100)(iter(rows)))
     parts.sort(key=lambda b: b.column(0)[0].as_py())
     coded = [b for b in distinct_words._encode(blob, byte_bpe._encoder)(iter(parts))]
     import pyarrow as pa

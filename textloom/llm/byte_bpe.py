@@ -54,12 +54,12 @@ def _splitter(_: bytes) -> Callable:
     return start
 
 
-def _encoder(blob: bytes) -> Callable[[bytes], bytes]:
+def _encoder(blob: bytes) -> Callable[[list[bytes]], list[bytes]]:
     import tiktoken
 
     ranks = read_ranks(blob)
     encode = tiktoken.Encoding("words", pat_str=PRE_TOKENS, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-    return lambda word: array("i", encode(word.decode("utf-8"))).tobytes()
+    return lambda words: [array("i", encode(w.decode("utf-8"))).tobytes() for w in words]
 
 
 def encode(docs: DataFrame, vocabulary: str) -> DataFrame:
@@ -77,26 +77,49 @@ class _TokenBytes:
         self.ends = np.concatenate([[0], np.cumsum(np.fromiter(map(len, table), np.int64, len(table)))])
 
 
+_DECODED = "doc_id long, packed_ids binary, decoded binary"
+
+
+def _decoder(blob: bytes) -> Callable[[pa.Table], pa.Table]:
+    """Turns doc_id, ids into doc_id, packed_ids (little-endian, 32 bits), decoded."""
+    table = _TokenBytes(blob)
+
+    def run(rows: pa.Table) -> pa.Table:
+        out = []
+        for batch in rows.to_batches():
+            for start in range(0, batch.num_rows, 500):
+                part = batch.slice(start, 500)
+                lists = part.column(1)
+                sizes = pa.compute.fill_null(lists.value_lengths(), 0).to_numpy(zero_copy_only=False)
+                ids = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+                text, at = take_runs(table.flat, table.ends, ids)
+                ends = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+                columns = [part.column(0), _binaries(ids.astype("<u4"), ends * 4), _binaries(text, at[ends])]
+                out.append(pa.record_batch(columns, ["doc_id", "packed_ids", "decoded"]))
+        names = [("doc_id", pa.int64()), ("packed_ids", pa.binary()), ("decoded", pa.binary())]
+        return pa.Table.from_batches(out, pa.schema(names))
+
+    return run
+
+
 def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
     """doc_id, packed_ids (little-endian 32-bit ids), decoded (bytes) of rows with doc_id, ids."""
     blob = encoded.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = once("token bytes", blob.value, _TokenBytes)
-        for whole in batches:
-            for start in range(0, whole.num_rows, 500):
-                batch = whole.slice(start, 500)
-                lists = batch.column(1)
-                sizes = np.fromiter((n or 0 for n in pa.compute.list_value_length(lists).to_pylist()), np.int64, len(lists))
-                ids = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-                text, at = take_runs(table.flat, table.ends, ids)
-                ends = np.concatenate([[0], np.cumsum(sizes)])
-                yield pa.record_batch(
-                    [batch.column(0), _binaries(ids.astype("<u4"), ends * 4), _binaries(text, at[ends])],
-                    ["doc_id", "packed_ids", "decoded"],
-                )
+        decoder = once("decoder", blob.value, _decoder)
+        for batch in batches:
+            yield from decoder(pa.Table.from_batches([batch])).to_batches()
+
+    return encoded.select("doc_id", "ids").mapInArrow(run, _DECODED)
+
+
+def encode_decode(docs: DataFrame, vocabulary: str) -> DataFrame:
+    """doc_id, packed_ids, decoded of every row of ``docs``: ids, and what they decode to.
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, packed_ids binary, decoded binary")
+    Like ``decode`` after ``encode``, in one pass over the ids.
+    """
+    return encode_words(docs, _splitter, _encoder, vocabulary, finish=_decoder, finish_schema=_DECODED)
 
 
 def _binaries(values: np.ndarray, ends: np.ndarray) -> pa.Array:
@@ -106,8 +129,7 @@ def _binaries(values: np.ndarray, ends: np.ndarray) -> pa.Array:
 
 def digests(docs: DataFrame, vocabulary: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 after encoding and decoding ``docs``."""
-    back = decode(encode(docs, vocabulary), vocabulary)
-    return back.select(
+    return encode_decode(docs, vocabulary).select(
         "doc_id",
         (F.octet_length("packed_ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("packed_ids", 256).alias("ids_sha256"),

@@ -31,9 +31,9 @@ from pyspark.sql import DataFrame
 from textloom.llm.pieces import once, read_vocabulary, tidy
 
 #: Positions after which a chunk ends, and a block inside it.
-CHUNK, BLOCK = 4_000_000, 250_000
+CHUNK, BLOCK = 2_000_000, 250_000
 #: Bytes of text that are split at a time.
-SLICE = 1_500_000
+SLICE = 10_000_000
 _EXPLODED = pa.schema(
     [
         ("bucket", pa.int32()),
@@ -57,15 +57,23 @@ def take_runs(values: np.ndarray, ends: np.ndarray, at: np.ndarray) -> tuple[np.
     return values[np.arange(out[-1]) + np.repeat(starts - out[:-1], sizes)], out
 
 
+def _planes(numbers: np.ndarray, kind: np.dtype) -> bytes:
+    """Bytes of little-endian numbers, all lowest ones first."""
+    return numbers.astype(kind).view(np.uint8).reshape(-1, kind.itemsize).T.tobytes()
+
+
+def _from_planes(raw: bytes, kind: np.dtype) -> np.ndarray:
+    planes = np.frombuffer(raw, np.uint8).reshape(kind.itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
+
+
 def pack(numbers: np.ndarray) -> bytes:
-    """Compress small numbers: byte planes, lowest first, then zstd."""
-    planes = numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T
-    return zstandard.compress(planes.tobytes(), 3)
+    """Compress small numbers."""
+    return zstandard.compress(_planes(numbers, np.dtype("<u4")), 3)
 
 
 def unpack(payload: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.decompress(payload), np.uint8).reshape(4, -1)
-    return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
+    return _from_planes(zstandard.decompress(payload), np.dtype("<u4")).astype(np.int64)
 
 
 def pack_runs(parts: list[bytes]) -> bytes:
@@ -107,9 +115,20 @@ class Memo(dict):
         return value
 
 
+#: Stands between pieces whose words are found together; a str, while words may be bytes.
+BETWEEN = "\n"
+
+
 class _Slots(dict):
+    """Numbers of words, in order of their first mention."""
+
+    def __init__(self):
+        self.count = 0
+        self[BETWEEN] = -1
+
     def __missing__(self, word):
-        number = self[word] = len(self)
+        number = self[word] = self.count
+        self.count += 1
         return number
 
 
@@ -117,7 +136,8 @@ class Chunk:
     """Distinct words of the documents read since the last chunk ended.
 
     ``memo`` makes a table from pieces of texts to their numbers in this chunk, given the
-    function from a piece to its words, as bytes.
+    function from a piece to its words, as str or bytes. Pieces must be learned in the order
+    in which texts mention them.
     """
 
     def __init__(self, number: int):
@@ -136,12 +156,21 @@ class Chunk:
     def memo(self, words_of: Callable) -> Memo:
         return Memo(lambda piece: self._learn(words_of(piece)))
 
-    def _learn(self, words: list[bytes]) -> int:
+    def _learn(self, words: list) -> int:
         self.words.extend(map(self.slots.__getitem__, words))
         self.sizes_of.append(len(words))
         self.learned += 1
         return self.learned - 1
 
+    def learn_all(self, words: list, memo: Memo, pieces: list) -> None:
+        """Learn ``pieces``, whose ``words`` follow each other with BETWEEN after a piece."""
+        numbers = np.fromiter(map(self.slots.__getitem__, words), np.int64, len(words))
+        ends = np.concatenate([[-1], np.nonzero(numbers < 0)[0], [len(numbers)]])
+        self.words.extend(numbers[numbers >= 0].tolist())
+        self.sizes_of.extend((np.diff(ends) - 1).tolist())
+        memo.update(zip(pieces, range(self.learned, self.learned + len(pieces))))
+        self.learned += len(pieces)
+
     def add(self, doc_ids: list[int | None], pieces: np.ndarray, counts: np.ndarray) -> None:
         """Documents with the numbers of their pieces, ``counts`` for each document."""
         self.ids += doc_ids
@@ -163,14 +192,14 @@ class Chunk:
             "counts": counts,
             "payload": pack(leave_out_new(numbers, self.known)),
         }
-        self.known = len(self.slots)
+        self.known = self.slots.count
         self.positions += len(numbers)
         self.blocks += 1
         self._new_block()
         return pa.RecordBatch.from_pylist([row], schema=_EXPLODED)
 
     def word_rows(self, buckets: int) -> Iterator[pa.RecordBatch]:
-        words = list(self.slots)
+        words = [w if isinstance(w, bytes) else w.encode("utf-8") for w in self.slots if w is not BETWEEN]
         bucket = np.fromiter(map(xxhash.xxh32_intdigest, words), np.uint32, len(words)) % np.uint32(buckets)
         order = np.argsort(bucket, kind="stable")
         names, starts = np.unique(bucket[order], return_index=True)
@@ -192,7 +221,7 @@ def _slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
     return zip(starts[:-1].tolist(), np.diff(starts).tolist())
 
 
-def _explode(buckets: int, blob, splitter: Callable):
+def _explode(buckets: int, blob, splitter: Callable, most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with tidy():
             yield from exploded(batches)
@@ -208,7 +237,7 @@ def _explode(buckets: int, blob, splitter: Callable):
                 if chunk.waiting < BLOCK:
                     continue
                 yield chunk.close_block(buckets)
-                if chunk.positions >= CHUNK:
+                if chunk.positions >= most:
                     yield from chunk.word_rows(buckets)
                     chunk = Chunk(chunk.number + 1)
                     split = start(chunk)
@@ -224,18 +253,20 @@ def _encode(blob, encoder: Callable):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = once(encoder.__qualname__, blob.value, encoder)
-        now, known = None, Memo(encode)
+        now, known = None, {}
         for batch in batches:
             out = []
             for bucket, packed in zip(batch.column(0).to_pylist(), batch.column(3).to_pylist()):
                 if bucket != now:
-                    now, known = bucket, Memo(encode)
+                    now, known = bucket, {}
                 if packed is None:
                     out.append(None)
                     continue
                 sizes, raw = unpack_runs(packed)
                 ends = np.cumsum(sizes).tolist()
                 words = [raw[a:b] for a, b in zip([0, *ends], ends)]
+                if new := [w for w in words if w not in known]:
+                    known.update(zip(new, encode(new)))
                 out.append(pack_runs(list(map(known.__getitem__, words))))
             yield pa.record_batch([*batch.columns[:3], pa.array(out, pa.binary()), *batch.columns[4:]], schema=_EXPLODED)
 
@@ -248,19 +279,19 @@ def _packed_type(largest: int) -> np.dtype:
 
 def unpack_ids(packed: pa.Array, largest: int) -> pa.Array:
     """list<int32> of ids that ``encode_words`` packed."""
-    kind = _packed_type(largest)
-    sizes = pa.compute.fill_null(pa.compute.binary_length(packed), 0).to_numpy(zero_copy_only=False)
-    ends = np.concatenate([[0], np.cumsum(sizes // kind.itemsize)])
-    flat = np.frombuffer(b"".join(packed.to_pylist()), kind).astype(np.int32)
+    kind, grow = _packed_type(largest), zstandard.ZstdDecompressor().decompress
+    ids = [_from_planes(grow(x), kind) for x in packed.to_pylist()]
+    ends = np.concatenate([[0], np.cumsum([len(x) for x in ids], dtype=np.int64)])
+    flat = np.concatenate([np.zeros(0, kind), *ids]).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
 
 
-def _reassemble(end: int | None, packed: bool, largest: int):
+def _reassemble(end: int | None, packed: bool, largest: int, finish: Callable | None = None):
     """Ids of a chunk's documents from its words' ids and its blocks; ``end`` follows each."""
 
     def run(chunk: pa.Table) -> pa.Table:
         with tidy():
-            return whole(chunk)
+            return finish(whole(chunk)) if finish else whole(chunk)
 
     def whole(chunk: pa.Table) -> pa.Table:
         slots, sizes, raws = [], [], []
@@ -289,10 +320,10 @@ def _reassemble(end: int | None, packed: bool, largest: int):
         bounds = np.concatenate([[0], *counts]).cumsum()
         flat = np.concatenate(ids or [flat[:0]])
         if packed:
-            raw = pa.py_buffer(flat.astype(_packed_type(largest)).tobytes())
-            at = pa.py_buffer((bounds * _packed_type(largest).itemsize).astype(np.int32).tobytes())
-            ids = pa.Array.from_buffers(pa.binary(), len(docs), [None, at, raw])
-            return pa.table([pa.array(docs, pa.int64()), ids], ["doc_id", "ids"])
+            kind, shrink = _packed_type(largest), zstandard.ZstdCompressor(level=1).compress
+            cuts = zip(bounds[:-1].tolist(), bounds[1:].tolist())
+            ids = [shrink(_planes(flat[a:b], kind)) for a, b in cuts]
+            return pa.table([pa.array(docs, pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "ids"])
         lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(flat, pa.int32()))
         return pa.table([pa.array(docs, pa.int64()), lists], ["doc_id", "ids"])
 
@@ -307,6 +338,9 @@ def encode_words(
     end: int | None = None,
     packed: bool = False,
     largest: int = 2**31 - 1,
+    finish: Callable | None = None,
+    finish_schema: str = "",
+    chunk: int = CHUNK,
 ) -> DataFrame:
     """doc_id, ids for every row of ``docs`` (doc_id, text).
 
@@ -314,13 +348,17 @@ def encode_words(
     shuffle once more; no id is above ``largest``. ``end`` follows the ids of each document.
     ``splitter(blob)(chunk)`` gives a function from texts to the numbers of their pieces, in
     tables of the chunk, and how many each text has; ``encoder(blob)`` gives a function from
-    a word to its ids as little-endian 32-bit integers. Both run on executors.
+    words to the ids of each as little-endian 32-bit integers; ``finish(blob)`` may turn a table of
+    doc_id and ids into one of ``finish_schema``. All run on executors. A larger ``chunk``
+    shuffles fewer words and holds more of them in memory.
     """
     spark = docs.sparkSession
     blob = spark.sparkContext.broadcast(read_vocabulary(vocabulary))
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    exploded = docs.select("doc_id", "text").mapInArrow(_explode(buckets, blob, splitter), _EXPLODED_SQL)
+    exploded = docs.select("doc_id", "text").mapInArrow(_explode(buckets, blob, splitter, chunk), _EXPLODED_SQL)
     by_bucket = exploded.repartition("bucket").sortWithinPartitions("bucket")
     encoded = by_bucket.mapInArrow(_encode(blob, encoder), _EXPLODED_SQL)
     kind = "binary" if packed else "array<int>"
-    return encoded.groupBy("chunk").applyInArrow(_reassemble(end, packed, largest), f"doc_id long, ids {kind}")
+    schema = finish_schema or f"doc_id long, ids {kind}"
+    last = (lambda table: once(finish.__qualname__, blob.value, finish)(table)) if finish else None
+    return encoded.groupBy("chunk").applyInArrow(_reassemble(end, packed, largest, last), schema)

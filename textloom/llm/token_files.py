@@ -1,7 +1,7 @@
 """Token ids in ORC files.
 
 Rows lie in ascending order of ``doc_id`` over all files. A row holds the id of a document,
-its place in the order, and its ids. Integers are run-length encoded by the format; stripes
+its place in the order, its ids and their number. Integers are run-length encoded by the format; stripes
 and row groups carry minima and maxima of document ids and a Bloom filter on them, so that
 looking up documents reads few stripes, and a scan runs over stripes in parallel.
 
@@ -17,9 +17,12 @@ and ``text`` are not read; an empty table gives files without rows.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from array import array
+from collections import deque
 from collections.abc import Callable, Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -30,12 +33,14 @@ from pyspark.sql import functions as F
 
 from textloom.functions.ordering import quantile_chunks
 from textloom.functions.runtime import materialize
-from textloom.llm.distinct_words import Chunk, encode_words, unpack_ids
+from textloom.llm.distinct_words import BETWEEN, Chunk, encode_words, unpack_ids
 from textloom.llm.pieces import read_vocabulary
 
 #: Files whose first positions are sent to all tasks; beyond it they are joined.
 FEW_FILES = 100_000
-SCHEMA = "doc_id long, place long, ids array<int>"
+SCHEMA = "doc_id long, place long, n_ids int, ids array<int>"
+#: Positions of a chunk of documents whose words are encoded together.
+CHUNK = 6_000_000
 #: Chunks of ``quantile_chunks``.
 _FAN = 32
 
@@ -44,40 +49,54 @@ _FAN = 32
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
-#: Fixed value: below it and without the exception, lowering leaves composed text composed,
-#: and is the same in any library.
-SIMPLE_BELOW, EXCEPTION = "\u0180", "\u0130"
+#: Characters below U+0180 but one: lowering such text leaves it composed, whatever library
+#: lowers it.
+_SIMPLE = re.compile("[\\x00-\u012f\u0131-\u017f]*")
 
 
 def _splitter(blob: bytes) -> Callable:
     """Pieces between ASCII white space, and the normalized words of a piece.
 
-    A piece that holds an added token, or a word that normalizing would change once more,
-    is a word as it stands.
+    Simple pieces that are new are joined, lowered and searched together. A piece that holds
+    an added token, or a word that normalizing would change once more, is a word as it stands.
     """
     tokenizer = _tokenizer(blob)
     normal, find = tokenizer.normalizer.normalize_str, regex.compile(WORDS).findall
+    find_all = regex.compile(f"{BETWEEN}|{WORDS}").findall
     added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
-    begin = {c[0] for c in added}
 
-    def words(piece: str) -> list[bytes]:
-        if any(c in piece for c in begin) and any(c in piece for c in added):
-            return [piece.encode("utf-8")]
-        if piece.isascii() or (max(piece) < SIMPLE_BELOW and EXCEPTION not in piece):
-            return [w.encode("utf-8") for w in find(piece.lower())]
+    def simple(text: str) -> bool:
+        return _SIMPLE.fullmatch(text) is not None and not any(c in text for c in added)
+
+    def words(piece: str) -> list[str]:
+        if any(c in piece for c in added):
+            return [piece]
         found = find(normal(piece))
-        if any(normal(w) != w for w in found):
-            return [piece.encode("utf-8")]
-        return [w.encode("utf-8") for w in found]
+        return [piece] if any(normal(w) != w for w in found) else found
 
     def start(chunk: Chunk) -> Callable:
         memo = chunk.memo(words)
 
+        def learn(pieces: list[str]) -> None:
+            text = BETWEEN.join(pieces)
+            if simple(text):
+                chunk.learn_all(find_all(text.lower()), memo, pieces)
+                return
+            for plain, run in groupby(pieces, simple):
+                run = list(run)
+                if plain:
+                    chunk.learn_all(find_all(BETWEEN.join(run).lower()), memo, run)
+                else:
+                    deque(map(memo.__getitem__, run), 0)
+
         def split(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
             # Empty pieces, of white space at the ends, have no words.
             lists = pa.compute.ascii_split_whitespace(pa.compute.fill_null(texts, ""))
             coded = lists.flatten().dictionary_encode()
-            known = np.fromiter(map(memo.__getitem__, coded.dictionary.to_pylist()), np.int64, len(coded.dictionary))
+            pieces = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+            if new := [p for p in pieces if p not in memo]:
+                learn(new)
+            known = np.fromiter(map(memo.__getitem__, pieces), np.int64, len(pieces))
             counts = lists.value_lengths().to_numpy(zero_copy_only=False)
             return known[coded.indices.to_numpy()], counts.astype(np.int64)
 
@@ -93,9 +112,14 @@ def _tokenizer(blob: bytes):
     return Tokenizer.from_str(blob.decode("utf-8"))
 
 
-def _encoder(blob: bytes) -> Callable[[bytes], bytes]:
-    encode = _tokenizer(blob).encode
-    return lambda word: array("i", encode(word.decode("utf-8"), add_special_tokens=False).ids).tobytes()
+def _encoder(blob: bytes) -> Callable[[list[bytes]], list[bytes]]:
+    encode = _tokenizer(blob).encode_batch_fast
+
+    def many(words: list[bytes]) -> list[bytes]:
+        made = encode([w.decode("utf-8") for w in words], add_special_tokens=False)
+        return [array("i", x.ids).tobytes() for x in made]
+
+    return many
 
 
 def write_token_ids(docs: DataFrame, vocabulary: str, path: str, end: int = 2) -> None:
@@ -112,13 +136,13 @@ def write_token_ids(docs: DataFrame, vocabulary: str, path: str, end: int = 2) -
         for batch in batches:
             yield pa.record_batch([batch.column(0), unpack_ids(batch.column(1), largest)], ["doc_id", "ids"])
 
-    encoded = encode_words(docs, _splitter, _encoder, vocabulary, end, packed=True, largest=largest)
+    encoded = encode_words(docs, _splitter, _encoder, vocabulary, end, packed=True, largest=largest, chunk=CHUNK)
     encoded = encoded.withColumn("_part", part)
     (
         encoded.repartitionById(files, F.col("_part"))
         .sortWithinPartitions(F.col("doc_id").asc_nulls_first())
         .mapInArrow(unpack, "doc_id long, ids array<int>")
-        .select("doc_id", F.monotonically_increasing_id().alias("place"), "ids")
+        .select("doc_id", F.monotonically_increasing_id().alias("place"), F.size("ids").alias("n_ids"), "ids")
         .write.mode("overwrite")
         .option("compression", "zstd")
         .option("orc.bloom.filter.columns", "doc_id")
@@ -138,8 +162,7 @@ def _from_start(spark: SparkSession, path: str, rows: DataFrame) -> DataFrame:
     Places ascend over files as well as in them, so files follow each other by their least
     place. What each file holds is one row a file; they are sent to all tasks if they are few.
     """
-    sizes = _rows(spark, path).select("file", "place", F.size("ids").cast("long").alias("n"))
-    sizes = materialize(sizes)
+    sizes = _rows(spark, path).select("file", "place", F.col("n_ids").cast("long").alias("n"))
     order = Window.orderBy("least")
     base = sizes.groupBy("file").agg(F.min("place").alias("least"), F.sum("n").alias("held"))
     base = materialize(base.select("file", (F.sum("held").over(order) - F.col("held")).alias("base")))
@@ -154,7 +177,7 @@ def _from_start(spark: SparkSession, path: str, rows: DataFrame) -> DataFrame:
 
 def read_token_ids(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, ids: all documents, ``start`` being the ids of all documents before."""
-    return _from_start(spark, path, _rows(spark, path))
+    return _from_start(spark, path, _rows(spark, path).drop("n_ids"))
 
 
 def find_documents(spark: SparkSession, path: str, doc_ids: list[int]) -> DataFrame:
