@@ -39,9 +39,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids (little-endian, 32 bits each) and the hash of the decoded text."""
-    ranks = vocabulary("byte_bpe_multi_50k.tiktoken")
-    back = byte_bpe.decode(byte_bpe.encode(docs, ranks), ranks)
-    return back.select(
+    both = byte_bpe.encode_decode(docs, vocabulary("byte_bpe_multi_50k.tiktoken"))
+    return both.select(
         "doc_id",
         (F.octet_length("packed_ids") / 4).cast("long").alias("n_tokens"),
         F.col("packed_ids").alias("ids"),

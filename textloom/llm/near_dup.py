@@ -78,6 +78,10 @@ def _mix(x: np.ndarray) -> np.ndarray:
 _word_hash = Bounded(lambda w: xxhash.xxh3_64_intdigest(w), KEPT)
 
 
+def forget_words() -> None:
+    _word_hash.clear()
+
+
 def shingle_set(text: str | None, width: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of a text's shingles."""
     # Lower-casing and splitting bytes touches A-Z and the six ASCII spaces only.
@@ -131,7 +135,7 @@ def index_keys(signatures: np.ndarray) -> np.ndarray:
 
 def _signatures(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        with tidy():
+        with tidy(forget_words):
             yield from signed(batches)
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,9 +159,8 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for whole in batches:
-        for start in range(0, whole.num_rows, 1000):
-            batch = whole.slice(start, 1000)
+    with tidy():
+        for batch in (b.slice(i, 500) for b in batches for i in range(0, b.num_rows, 500)):
             keys = index_keys(_matrix(batch.column(1))).view(np.int64)
             ids = np.repeat(batch.column(0).to_numpy(), SYMBOLS)
             yield pa.record_batch([pa.array(keys.ravel()), pa.array(ids)], ["key", "rep"])
@@ -174,6 +177,10 @@ def _within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with tidy(forget_words):
+            yield from hashed(batches)
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (b.slice(i, 500) for b in batches for i in range(0, b.num_rows, 500)):
             sets = [shingle_set(x.as_py(), width).view(np.int64) for x in batch.column(1)]
             ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])])

@@ -67,11 +67,13 @@ def strings(column: pa.Array) -> list[str]:
 
 
 @contextmanager
-def tidy():
-    """Give freed memory back when a task ends, as Python workers wait for others."""
+def tidy(*forget: Callable):
+    """Forget, and give memory back when a task ends, as Python workers wait for others."""
     try:
         yield
     finally:
+        for each in forget:
+            each()
         pa.default_memory_pool().release_unused()
         trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
         if trim:
