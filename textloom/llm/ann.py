@@ -15,7 +15,8 @@ Buckets are gathered in cells of about ``CELL`` vectors; a query goes once to ea
 which it visits buckets, and brings back only its best ``k`` there. Cells that hold many
 more, because vectors crowd in a few buckets, are split by vector, and their queries go to
 every part: no cap is set on a bucket. Equal vectors are indexed once, with their ``k + 1``
-smallest ids; further copies can never be among the best ``k``.
+smallest distinct ids; further ids can never be among the best ``k``. Wherever a best ``k``
+is cut off, distinct ids are counted, each with its best score.
 
 A query that finds fewer than ``k`` in its buckets is compared with all vectors, in
 blocks of queries, so the result always has ``k`` rows or all there are.
@@ -162,15 +163,30 @@ def _ask(hasher: Hasher, cells: int, probes: int):
 
 
 def best(query: int, q: np.ndarray, rows: np.ndarray, x: np.ndarray, ids: list, k: int) -> list[tuple]:
-    """(query, id, score) of the best ``k`` ids among vectors ``x[rows]``, ties by id."""
+    """(query, id, score) of the best ``k`` distinct ids among vectors ``x[rows]``, ties by id."""
     rough = x[rows] @ q
-    if len(rows) > k + 1:
-        # One more than k, as the query itself may be among them, and all that tie.
-        edge = np.partition(rough, len(rough) - k - 1)[len(rough) - k - 1]
-        rows = rows[rough >= edge - 1e-9 * max(1.0, abs(edge))]
-    exact = (x[rows] * q).sum(axis=1)
-    found = [(-s, i) for r, s in zip(rows, exact) for i in ids[r] if i != query]
-    return [(query, i, -s) for s, i in heapq.nsmallest(k, found)]
+    # One more than k, as the query itself may be among them, and all that tie; more of
+    # them while vectors share ids, so that these are fewer.
+    take = k + 1
+    while True:
+        near, edge, slack = rows, -np.inf, 0.0
+        if take < len(rows):
+            edge = np.partition(rough, len(rough) - take)[len(rough) - take]
+            slack = 1e-9 * max(1.0, abs(edge))
+            near = rows[rough >= edge - slack]
+        found: dict[int, float] = {}
+        for r, s in zip(near, (x[near] * q).sum(axis=1)):
+            for i in ids[r]:
+                if i != query and s > found.get(i, -np.inf):
+                    found[i] = s
+        if len(near) == len(rows) or sum(s >= edge - slack / 2 for s in found.values()) >= k:
+            return [(query, i, -s) for s, i in _least(k, found)]
+        take *= 2
+
+
+def _least(k: int, found: dict[int, float]) -> list[tuple]:
+    """(-score, id) of the best ``k`` of ids with their scores."""
+    return heapq.nsmallest(k, ((-s, i) for i, s in found.items()))
 
 
 def _search(k: int):
@@ -182,8 +198,14 @@ def _search(k: int):
         if len(index) and len(queries):
             x = _vectors(index["embedding"].combine_chunks())
             ids = index["ids"].to_pylist()
+            # A vector is here once for each table that put it into this cell.
+            places: dict[bytes, int] = {}
+            vector = np.fromiter((places.setdefault(v.tobytes(), len(places)) for v in x), np.int64, len(x))
+            first = np.unique(vector, return_index=True)[1]
+            x, ids = x[first], [ids[r] for r in first]
             bucket = index["buckets"].combine_chunks().flatten().to_numpy()
             order = np.argsort(bucket, kind="stable")
+            ordered = vector[order]
             names, starts = np.unique(bucket[order], return_index=True)
             ends = np.append(starts[1:], len(order))
             place = dict(zip(names.tolist(), zip(starts.tolist(), ends.tolist())))
@@ -191,7 +213,9 @@ def _search(k: int):
             for q, query, visits in zip(points, queries["query_id"].to_pylist(), queries["buckets"].to_pylist()):
                 spans = [place[b] for b in visits if b in place]
                 if spans:
-                    rows = np.concatenate([order[a:b] for a, b in spans])
+                    seen = np.zeros(len(x), bool)
+                    seen[np.concatenate([ordered[a:b] for a, b in spans])] = True
+                    rows = np.flatnonzero(seen)
                     out += best(query, q, rows, x, ids, k)
         columns = list(zip(*out)) or [[], [], []]
         return pa.table(
@@ -206,15 +230,18 @@ def _scan_all(queries: list[tuple], k: int):
     """The best ``k`` of each query in a partition of (embedding, ids)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list] = {}
+        held: dict[int, dict[int, float]] = {}
         for batch in batches:
             if not batch.num_rows:
                 continue
             x, ids = _vectors(batch.column(0)), batch.column(1).to_pylist()
             for query, q in queries:
                 got = best(query, np.array(q, np.float64), np.arange(len(x)), x, ids, k)
-                held[query] = heapq.nsmallest(k, held.get(query, []) + [(-s, i) for _, i, s in got])
-        rows = [(query, i, -s) for query, found in held.items() for s, i in found]
+                found = held.get(query, {})
+                for _, i, s in got:
+                    found[i] = max(s, found.get(i, -np.inf))
+                held[query] = {i: -s for s, i in _least(k, found)}
+        rows = [(query, i, s) for query, found in held.items() for i, s in found.items()]
         columns = list(zip(*rows)) or [[], [], []]
         kinds = (pa.int64(), pa.int64(), pa.float64())
         yield pa.record_batch([pa.array(c, kind) for c, kind in zip(columns, kinds)], ["query_id", "vec_id", "score"])
@@ -264,7 +291,8 @@ def nearest(
     rows = rows.where(F.size("embedding") == dimension)
     copies = Window.partitionBy("embedding").orderBy("vec_id")
     distinct = (
-        rows.withColumn("_copy", F.row_number().over(copies))
+        rows.dropDuplicates(["vec_id", "embedding"])
+        .withColumn("_copy", F.row_number().over(copies))
         .where(F.col("_copy") <= k + 1)
         .groupBy("embedding")
         .agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
@@ -286,8 +314,8 @@ def nearest(
     )
     found = members.groupBy("cell", "part").applyInArrow(_search(k), _FOUND)
     found = materialize(top_k(found, k))
-    ids = F.size(F.array_distinct(F.flatten(F.collect_list("ids"))))
-    least = min(k, max(0, distinct.limit(k + 2).agg(ids).first()[0] - 1))
+    ids = distinct.select(F.explode("ids").alias("vec_id")).distinct().limit(k + 1).count()
+    least = min(k, max(0, ids - 1))
     full = found.groupBy("query_id").count().where(F.col("count") >= least).select("query_id")
     short = queries.join(full, queries["vec_id"] == full["query_id"], "left_anti")
     short = materialize(short.select("vec_id", "embedding"))
