@@ -4,8 +4,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from textloom.llm import ann
-from tests.llm.test_groups import exact
+from textloom.llm import ann, near_dup
+from tests.llm.conftest import prose
+from tests.llm.test_groups import corpus, exact, groups
 
 VECTORS = "vec_id long, embedding array<float>"
 
@@ -50,3 +51,28 @@ def test_cell_holds_a_vector_of_all_tables():
     score = x.astype(float) @ x[0].astype(float)
     want = sorted(range(1, 30), key=lambda i: (-score[i], i))[:20]
     assert [r["vec_id"] for r in found] == want
+
+# Near duplicates
+
+
+def check_groups(got, rows, width):
+    want = groups(rows, width, 80)
+    assert len(got) == len(rows)
+    assert {(r.doc_id, r.component_id, r.kept) for r in got} == {(i, top, i == top) for i, (_, top) in want.items()}
+
+
+def test_ids_with_several_texts(documents):
+    """An id with several texts is linked with what any of them is near to."""
+    a, b, c, d = (prose(700 + i, 120) for i in range(4))
+    rows = [(5, a), (5, b), (6, a + " tail"), (7, b + " tail"), (8, c), (8, ""), (9, d)]
+    rows += [(3, c), (12, d), (12, prose(710, 90)), (10, prose(710, 90) + " tail"), (13, prose(711, 90))]
+    check_groups(near_dup.near_duplicates(documents(rows), 2, 80).collect(), rows, 2)
+
+
+def test_crowds_with_several_texts(documents, monkeypatch):
+    monkeypatch.setattr(near_dup, "BLOCK", 7)
+    monkeypatch.setattr(near_dup, "CROWD", 5)
+    rows = [r for r in corpus() if r[0] >= 200]
+    rows += [(200 + i, prose(800 + i, 100)) for i in range(0, 80, 7)] + [(450 + i, prose(800 + i, 100) + " tail") for i in range(0, 80, 7)]
+    rows += rows[:20]
+    check_groups(near_dup.near_duplicates(documents(rows), 2, 80).collect(), rows, 2)

@@ -34,7 +34,10 @@ Defined results: A-Z count as a-z; a null, empty or blank text has an empty set,
 with nothing and is its own component; a text with fewer words than a shingle has its whole
 sequence as its only shingle; rows with a null id take no part in groups and are returned
 with a null component, kept; rows with equal ids are one document with the union of roles:
-each is returned, kept if the id is its component; an empty table gives an empty result.
+what is linked with any of its texts is linked with it, and each row is returned, kept if
+the id is its component; an empty table gives an empty result. A class has the least of its
+ids as its node, so classes with the same one share a node; ``mark``, the first half of the
+set's digest, tells their sets apart.
 """
 
 from __future__ import annotations
@@ -133,6 +136,12 @@ def index_keys(signatures: np.ndarray) -> np.ndarray:
     return keys
 
 
+def _digest(shingles: np.ndarray) -> tuple[int, int]:
+    """128 bits that stand for a set."""
+    digest = xxhash.xxh3_128_intdigest(shingles.tobytes())
+    return (digest >> 64) - 2**63, (digest & (2**64 - 1)) - 2**63
+
+
 def _signatures(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with tidy(forget_words):
@@ -144,9 +153,9 @@ def _signatures(width: int):
             for text in batch.column(1):
                 s = shingle_set(text.as_py(), width)
                 n.append(len(s))
-                digest = xxhash.xxh3_128_intdigest(s.tobytes())
-                high.append((digest >> 64) - 2**63)
-                low.append((digest & (2**64 - 1)) - 2**63)
+                first, second = _digest(s)
+                high.append(first)
+                low.append(second)
                 signs.append(signature(s).tobytes() if len(s) else None)
             columns = [pa.array(n, pa.int64()), pa.array(high, pa.int64()), pa.array(low, pa.int64()), pa.array(signs, pa.binary())]
             yield pa.record_batch([batch.column(0), *columns], ["doc_id", "n_shingles", "h1", "h2", "signature"])
@@ -167,12 +176,12 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs (a, b, sign_a, sign_b) whose signatures lie within the distance."""
+    """Pairs (a, b, mark_a, mark_b) whose signatures, in the next two columns, lie within the distance."""
     for batch in batches:
         if batch.num_rows:
-            differ = (_matrix(batch.column(2)) != _matrix(batch.column(3))).sum(axis=1)
+            differ = (_matrix(batch.column(4)) != _matrix(batch.column(5))).sum(axis=1)
             near = pa.array(differ <= DISTANCE)
-            yield pa.record_batch([batch.column(0).filter(near), batch.column(1).filter(near)], ["a", "b"])
+            yield pa.record_batch([batch.column(k).filter(near) for k in range(4)], ["a", "b", "mark_a", "mark_b"])
 
 
 def _sets(width: int):
@@ -183,10 +192,11 @@ def _sets(width: int):
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (b.slice(i, 500) for b in batches for i in range(0, b.num_rows, 500)):
             sets = [shingle_set(x.as_py(), width).view(np.int64) for x in batch.column(1)]
+            marks = pa.array([_digest(s)[0] for s in sets], pa.int64())
             ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
             flat = np.concatenate(sets) if sets else np.zeros(0, np.int64)
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int64()))
-            yield pa.record_batch([batch.column(0), lists], ["rep", "shingles"])
+            yield pa.record_batch([batch.column(0), marks, lists], ["rep", "mark", "shingles"])
 
     return run
 
@@ -300,31 +310,32 @@ class _Confirmer:
         self.docs, self.classes, self.width, self.similarity = docs, classes, width, similarity
 
     def sets(self, wanted: DataFrame) -> DataFrame:
-        """rep, shingles of the documents in ``wanted`` (doc_id), materialized."""
+        """rep, mark, shingles of all texts of the documents in ``wanted`` (doc_id), materialized."""
         wanted = small_enough(wanted.distinct(), FEW_IDS)
-        texts = self.docs.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-        return materialize(texts.mapInArrow(_sets(self.width), "rep long, shingles array<long>"))
+        texts = self.docs.join(wanted, "doc_id", "left_semi").withColumn("_text", F.xxhash64("text"))
+        texts = texts.dropDuplicates(["doc_id", "_text"]).select("doc_id", "text")
+        return materialize(texts.mapInArrow(_sets(self.width), "rep long, mark long, shingles array<long>"))
 
     def links(self, pairs: DataFrame) -> DataFrame:
         """The distinct ``pairs`` (a, b) that are similar enough."""
         side = lambda x: self.classes.select(
-            F.col("rep").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("signature").alias(f"sign_{x}")
+            F.col("rep").alias(x), F.col("h1").alias(f"mark_{x}"), F.col("n_shingles").alias(f"n_{x}"), F.col("signature").alias(f"sign_{x}")
         )
         fits = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * self.similarity
         near = (
             pairs.join(side("a"), "a")
             .join(side("b"), "b")
             .where(fits)
-            .select("a", "b", "sign_a", "sign_b")
-            .mapInArrow(_within, "a long, b long")
+            .select("a", "b", "mark_a", "mark_b", "sign_a", "sign_b")
+            .mapInArrow(_within, "a long, b long, mark_a long, mark_b long")
         )
         near = materialize(near)
         sets = self.sets(near.select(F.explode(F.array("a", "b")).alias("doc_id")))
-        one = lambda x: sets.select(F.col("rep").alias(x), F.col("shingles").alias(f"set_{x}"))
-        both = near.join(one("a"), "a").join(one("b"), "b")
+        one = lambda x: sets.toDF(x, f"mark_{x}", f"set_{x}")
+        both = near.join(one("a"), ["a", "mark_a"]).join(one("b"), ["b", "mark_b"])
         shared = F.size(F.array_intersect("set_a", "set_b"))
         union = F.size("set_a") + F.size("set_b") - shared
-        return both.where(shared * 100 >= union * self.similarity).select("a", "b")
+        return both.where(shared * 100 >= union * self.similarity).select("a", "b").distinct()
 
     def links_across(self, members: DataFrame) -> DataFrame:
         """Links (a, b) between components, of members (rep, component, crowd)."""
@@ -351,8 +362,8 @@ class _Confirmer:
         two = materialize(two.where(~same_owner).select("a", "b"))
         blocked = blocked.select("rep", "component", "block")
         whole = (
-            blocked.join(self.sets(blocked.select(F.col("rep").alias("doc_id"))), "rep")
-            .join(self.classes.select("rep", "signature"), "rep")
+            blocked.join(self.classes.select("rep", F.col("h1").alias("mark"), "signature"), "rep")
+            .join(self.sets(blocked.select(F.col("rep").alias("doc_id"))), ["rep", "mark"])
         )
         side = lambda n, at: two.join(whole.withColumnRenamed("block", at), at).select(
             "a", "b", F.lit(n).alias("side"), "component", "signature", "shingles"
@@ -393,13 +404,28 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: int = 80) -> Da
         .agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"))
     )
     classes = materialize(classes)
-    component = _components(docs, classes, _Confirmer(docs, classes, width, similarity))
+    # Ids with several sets, which join the classes of these.
+    several = F.expr("min(h1) <> max(h1) OR min(h2) <> max(h2)").alias("several")
+    many = signed.where("doc_id IS NOT NULL").groupBy("doc_id").agg(several).where("several").select("doc_id")
+    many = small_enough(many, FEW_IDS)
+    roles = same = None
+    if not many.isEmpty():
+        held = signed.join(many, "doc_id", "left_semi").select("doc_id", "h1", "h2")
+        roles = materialize(held.join(classes.select("h1", "h2", "rep"), ["h1", "h2"]).select("doc_id", "rep").distinct())
+        least = roles.groupBy("doc_id").agg(F.min("rep").alias("a"))
+        same = roles.join(least, "doc_id").where("a <> rep").select("a", F.col("rep").alias("b")).distinct()
+    component = _components(classes, _Confirmer(docs, classes, width, similarity), same)
     named = classes.join(component.withColumnRenamed("node", "rep"), "rep", "left").select(
         F.col("h1").alias("g1"), F.col("h2").alias("g2"), F.coalesce("component", "rep").alias("component_id")
     )
     met = (signed["h1"] == named["g1"]) & (signed["h2"] == named["g2"])
     whole = signed.drop("signature").join(named, met & signed["doc_id"].isNotNull(), "left")
     component_id = F.coalesce("component_id", "doc_id")
+    if roles is not None:  # for their rows without a set
+        of_id = roles.join(component.withColumnRenamed("node", "rep"), "rep", "left").groupBy("doc_id")
+        of_id = of_id.agg(F.min(F.coalesce("component", "rep")).alias("of_id"))
+        whole = whole.join(small_enough(of_id, FEW_IDS), "doc_id", "left")
+        component_id = F.coalesce("component_id", "of_id", "doc_id")
     return whole.select(
         "doc_id",
         "n_shingles",
@@ -408,8 +434,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: int = 80) -> Da
     )
 
 
-def _components(docs: DataFrame, classes: DataFrame, confirm: _Confirmer) -> DataFrame:
-    """node, component of the representatives that are linked with any other."""
+def _components(classes: DataFrame, confirm: _Confirmer, same: DataFrame | None) -> DataFrame:
+    """node, component of the representatives that are linked with any other.
+
+    ``same`` are links (a, b) of representatives that stand for the same document.
+    """
     entries = classes.select("rep", "signature").mapInArrow(_index, "key long, rep long")
     order = Window.partitionBy("key").orderBy("rep")
     member = entries.select(
@@ -438,6 +467,8 @@ def _components(docs: DataFrame, classes: DataFrame, confirm: _Confirmer) -> Dat
         .select("a", "b")
     )
     links = links.unionByName(materialize(confirm.links(other)))
+    if same is not None:
+        links = links.unionByName(same)
     found = connected_components(links)
     # A bucket is open if a member lies in another component than the first one does.
     meet = member.where((F.col("members") > SMALL) & (F.col("head") != F.col("rep"))).select("head", "rep").distinct()
