@@ -1,4 +1,4 @@
-"""Line dedup by winnowing over line hashes.
+"""Line dedup by hashes of all windows of lines, with a winnowed prefilter.
 
 A repeated run is a run of consecutive lines with ``min_words`` words or more whose lines,
 in this order, also begin at an earlier place of the corpus. Places are ordered by document
@@ -11,10 +11,12 @@ white space at their ends.
    least hash is its fingerprint. Equal windows have equal fingerprints, and every repeated
    run holds a window, so no repeated run is without a common fingerprint (the winnowing
    guarantee), whichever places surround it.
-2. Joined positions. Fingerprints found at one place only drop out, with their windows.
-3. Extension both ways. Windows that remain are compared as a whole; since windows run
-   forwards and backwards from every line, the repeated ones cover repeated runs to both
-   ends, whichever earlier documents the parts of a run come from.
+2. Prefilter. Fingerprints found at one place only drop out, with their windows. This saves
+   work and decides nothing: the result would be the same without it.
+3. Whole windows instead of extension. Windows that remain are compared by the hash of their
+   whole content, and no match is extended; since windows run forwards and backwards from
+   every line, the repeated ones cover repeated runs to both ends, whichever earlier
+   documents the parts of a run come from.
 4. Deletion. Windows that are not at the first place of their content are deleted.
 
 A passage that a third of all documents share gives rows that are counted with partial
