@@ -28,8 +28,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: five words, similarity 0.8."""
-    return near_dup.drop_near_duplicates(docs, width=5, similarity=80)
+    """One row of one document of each group of near copies: five words, similarity 0.8."""
+    return near_dup.one_of_each_id(near_dup.drop_near_duplicates(docs, width=5, similarity=80))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

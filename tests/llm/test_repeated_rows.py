@@ -4,6 +4,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from textloom.llm import ann, near_dup
 from tests.llm.conftest import prose
 from tests.llm.test_groups import corpus, exact, groups
@@ -76,3 +77,19 @@ def test_crowds_with_several_texts(documents, monkeypatch):
     rows += [(200 + i, prose(800 + i, 100)) for i in range(0, 80, 7)] + [(450 + i, prose(800 + i, 100) + " tail") for i in range(0, 80, 7)]
     rows += rows[:20]
     check_groups(near_dup.near_duplicates(documents(rows), 2, 80).collect(), rows, 2)
+
+
+# Pipeline
+
+
+def test_pipeline_keeps_one_row_of_an_id(spark, documents):
+    a, b, c = (prose(720 + i, 120) for i in range(3))
+    rows = [(1, a), (1, a), (2, b), (2, b), (2, b), (3, a + " tail"), (3, a + " tail"), (4, c), (None, c), (None, c), (None, None)]
+    docs = documents(rows, "row n gone")
+    near = dict(corpus_pipeline.STAGES)["minhash_near_dedup"](spark, docs, "")
+    assert near.columns == docs.columns
+    got = [(r.doc_id, r.text) for r in near.collect()]
+    assert sorted(got, key=repr) == sorted([(1, a), (2, b), (4, c), (None, c), (None, c), (None, None)], key=repr)
+    two = documents([(5, a), (5, b), (6, c)], "row n gone")
+    least = min((a, b), key=lambda t: two.sparkSession.createDataFrame([(t,)], "t string").select(F.xxhash64("t")).first()[0])
+    assert {(r.doc_id, r.text) for r in near_dup.one_of_each_id(two).collect()} == {(5, least), (6, c)}

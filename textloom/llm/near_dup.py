@@ -488,10 +488,22 @@ def _components(classes: DataFrame, confirm: _Confirmer, same: DataFrame | None)
 
 
 def drop_near_duplicates(docs: DataFrame, width: int = 5, similarity: int = 80) -> DataFrame:
-    """The rows of ``docs`` less all but the first of each group, with their columns.
+    """The rows of ``docs`` less all but the first document of each group, with their columns.
 
-    Rows with the same id are copies of one another and one of them stays; rows with a
-    null id stay.
+    Rows with the same id are one document and stay or go together, see ``one_of_each_id``;
+    rows with a null id stay.
     """
     gone = small_enough(near_duplicates(docs, width, similarity).where("NOT kept").select("doc_id").distinct(), FEW_IDS)
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def one_of_each_id(docs: DataFrame) -> DataFrame:
+    """``docs`` with one row of each id, that with the least hash of its text; rows with a null id stay."""
+    ids = docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    repeated = small_enough(ids.where("n > 1").select("doc_id"), FEW_IDS)
+    if repeated.isEmpty():
+        return docs
+    row = F.struct(*docs.columns)
+    first = F.min_by(row, F.struct(F.xxhash64("text"), F.to_json(row))).alias("row")
+    one = docs.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(first).select("row.*")
+    return docs.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(one)
