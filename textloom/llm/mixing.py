@@ -26,11 +26,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.functions.ordering import chunked_row_number
-from textloom.functions.runtime import fresh, materialize
+from textloom.functions.runtime import fresh, materialize, small_enough
 from textloom.llm.text import word_count
 
 #: Chunks of equal size class into which a source's rows are spread.
 SPREAD = 256
+#: Rows of a plan, of some 60 bytes each, up to which it is sent to all tasks.
+FEW_ROWS = 300_000
 
 
 def _offset(source: Column, seed: str) -> Column:
@@ -94,19 +96,38 @@ def _copies(slim: DataFrame, seed: str, max_copies: int, **options) -> DataFrame
 def mix_documents(docs: DataFrame, max_copies: int = 3, **options) -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it.
 
-    Rows that share id, source and size may get different numbers of copies. The plan is
-    joined back as a count of rows for each number of copies, and the rows of a key, in
-    order of a hash of their text, are dealt these numbers; rows are shuffled once.
+    The plan is joined back by id, source and size. It holds no texts; a plan of few rows is
+    sent to all tasks, so that texts stay where they are scanned, and a larger one is joined
+    by a shuffle. Rows that share all three may get different numbers of copies: these rows
+    alone are put in order of a hash of their text and dealt what the plan takes of them.
     """
-    key = lambda size: F.struct("doc_id", "source", size.alias("size"))
-    plan = plan_mix(docs, max_copies=max_copies, **options)
-    some = [F.count_if(F.col("copies") >= c).alias(f"_at_least_{c}") for c in range(1, max_copies + 1)]
-    name, own, times = (fresh(docs, n) for n in ("_key", "_own", "_times"))
-    plan = plan.where("copies > 0").groupBy(key(F.col("size")).alias(name)).agg(*some)
-    whole = docs.withColumn(name, key(word_count(F.col("text"))))
-    order = Window.partitionBy(name).orderBy(F.xxhash64("text"))
-    joined = whole.withColumn(own, F.row_number().over(order)).join(plan, name)
-    copies = sum((F.col(own) <= plan[f"_at_least_{c}"]).cast("int") for c in range(1, max_copies + 1))
-    taken = joined.withColumn(times, copies).where(F.col(times) > 0)
-    taken = taken.withColumn(times, F.explode(F.sequence(F.lit(1), F.col(times))))
-    return taken.select(*[whole[c] for c in docs.columns])
+    names = ["doc_id", "source", "size", "rows", "times", "own", "copy", *(f"least_{c}" for c in range(1, max_copies + 1))]
+    name = {n: fresh(docs, f"_of_{n}") for n in names}
+    at_least = [F.col(name[f"least_{c}"]) for c in range(1, max_copies + 1)]
+    keys = [F.col(c).alias(name[c]) for c in ("doc_id", "source", "size")]
+    some = [F.count_if(F.col("copies") >= c).alias(name[f"least_{c}"]) for c in range(1, max_copies + 1)]
+    plan = plan_mix(docs, max_copies=max_copies, **options).groupBy(*keys)
+    plan = materialize(plan.agg(F.count(F.lit(1)).alias(name["rows"]), *some).where(at_least[0] > 0))
+    single = F.col(name["rows"]) == 1
+    once = plan.where(single).select(*[name[c] for c in ("doc_id", "source", "size")], sum(at_least).cast("int").alias(name["times"]))
+    often = plan.where(~single)
+    size = fresh(docs, "_words")
+    whole = docs.withColumn(size, word_count(F.col("text")))
+
+    def same(side: DataFrame) -> Column:
+        ids = whole["doc_id"].eqNullSafe(side[name["doc_id"]]) & whole["source"].eqNullSafe(side[name["source"]])
+        return ids & (whole[size] == side[name["size"]])
+
+    def repeat(rows: DataFrame) -> DataFrame:
+        copies = F.explode(F.sequence(F.lit(1), F.col(name["times"])))
+        return rows.withColumn(name["copy"], copies).select(*[whole[c] for c in docs.columns])
+
+    once = small_enough(once, FEW_ROWS)
+    taken = repeat(whole.join(once, same(once)))
+    if often.isEmpty():
+        return taken
+    often = small_enough(often, FEW_ROWS)
+    order = Window.partitionBy(*[name[c] for c in ("doc_id", "source", "size")]).orderBy(F.xxhash64(whole["text"]))
+    dealt = whole.join(often, same(often)).withColumn(name["own"], F.row_number().over(order))
+    dealt = dealt.withColumn(name["times"], sum((F.col(name["own"]) <= c).cast("int") for c in at_least))
+    return taken.unionByName(repeat(dealt.where(F.col(name["times"]) > 0)))
