@@ -84,6 +84,47 @@ def test_files(spark, documents, rows, tmp_path):
     assert "PushedFilters: [IsNotNull(doc_id), EqualTo(doc_id,5)]" in plan or "In(doc_id" in plan
 
 
+def test_files_skip_rows(spark, documents, tmp_path):
+    """Files hold row indexes and Bloom filters, and a lookup reads only the group of its row."""
+    out = str(tmp_path / "ids")
+    token_files.write_token_ids(documents([(2 * i, f"text {i}") for i in range(12_000)]), vocabulary("word_bpe_49k.json"), out, stride=1000)
+    orc, path = spark._jvm.org.apache.orc.OrcFile, spark._jvm.org.apache.hadoop.fs.Path
+    files = sorted(map(str, (tmp_path / "ids").glob("*.orc")))
+    assert len(files) > 1
+    for name in files:
+        reader = orc.createReader(path(name), orc.readerOptions(spark._jsc.hadoopConfiguration()))
+        stripes = reader.getStripes()
+        streams = reader.rows().readStripeFooter(stripes.get(0)).getStreamsList()
+        kinds = {(s.getColumn(), s.getKind().toString()) for s in streams}
+        assert (1, "BLOOM_FILTER_UTF8") in kinds and {(c, "ROW_INDEX") for c in range(1, 5)} <= kinds
+    for wanted, found in ((4_444, 1), (4_445, 0)):  # the second lies within the bounds of a group
+        hit = token_files.find_documents(spark, out, [wanted])
+        assert len(hit.collect()) == found
+        scan = hit._jdf.queryExecution().executedPlan().collectLeaves().apply(0)
+        read = scan.metrics().get("numOutputRows").get().value()
+        assert read <= 1000 if found else read == 0
+
+
+def test_documents_over_ranges(spark, documents, tmp_path):
+    """Runs of documents in many ranges, with repeated and null ids, come back whole."""
+    from tokenizers import Tokenizer
+
+    path, out = vocabulary("word_bpe_49k.json"), str(tmp_path / "ids")
+    rng = random.Random(3)
+    rows = [(rng.choice([None, *range(-50, 300)]), " ".join(rng.choices(["some", "words", "Here", "42"], k=rng.randint(0, 30)))) for _ in range(700)]
+    token_files.write_token_ids(documents(rows).repartition(7), path, out)
+    library = Tokenizer.from_file(path)
+    want = sorted((i is not None, i or 0, library.encode(t, add_special_tokens=False).ids + [2]) for i, t in rows)
+    got = token_files.read_token_ids(spark, out).collect()
+    assert sorted((r.doc_id is not None, r.doc_id or 0, r.ids) for r in got) == want
+    at = 0
+    for r in sorted(got, key=lambda r: r.start):
+        assert r.start == at
+        at += len(r.ids)
+    order = [r.doc_id for r in sorted(got, key=lambda r: r.start)]
+    assert order == sorted(order, key=lambda i: (i is not None, i or 0))
+
+
 def test_empty_tables(spark, documents, tmp_path):
     none = documents([(1, "x")]).limit(0)
     assert token_counts.count_tokens(none, vocabulary("byte_bpe_50k.json")).collect() == []
@@ -110,6 +151,6 @@ def test_chunks_and_blocks(documents, monkeypatch):
     whole = pa.Table.from_batches(coded)
     got = []
     for chunk in whole["chunk"].unique().to_pylist():
-        out = distinct_words._reassemble(None, False, 1 << 20)(whole.filter(pa.compute.equal(whole["chunk"], chunk)))
+        out = distinct_words._reassemble(None, None, 1 << 20)(whole.filter(pa.compute.equal(whole["chunk"], chunk)))
         got += list(zip(out["doc_id"].to_pylist(), out["ids"].to_pylist()))
     assert len(whole["chunk"].unique()) > 3 and sorted(got) == want

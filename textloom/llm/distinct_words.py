@@ -10,9 +10,9 @@
    their words, position by position.
 
 What is shuffled is a word for each chunk that holds it and about two bytes a position. A
-chunk is bounded by its number of positions, except that a document is never split. A hot
-word is one entry a chunk. The number of buckets is that of shuffle partitions, and the
-table of words in memory is that of one bucket. The partitions of the scan make the chunks,
+chunk is bounded by its number of positions and its bytes, except that a document is never split. A hot
+word is one entry a chunk. The number of buckets is that of shuffle partitions, a task has
+one bucket, and its table of words forgets all when it has grown too large. The partitions of the scan make the chunks,
 so the documents should be a table as it is read; rows are never matched by id.
 """
 
@@ -27,13 +27,17 @@ import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from textloom.llm.pieces import once, read_vocabulary, tidy
 
 #: Positions after which a chunk ends, and a block inside it.
 CHUNK, BLOCK = 2_000_000, 250_000
-#: Bytes of text that are split at a time.
-SLICE = 10_000_000
+#: Bytes of text that are split at a time, and in a chunk for each of its positions at most.
+SLICE, LONG = 10_000_000, 16
+#: Bytes of words and ids that a task remembers; it starts anew beyond them, and words that
+#: come again are encoded again.
+FORGET = 400_000_000
 _EXPLODED = pa.schema(
     [
         ("bucket", pa.int32()),
@@ -147,7 +151,7 @@ class Chunk:
         self.words: list[int] = []  # of pieces learned since the last block
         self.sizes_of: list[int] = []
         self.flat, self.ends = np.zeros(0, np.int64), np.zeros(1, np.int64)
-        self.positions = self.blocks = self.known = 0
+        self.positions = self.blocks = self.known = self.bytes = 0
         self._new_block()
 
     def _new_block(self) -> None:
@@ -234,10 +238,11 @@ def _explode(buckets: int, blob, splitter: Callable, most: int):
             for at, length in _slices(batch.column(1)):
                 part = batch.slice(at, length)
                 chunk.add(part.column(0).to_pylist(), *split(part.column(1)))
-                if chunk.waiting < BLOCK:
+                chunk.bytes += part.column(1).nbytes
+                if chunk.waiting < BLOCK and chunk.bytes < LONG * most:
                     continue
                 yield chunk.close_block(buckets)
-                if chunk.positions >= most:
+                if chunk.positions >= most or chunk.bytes >= LONG * most:
                     yield from chunk.word_rows(buckets)
                     chunk = Chunk(chunk.number + 1)
                     split = start(chunk)
@@ -249,23 +254,25 @@ def _explode(buckets: int, blob, splitter: Callable, most: int):
 
 
 def _encode(blob, encoder: Callable):
-    """Replace the words of each row by their ids; rows of a bucket follow each other."""
+    """Replace the words of each row by their ids; a task has the rows of one bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = once(encoder.__qualname__, blob.value, encoder)
-        now, known = None, {}
+        known: dict[bytes, bytes] = {}
+        held = 0
         for batch in batches:
             out = []
-            for bucket, packed in zip(batch.column(0).to_pylist(), batch.column(3).to_pylist()):
-                if bucket != now:
-                    now, known = bucket, {}
+            for packed in batch.column(3).to_pylist():
                 if packed is None:
                     out.append(None)
                     continue
                 sizes, raw = unpack_runs(packed)
                 ends = np.cumsum(sizes).tolist()
                 words = [raw[a:b] for a, b in zip([0, *ends], ends)]
+                if held > FORGET:
+                    known, held = {}, 0
                 if new := [w for w in words if w not in known]:
+                    held += sum(map(len, new)) + 150 * len(new)
                     known.update(zip(new, encode(new)))
                 out.append(pack_runs(list(map(known.__getitem__, words))))
             yield pa.record_batch([*batch.columns[:3], pa.array(out, pa.binary()), *batch.columns[4:]], schema=_EXPLODED)
@@ -277,16 +284,39 @@ def _packed_type(largest: int) -> np.dtype:
     return np.dtype("<u2" if largest < 1 << 16 else "<u4")
 
 
-def unpack_ids(packed: pa.Array, largest: int) -> pa.Array:
-    """list<int32> of ids that ``encode_words`` packed."""
-    kind, grow = _packed_type(largest), zstandard.ZstdDecompressor().decompress
-    ids = [_from_planes(grow(x), kind) for x in packed.to_pylist()]
-    ends = np.concatenate([[0], np.cumsum([len(x) for x in ids], dtype=np.int64)])
-    flat = np.concatenate([np.zeros(0, kind), *ids]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
-
-
-def _reassemble(end: int | None, packed: bool, largest: int, finish: Callable | None = None):
+_RUN = pa.schema(
+    [("part", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("counts", pa.list_(pa.int32())), ("ids", pa.binary())]
+)
+_RUN_SQL = "part int, doc_ids array<long>, counts array<int>, ids binary"
+
+
+def _runs(docs: pa.Array, ids: np.ndarray, bounds: np.ndarray, ranges: np.ndarray, largest: int) -> pa.Table:
+    """part, doc_ids, counts, ids: one row for each range of document ids that ``docs`` touch."""
+    part = np.searchsorted(ranges, docs.fill_null(np.iinfo(np.int64).min).to_numpy(), side="right").astype(np.int32)
+    order = np.argsort(part, kind="stable")
+    names, starts = np.unique(part[order], return_index=True)
+    rows = []
+    for name, at in zip(names.tolist(), np.split(order, starts[1:])):
+        flat, ends = take_runs(ids, bounds, at)
+        packed = zstandard.compress(_planes(flat, _packed_type(largest)), 3)
+        rows.append((name, docs.take(pa.array(at)).to_pylist(), np.diff(ends), packed))
+    columns = list(zip(*rows)) or [[]] * 4
+    return pa.table([pa.array(c, kind) for c, kind in zip(columns, _RUN.types)], _RUN)
+
+
+def unpack_run(doc_ids: pa.Array, counts: np.ndarray, packed: bytes, largest: int) -> Iterator[pa.RecordBatch]:
+    """doc_id, ids of a run of documents that ``encode_words`` packed, some at a time."""
+    flat = pa.array(_from_planes(zstandard.decompress(packed), _packed_type(largest)).astype(np.int32))
+    ends = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
+    # A batch ends where another million ids begin.
+    cuts = np.nonzero(np.diff(ends[:-1] // 1_000_000))[0] + 1
+    for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(counts)]):
+        offsets = pa.array(ends[a : b + 1] - ends[a], pa.int32())
+        lists = pa.ListArray.from_arrays(offsets, flat.slice(ends[a], ends[b] - ends[a]))
+        yield pa.record_batch([doc_ids.slice(a, b - a), lists], ["doc_id", "ids"])
+
+
+def _reassemble(end: int | None, ranges: np.ndarray | None, largest: int, finish: Callable | None = None):
     """Ids of a chunk's documents from its words' ids and its blocks; ``end`` follows each."""
 
     def run(chunk: pa.Table) -> pa.Table:
@@ -319,11 +349,8 @@ def _reassemble(end: int | None, packed: bool, largest: int, finish: Callable |
                 counts.append(size)
         bounds = np.concatenate([[0], *counts]).cumsum()
         flat = np.concatenate(ids or [flat[:0]])
-        if packed:
-            kind, shrink = _packed_type(largest), zstandard.ZstdCompressor(level=1).compress
-            cuts = zip(bounds[:-1].tolist(), bounds[1:].tolist())
-            ids = [shrink(_planes(flat[a:b], kind)) for a, b in cuts]
-            return pa.table([pa.array(docs, pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+        if ranges is not None:
+            return _runs(pa.array(docs, pa.int64()), flat, bounds, ranges, largest)
         lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(flat, pa.int32()))
         return pa.table([pa.array(docs, pa.int64()), lists], ["doc_id", "ids"])
 
@@ -336,7 +363,7 @@ def encode_words(
     encoder: Callable,
     vocabulary: str,
     end: int | None = None,
-    packed: bool = False,
+    ranges: np.ndarray | None = None,
     largest: int = 2**31 - 1,
     finish: Callable | None = None,
     finish_schema: str = "",
@@ -344,7 +371,9 @@ def encode_words(
 ) -> DataFrame:
     """doc_id, ids for every row of ``docs`` (doc_id, text).
 
-    ``ids`` is array<int>, or with ``packed`` what ``unpack_ids`` reads, which is smaller to
+    ``ids`` is array<int>. With ``ranges``, ascending document ids, rows are part, doc_ids,
+    counts, ids: what a chunk has of a range of documents (part k begins with the k-th of
+    ``ranges``; null ids are in part 0), which ``unpack_run`` reads and which is smaller to
     shuffle once more; no id is above ``largest``. ``end`` follows the ids of each document.
     ``splitter(blob)(chunk)`` gives a function from texts to the numbers of their pieces, in
     tables of the chunk, and how many each text has; ``encoder(blob)`` gives a function from
@@ -356,9 +385,8 @@ def encode_words(
     blob = spark.sparkContext.broadcast(read_vocabulary(vocabulary))
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     exploded = docs.select("doc_id", "text").mapInArrow(_explode(buckets, blob, splitter, chunk), _EXPLODED_SQL)
-    by_bucket = exploded.repartition("bucket").sortWithinPartitions("bucket")
+    by_bucket = exploded.repartitionById(buckets, F.col("bucket"))
     encoded = by_bucket.mapInArrow(_encode(blob, encoder), _EXPLODED_SQL)
-    kind = "binary" if packed else "array<int>"
-    schema = finish_schema or f"doc_id long, ids {kind}"
+    schema = finish_schema or (_RUN_SQL if ranges is not None else "doc_id long, ids array<int>")
     last = (lambda table: once(finish.__qualname__, blob.value, finish)(table)) if finish else None
-    return encoded.groupBy("chunk").applyInArrow(_reassemble(end, packed, largest, last), schema)
+    return encoded.groupBy("chunk").applyInArrow(_reassemble(end, ranges, largest, last), schema)

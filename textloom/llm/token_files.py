@@ -31,9 +31,8 @@ import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from textloom.functions.ordering import quantile_chunks
 from textloom.functions.runtime import materialize
-from textloom.llm.distinct_words import BETWEEN, Chunk, encode_words, unpack_ids
+from textloom.llm.distinct_words import BETWEEN, Chunk, encode_words, unpack_run
 from textloom.llm.pieces import read_vocabulary
 
 #: Files whose first positions are sent to all tasks; beyond it they are joined.
@@ -41,8 +40,8 @@ FEW_FILES = 100_000
 SCHEMA = "doc_id long, place long, n_ids int, ids array<int>"
 #: Positions of a chunk of documents whose words are encoded together.
 CHUNK = 6_000_000
-#: Chunks of ``quantile_chunks``.
-_FAN = 32
+#: Documents in a file, about.
+FILE_ROWS = 250_000
 
 
 #: Fixed value: the tokenizer's pre-tokens, once its normalizer has lowered a text.
@@ -122,32 +121,38 @@ def _encoder(blob: bytes) -> Callable[[list[bytes]], list[bytes]]:
     return many
 
 
-def write_token_ids(docs: DataFrame, vocabulary: str, path: str, end: int = 2) -> None:
+def write_token_ids(docs: DataFrame, vocabulary: str, path: str, end: int = 2, stride: int = 10_000) -> None:
     """Encode every whole text of ``docs`` and write the files below ``path``.
 
-    The bounds of ranges come from a scan of the ids alone, before texts are read.
+    Row indexes and Bloom filters have an entry for each ``stride`` rows.
+
+    Their number grows with that of documents. The bounds of their ranges of ids, one number
+    a file, come from a scan of the ids alone, before texts are read.
     """
-    files = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    chunk = quantile_chunks(docs.select("doc_id"), "doc_id", _FAN)
-    part = F.least(F.floor(chunk * files / (_FAN * _FAN)), F.lit(files - 1)).cast("int")
+    spark = docs.sparkSession
+    files = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-docs.count() // FILE_ROWS))
+    steps = [i / files for i in range(1, files)]
+    bounds = docs.agg(F.percentile_approx("doc_id", steps, max(100_000, 100 * files))).first()[0] if steps else []
+    ranges = np.unique(np.array(bounds or [], np.int64))
     largest = max(_tokenizer(read_vocabulary(vocabulary)).get_vocab_size(), end)
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.record_batch([batch.column(0), unpack_ids(batch.column(1), largest)], ["doc_id", "ids"])
+            for part in range(batch.num_rows):
+                run = batch.slice(part, 1).to_pylist()[0]
+                yield from unpack_run(pa.array(run["doc_ids"], pa.int64()), np.array(run["counts"]), run["ids"], largest)
 
-    encoded = encode_words(docs, _splitter, _encoder, vocabulary, end, packed=True, largest=largest, chunk=CHUNK)
-    encoded = encoded.withColumn("_part", part)
+    encoded = encode_words(docs, _splitter, _encoder, vocabulary, end, ranges=ranges, largest=largest, chunk=CHUNK)
     (
-        encoded.repartitionById(files, F.col("_part"))
-        .sortWithinPartitions(F.col("doc_id").asc_nulls_first())
+        encoded.repartitionById(files, F.col("part"))
         .mapInArrow(unpack, "doc_id long, ids array<int>")
+        .sortWithinPartitions(F.col("doc_id").asc_nulls_first())
         .select("doc_id", F.monotonically_increasing_id().alias("place"), F.size("ids").alias("n_ids"), "ids")
         .write.mode("overwrite")
         .option("compression", "zstd")
         .option("orc.bloom.filter.columns", "doc_id")
         .option("orc.bloom.filter.fpp", "0.01")
-        .option("orc.row.index.stride", "10000")
+        .option("orc.row.index.stride", str(stride))
         .orc(path)
     )
 
