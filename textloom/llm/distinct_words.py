@@ -82,8 +82,11 @@ def unpack(payload: bytes) -> np.ndarray:
 
 def pack_runs(parts: list[bytes]) -> bytes:
     """Compress byte strings, with their lengths in front."""
-    sizes = np.fromiter(map(len, parts), np.uint32, len(parts))
-    return zstandard.compress(np.uint32(len(parts)).tobytes() + sizes.tobytes() + b"".join(parts), 3)
+    return _packed_runs(np.fromiter(map(len, parts), np.uint32, len(parts)), b"".join(parts))
+
+
+def _packed_runs(sizes: np.ndarray, raw: bytes) -> bytes:
+    return zstandard.compress(np.uint32(len(sizes)).tobytes() + sizes.astype(np.uint32).tobytes() + raw, 3)
 
 
 def unpack_runs(packed: bytes) -> tuple[np.ndarray, bytes]:
@@ -119,16 +122,11 @@ class Memo(dict):
         return value
 
 
-#: Stands between pieces whose words are found together; a str, while words may be bytes.
-BETWEEN = "\n"
-
-
 class _Slots(dict):
     """Numbers of words, in order of their first mention."""
 
     def __init__(self):
         self.count = 0
-        self[BETWEEN] = -1
 
     def __missing__(self, word):
         number = self[word] = self.count
@@ -166,15 +164,6 @@ class Chunk:
         self.learned += 1
         return self.learned - 1
 
-    def learn_all(self, words: list, memo: Memo, pieces: list) -> None:
-        """Learn ``pieces``, whose ``words`` follow each other with BETWEEN after a piece."""
-        numbers = np.fromiter(map(self.slots.__getitem__, words), np.int64, len(words))
-        ends = np.concatenate([[-1], np.nonzero(numbers < 0)[0], [len(numbers)]])
-        self.words.extend(numbers[numbers >= 0].tolist())
-        self.sizes_of.extend((np.diff(ends) - 1).tolist())
-        memo.update(zip(pieces, range(self.learned, self.learned + len(pieces))))
-        self.learned += len(pieces)
-
     def add(self, doc_ids: list[int | None], pieces: np.ndarray, counts: np.ndarray) -> None:
         """Documents with the numbers of their pieces, ``counts`` for each document."""
         self.ids += doc_ids
@@ -203,7 +192,7 @@ class Chunk:
         return pa.RecordBatch.from_pylist([row], schema=_EXPLODED)
 
     def word_rows(self, buckets: int) -> Iterator[pa.RecordBatch]:
-        words = [w if isinstance(w, bytes) else w.encode("utf-8") for w in self.slots if w is not BETWEEN]
+        words = [w if isinstance(w, bytes) else w.encode("utf-8") for w in self.slots]
         bucket = np.fromiter(map(xxhash.xxh32_intdigest, words), np.uint32, len(words)) % np.uint32(buckets)
         order = np.argsort(bucket, kind="stable")
         names, starts = np.unique(bucket[order], return_index=True)
@@ -217,6 +206,100 @@ class Chunk:
             yield pa.RecordBatch.from_pylist([row], schema=_EXPLODED)
 
 
+_WEIGHTS = np.random.default_rng(17).integers(1, 2**63, 64, np.int64).astype(np.uint64) | np.uint64(1)
+
+
+def buckets_of(words: pa.Array, buckets: int) -> np.ndarray:
+    """Buckets of binary words, by a hash of all their bytes."""
+    flat, ends = _bytes_of(words)
+    size = np.diff(ends)
+    out = np.zeros(len(words), np.uint64)
+    short = np.nonzero((size > 0) & (size <= len(_WEIGHTS)))[0]
+    if len(short):
+        few, at = take_runs(flat, ends, short)
+        place = np.arange(len(few)) - np.repeat(at[:-1], size[short])
+        out[short] = np.add.reduceat((few.astype(np.uint64) + np.uint64(1)) * _WEIGHTS[place], at[:-1])
+    for i in np.nonzero(size > len(_WEIGHTS))[0].tolist():
+        out[i] = xxhash.xxh3_64_intdigest(flat[ends[i] : ends[i + 1]].tobytes())
+    out = (out ^ (out >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)
+    return (out >> np.uint64(33)) % np.uint64(buckets)
+
+
+def _bytes_of(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All bytes of a binary array without nulls, and the ends of its items."""
+    _, ends, raw = words.buffers()
+    ends = np.frombuffer(ends, np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+    return np.frombuffer(raw, np.uint8) if raw is not None else np.zeros(0, np.uint8), ends
+
+
+class ArrowChunk:
+    """A chunk whose pieces are told apart in Arrow, all at its end.
+
+    Its words are numbered by frequency, the most frequent first, so that most numbers are
+    small; those mentioned once follow in order of their place, which stands for them.
+    """
+
+    def __init__(self, number: int):
+        self.number, self.bytes, self.positions = number, 0, 0
+        self.ids: list[list[int | None]] = []
+        self.coded: list[pa.DictionaryArray] = []
+        self.counts: list[np.ndarray] = []
+
+    def add(self, doc_ids: list[int | None], pieces: pa.ListArray) -> None:
+        flat = pieces.flatten()
+        self.ids.append(doc_ids)
+        self.coded.append(flat.dictionary_encode())
+        self.counts.append(pieces.value_lengths().to_numpy().astype(np.int64))
+        self.positions += len(flat) + len(doc_ids)
+
+    def rows(self, buckets: int, words_of: Callable) -> Iterator[pa.RecordBatch]:
+        """Rows of all blocks and words; ``words_of`` gives the words of pieces, as a binary
+        array, with their number for each piece, and the place of each piece among these."""
+        whole = pa.chunked_array(self.coded).unify_dictionaries()
+        words, sizes, place = words_of(whole.chunk(0).dictionary)
+        coded = words.dictionary_encode()
+        at = [place[part.indices.to_numpy()] for part in whole.chunks]
+        often = sum(np.bincount(part, minlength=len(sizes)) for part in at)
+        numbers = coded.indices.to_numpy()
+        uses = np.bincount(numbers, np.repeat(often, sizes), len(coded.dictionary))
+        # Pieces have come in order of their first mention, before ``words_of`` moved them.
+        mention = np.empty(len(numbers), np.int64)
+        mention[np.argsort(np.repeat(np.argsort(place), sizes), kind="stable")] = np.arange(len(numbers))
+        first = np.full(len(uses), len(numbers))
+        np.minimum.at(first, numbers, mention)
+        order = np.lexsort((first, -uses))
+        repeated = known = int((uses > 1).sum())
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        numbers, ends = rank[numbers], np.concatenate([[0], np.cumsum(sizes)])
+        for block, (ids, counts, part) in enumerate(zip(self.ids, self.counts, at)):
+            found, stops = take_runs(numbers, ends, part)
+            row = {
+                "bucket": (self.number + block) % buckets,
+                "chunk": self.number,
+                "slots": known.to_bytes(8, "little"),
+                "doc_ids": ids,
+                "counts": np.diff(stops[np.concatenate([[0], np.cumsum(counts)])]),
+                "payload": pack(np.where(found < repeated, found + 1, 0)),
+            }
+            known += int((found >= repeated).sum())
+            yield pa.RecordBatch.from_pylist([row], schema=_EXPLODED)
+        words = coded.dictionary.take(pa.array(order))
+        flat, ends = _bytes_of(words)
+        bucket = buckets_of(words, buckets)
+        dealt = np.argsort(bucket, kind="stable")
+        names, starts = np.unique(bucket[dealt], return_index=True)
+        for name, slots in zip(names.tolist(), np.split(dealt, starts[1:])):
+            raw, stops = take_runs(flat, ends, slots)
+            row = {
+                "bucket": name,
+                "chunk": self.number,
+                "slots": pack(np.diff(slots, prepend=0)),
+                "words": _packed_runs(np.diff(stops), raw.tobytes()),
+            }
+            yield pa.RecordBatch.from_pylist([row], schema=_EXPLODED)
+
+
 def _slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
     """(start, length) of runs of rows of about SLICE bytes, one row at least."""
     size = pa.compute.fill_null(pa.compute.binary_length(texts), 0).to_numpy(zero_copy_only=False)
@@ -253,6 +336,31 @@ def _explode(buckets: int, blob, splitter: Callable, most: int):
     return run
 
 
+def _explode_in_arrow(buckets: int, blob, splitter: Callable, most: int):
+    """As ``_explode``, with a pair of functions: from texts to lists of pieces, and from
+    pieces to words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with tidy():
+            yield from exploded(batches)
+
+    def exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces_of, words_of = once(splitter.__qualname__, blob.value, splitter)
+        chunk = ArrowChunk(TaskContext.get().partitionId() << 32)
+        for batch in batches:
+            for at, length in _slices(batch.column(1)):
+                part = batch.slice(at, length)
+                chunk.add(part.column(0).to_pylist(), pieces_of(part.column(1)))
+                chunk.bytes += part.column(1).nbytes
+                if chunk.positions >= most or chunk.bytes >= LONG * most:
+                    yield from chunk.rows(buckets, words_of)
+                    chunk = ArrowChunk(chunk.number + 1)
+        if chunk.coded:
+            yield from chunk.rows(buckets, words_of)
+
+    return run
+
+
 def _encode(blob, encoder: Callable):
     """Replace the words of each row by their ids; a task has the rows of one bucket."""
 
@@ -368,6 +476,7 @@ def encode_words(
     finish: Callable | None = None,
     finish_schema: str = "",
     chunk: int = CHUNK,
+    in_arrow: bool = False,
 ) -> DataFrame:
     """doc_id, ids for every row of ``docs`` (doc_id, text).
 
@@ -376,7 +485,8 @@ def encode_words(
     ``ranges``; null ids are in part 0), which ``unpack_run`` reads and which is smaller to
     shuffle once more; no id is above ``largest``. ``end`` follows the ids of each document.
     ``splitter(blob)(chunk)`` gives a function from texts to the numbers of their pieces, in
-    tables of the chunk, and how many each text has; ``encoder(blob)`` gives a function from
+    tables of the chunk, and how many each text has; with ``in_arrow`` it is what
+    ``_explode_in_arrow`` takes; ``encoder(blob)`` gives a function from
     words to the ids of each as little-endian 32-bit integers; ``finish(blob)`` may turn a table of
     doc_id and ids into one of ``finish_schema``. All run on executors. A larger ``chunk``
     shuffles fewer words and holds more of them in memory.
@@ -384,7 +494,8 @@ def encode_words(
     spark = docs.sparkSession
     blob = spark.sparkContext.broadcast(read_vocabulary(vocabulary))
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    exploded = docs.select("doc_id", "text").mapInArrow(_explode(buckets, blob, splitter, chunk), _EXPLODED_SQL)
+    explode = _explode_in_arrow if in_arrow else _explode
+    exploded = docs.select("doc_id", "text").mapInArrow(explode(buckets, blob, splitter, chunk), _EXPLODED_SQL)
     by_bucket = exploded.repartitionById(buckets, F.col("bucket"))
     encoded = by_bucket.mapInArrow(_encode(blob, encoder), _EXPLODED_SQL)
     schema = finish_schema or (_RUN_SQL if ranges is not None else "doc_id long, ids array<int>")

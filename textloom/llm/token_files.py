@@ -20,9 +20,7 @@ import os
 import re
 import zlib
 from array import array
-from collections import deque
 from collections.abc import Callable, Iterator
-from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textloom.functions.runtime import materialize
-from textloom.llm.distinct_words import BETWEEN, Chunk, encode_words, unpack_run
+from textloom.llm.distinct_words import encode_words, unpack_run
 from textloom.llm.pieces import read_vocabulary
 
 #: Files whose first positions are sent to all tasks; beyond it they are joined.
@@ -53,15 +51,22 @@ WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _SIMPLE = re.compile("[\\x00-\u012f\u0131-\u017f]*")
 
 
-def _splitter(blob: bytes) -> Callable:
-    """Pieces between ASCII white space, and the normalized words of a piece.
+#: Pieces of letters that are one word, whose lower case is the same in any library.
+_LETTERS = "^[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+$"
+#: Stands between pieces whose words are found together.
+_BETWEEN = "\n"
 
-    Simple pieces that are new are joined, lowered and searched together. A piece that holds
-    an added token, or a word that normalizing would change once more, is a word as it stands.
+
+def _splitter(blob: bytes) -> tuple[Callable, Callable]:
+    """Pieces between ASCII white space, and the normalized words of pieces.
+
+    Pieces of plain letters are lowered in Arrow; other simple ones are joined, lowered and
+    searched together. A piece that holds an added token, or a word that normalizing would
+    change once more, is a word as it stands.
     """
     tokenizer = _tokenizer(blob)
     normal, find = tokenizer.normalizer.normalize_str, regex.compile(WORDS).findall
-    find_all = regex.compile(f"{BETWEEN}|{WORDS}").findall
+    find_all = regex.compile(f"{_BETWEEN}|{WORDS}").findall
     added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
 
     def simple(text: str) -> bool:
@@ -73,38 +78,34 @@ def _splitter(blob: bytes) -> Callable:
         found = find(normal(piece))
         return [piece] if any(normal(w) != w for w in found) else found
 
-    def start(chunk: Chunk) -> Callable:
-        memo = chunk.memo(words)
-
-        def learn(pieces: list[str]) -> None:
-            text = BETWEEN.join(pieces)
-            if simple(text):
-                chunk.learn_all(find_all(text.lower()), memo, pieces)
-                return
-            for plain, run in groupby(pieces, simple):
-                run = list(run)
-                if plain:
-                    chunk.learn_all(find_all(BETWEEN.join(run).lower()), memo, run)
-                else:
-                    deque(map(memo.__getitem__, run), 0)
-
-        def split(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-            # Empty pieces, of white space at the ends, have no words.
-            lists = pa.compute.ascii_split_whitespace(pa.compute.fill_null(texts, ""))
-            coded = lists.flatten().dictionary_encode()
-            pieces = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
-            numbers = list(map(memo.get, pieces))
-            if at := [i for i, number in enumerate(numbers) if number is None]:
-                learn([pieces[i] for i in at])
-                for i in at:
-                    numbers[i] = memo[pieces[i]]
-            known = np.array(numbers, np.int64)
-            counts = lists.value_lengths().to_numpy(zero_copy_only=False)
-            return known[coded.indices.to_numpy()], counts.astype(np.int64)
-
-        return split
-
-    return start
+    def pieces_of(texts: pa.Array) -> pa.ListArray:
+        # Empty pieces, of white space at the ends, have no words.
+        return pa.compute.ascii_split_whitespace(pa.compute.fill_null(texts, ""))
+
+    def words_of(pieces: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        letters = pa.compute.match_substring_regex(pieces, _LETTERS)
+        plain = pa.compute.utf8_lower(pieces.filter(letters))
+        rest = pieces.filter(pa.compute.invert(letters)).to_pylist()
+        odd = [] if simple("".join(rest)) else [i for i, p in enumerate(rest) if not simple(p)]
+        kinds = np.where(letters.to_numpy(zero_copy_only=False), 0, 1)
+        joined = rest
+        if odd:
+            kinds[np.nonzero(kinds)[0][odd]] = 2
+            strange = set(odd)
+            joined = [p for i, p in enumerate(rest) if i not in strange]
+        found = find_all(_BETWEEN.join(joined).lower())
+        marks = [-1, *(i for i, w in enumerate(found) if w == _BETWEEN), len(found)]
+        others = [words(rest[i]) for i in odd]
+        # Pieces go in order of their kind.
+        order = np.argsort(kinds, kind="stable")
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        sizes = [np.ones(len(plain), np.int64), np.diff(marks)[: len(joined)] - 1, np.fromiter(map(len, others), np.int64, len(others))]
+        parts = [[w for w in found if w != _BETWEEN], [w for run in others for w in run]]
+        parts = [plain.cast(pa.binary()), *(pa.array(x, pa.string()).cast(pa.binary()) for x in parts)]
+        return pa.concat_arrays(parts), np.concatenate(sizes), place
+
+    return pieces_of, words_of
 
 
 def _tokenizer(blob: bytes):
@@ -169,7 +170,7 @@ def write_token_ids(docs: DataFrame, vocabulary: str, path: str, end: int = 2, s
                 run = batch.slice(part, 1).to_pylist()[0]
                 yield from unpack_run(pa.array(run["doc_ids"], pa.int64()), np.array(run["counts"]), run["ids"], largest)
 
-    encoded = encode_words(docs, _splitter, _encoder, vocabulary, end, ranges=ranges, largest=largest, chunk=CHUNK)
+    encoded = encode_words(docs, _splitter, _encoder, vocabulary, end, ranges=ranges, largest=largest, chunk=CHUNK, in_arrow=True)
     (
         encoded.repartitionById(files, F.col("part"))
         .mapInArrow(unpack, "doc_id long, ids array<int>")
@@ -177,9 +178,6 @@ def write_token_ids(docs: DataFrame, vocabulary: str, path: str, end: int = 2, s
         .select("doc_id", F.monotonically_increasing_id().alias("place"), F.size("ids").alias("n_ids"), "ids")
         .write.mode("overwrite")
         .option("compression", "zstd")
-        # The first version of the run-length encoding: whole bytes, which the codec shrinks to
-        # three quarters of what it makes of the second one's packed bits.
-        .option("orc.write.format", "0.11")
         .option("orc.bloom.filter.columns", "doc_id")
         .option("orc.bloom.filter.fpp", "0.01")
         .option("orc.row.index.stride", str(stride))
