@@ -1,7 +1,7 @@
 """Near-duplicate groups by MinHash signatures and a multi-index Hamming join.
 
 Every document's set of word shingles is hashed, and documents with equal sets become one
-class at once, however many they are. A class has a signature of 128 symbols of 8 bits,
+class at once, however many they are. A class has a signature of 128 symbols of 16 bits,
 each from the least value of one hash function over the set; two sets of similarity J
 agree in each symbol with probability J or a little more.
 
@@ -16,10 +16,11 @@ near copies does not make all its pairs:
 
 1. every class is paired with the least class that it shares a bucket with; a pair within
    the distance is confirmed on the full sets;
-2. every member of a bucket is paired with the first and the two before it, which is all
-   pairs for up to four members, but for those that the first round has linked with the
-   same class; then the components of all links are found;
-3. buckets of more members that still lie in different components are finished apart.
+2. every member of a bucket is paired with three of it, the least, the last and the one of
+   the least hash, but for those that the first round has linked with the same class; then
+   the components of all links are found. The three are aggregates with partial sums, so a
+   bucket that very many share is nowhere sorted or gathered;
+3. members of a bucket that still lie in different components are finished apart.
    Components that meet in such a bucket form crowds; signatures are compared inside a
    crowd, in blocks and across components only, and what passes is gathered to clusters of
    near signatures. A cluster is dealt to blocks of about 500, large components having
@@ -27,6 +28,10 @@ near copies does not make all its pairs:
    out is links between components, not pairs of documents. After that no pair of a bucket
    is open.
 
+A key stands for four or five symbols, 64 bits or more, and is hashed to 64, so classes that
+are not alike meet in a bucket about once in 2**64 pairs of entries, and crowds do not grow
+together at random.
+
 Everything is distributed: components come from joins and grouped minima, not from a
 driver-side union-find.
 
@@ -57,10 +62,8 @@ from textloom.llm.pieces import Bounded, tidy
 
 SYMBOLS, CHUNKS = 128, 24
 DISTANCE = 2 * CHUNKS - 1
-#: Members of a bucket up to which the second round tries all pairs.
-SMALL = 4
 #: In the third round, members of a block when sets are compared, and when signatures are.
-BLOCK, CROWD = 500, 4_096
+BLOCK, CROWD = 500, 1_000
 #: Ids up to which the wanted texts are picked where they are scanned; beyond it by a join.
 FEW_IDS = 1_000_000
 #: Hashes of words that a Python worker keeps.
@@ -105,7 +108,7 @@ _SHIFT = _rng.integers(0, 2**32, SYMBOLS, np.uint32)[:, None]
 
 
 def signature(shingles: np.ndarray) -> np.ndarray:
-    """128 symbols of 8 bits of a set that is not empty."""
+    """128 symbols of 16 bits of a set that is not empty."""
     low = (shingles >> _U(32)).astype(np.uint32)
     least = np.full(SYMBOLS, 0xFFFFFFFF, np.uint32)
     for start in range(0, len(low), 512):  # a block of products stays in the cache
@@ -116,7 +119,7 @@ def signature(shingles: np.ndarray) -> np.ndarray:
         part ^= part >> np.uint32(13)
         part *= np.uint32(0x297A2D39)
         np.minimum(least, part.min(axis=1), out=least)
-    return ((least * np.uint32(0x9E3779B1)) >> np.uint32(24)).astype(np.uint8)
+    return ((least * np.uint32(0x9E3779B1)) >> np.uint32(16)).astype(np.uint16)
 
 
 _BOUNDS = [SYMBOLS * c // CHUNKS for c in range(CHUNKS + 1)]
@@ -131,7 +134,7 @@ def index_keys(signatures: np.ndarray) -> np.ndarray:
             key = np.full(len(wide), wrong + 1, np.uint64)
             for k in range(a, b):
                 if k != wrong:
-                    key = (key << _U(8)) | wide[:, k]
+                    key = key * _U(0x9E3779B97F4A7C15) + wide[:, k]
             keys[:, wrong] = _mix(key)
     return keys
 
@@ -164,7 +167,7 @@ def _signatures(width: int):
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), SYMBOLS)
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(len(column), SYMBOLS)
 
 
 def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -440,24 +443,23 @@ def _components(classes: DataFrame, confirm: _Confirmer, same: DataFrame | None)
     ``same`` are links (a, b) of representatives that stand for the same document.
     """
     entries = classes.select("rep", "signature").mapInArrow(_index, "key long, rep long")
-    order = Window.partitionBy("key").orderBy("rep")
-    member = entries.select(
-        "key",
-        "rep",
-        F.first("rep").over(order).alias("head"),
-        F.lag("rep", 1).over(order).alias("one"),
-        F.lag("rep", 2).over(order).alias("two"),
-        F.count(F.lit(1)).over(Window.partitionBy("key")).alias("members"),
-    ).where("members > 1")
-    member = materialize(member)
-    nearest = materialize(member.where("head <> rep").groupBy("rep").agg(F.min("head").alias("a")).select("a", F.col("rep").alias("b")))
+    # Three members of a bucket, found with partial sums, so that no task sorts a hot bucket.
+    anchors = entries.groupBy("key").agg(
+        F.min("rep").alias("head"),
+        F.max("rep").alias("last"),
+        F.min_by("rep", F.xxhash64("rep")).alias("some"),
+        F.count(F.lit(1)).alias("members"),
+    )
+    member = entries.join(anchors.where("head <> last"), "key").where("rep <> head")
+    member = materialize(member.select("rep", "head", "last", "some", "members"))
+    nearest = materialize(member.groupBy("rep").agg(F.min("head").alias("a")).select("a", F.col("rep").alias("b")))
     links = materialize(confirm.links(nearest))
     root = lambda x: links.select(F.col("b").alias(x), F.col("a").alias(f"root_{x}"))
     least = nearest.select(F.col("a").alias("least"), "b")
     other = (
-        member.where("head <> rep")
-        .select(F.explode(F.array_distinct(F.array("head", "one", "two"))).alias("a"), F.col("rep").alias("b"))
-        .where("a IS NOT NULL")
+        member.select(F.explode(F.array_distinct(F.array("head", "last", "some"))).alias("anchor"), "rep")
+        .where("anchor <> rep")
+        .select(F.least("anchor", "rep").alias("a"), F.greatest("anchor", "rep").alias("b"))
         .distinct()
         .join(least, "b")
         .where("a <> least")
@@ -471,7 +473,7 @@ def _components(classes: DataFrame, confirm: _Confirmer, same: DataFrame | None)
         links = links.unionByName(same)
     found = connected_components(links)
     # A bucket is open if a member lies in another component than the first one does.
-    meet = member.where((F.col("members") > SMALL) & (F.col("head") != F.col("rep"))).select("head", "rep").distinct()
+    meet = member.where("members > 2").select("head", "rep").distinct()
     part = lambda x: found.select(F.col("node").alias(x), F.col("component").alias(f"of_{x}"))
     meet = meet.join(part("head"), "head", "left").join(part("rep"), "rep", "left")
     meet = materialize(
