@@ -2,24 +2,20 @@
 
 from __future__ import annotations
 
-import os
-import uuid
-
+import public_tokenizers
 from pyspark.sql import functions as F
 
-from textloom.functions.runtime import shared_dir, table
+from textloom.functions.runtime import scratch, table
 from textloom.llm import byte_bpe, token_counts, token_files
 
-#: Where the vocabulary files lie, unless the environment names another folder.
-TOKENIZERS = os.environ.get("TEXTLOOM_TOKENIZERS", "/opt/tokenizers")
-
 
 def vocabulary(name):
-    return os.path.join(TOKENIZERS, name)
+    """Where a vocabulary file lies."""
+    return public_tokenizers.path(name)
 
 
 def op3_token_files(spark, sf_dir):
-    path = f"{shared_dir(spark)}/token-ids-{uuid.uuid4().hex}"
+    path = scratch(spark, "token-ids")
     token_files.write_token_ids(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), path, end=2)
     return token_files.checksums(spark, path)
 

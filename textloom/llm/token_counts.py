@@ -23,12 +23,11 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import regex
+from public_tokenizers import PATTERN as PRE_TOKENS
 from pyspark.sql import DataFrame
 
 from textloom.llm.pieces import Bounded, cut, once, read_vocabulary, strings
 
-#: Fixed value: how byte-level tokenizers split text before merging.
-PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Entries that a worker keeps of each table.
 KEPT = 400_000
 
