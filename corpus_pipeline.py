@@ -3,16 +3,23 @@
 ``STAGES`` names them in order. A stage takes (spark, docs, sf_dir) and returns the frame
 that is written and read again as the next one's ``docs``; all but the last return the
 columns of ``documents``.
+
+Defined results. Null, empty and blank texts fail the quality rules and go there, as do null
+texts in any later stage's own input: they stay in ``line_dedup`` and ``minhash_near_dedup``,
+are never taken by ``mix_sources`` and have no ids in ``byte_bpe``. Rows with null ids are
+documents of their own. Of rows with the same id, each is judged by the rules; line dedup
+takes rows equal in id and text for one document; one row of each id leaves near-dedup. Very
+long texts are read whole in every stage. Other columns pass untouched through the first four
+stages, an empty table through all. Tables between the stages lie in the shared folder and
+are deleted when the session's JVM ends.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.functions.runtime import shared_dir, table
+from textloom.functions.runtime import scratch, table
 from textloom.llm import byte_bpe, line_dedup, mixing, near_dup, quality_rules
 from textloom.llm.catalog_tokens import vocabulary
 
@@ -63,7 +70,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply all stages to ``documents``, with a Parquet table in between."""
     docs = table(spark, sf_dir, "documents")
-    base = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    base = scratch(spark, "pipeline")
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
