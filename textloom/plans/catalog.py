@@ -382,7 +382,11 @@ def bm25_top10(spark, sf_dir):
 
 # Vector space
 
-_TFIDF = _STRICT + """, v AS (SELECT doc_id, word, (tf::FLOAT * idf)::FLOAT::DOUBLE AS weight FROM tf JOIN idf USING (word) WHERE idf <> 0),
+_WEIGHTED = f"""WITH tf AS MATERIALIZED (SELECT doc_id, word, count(*) AS tf FROM ({sql.words(T.STRICT)}) GROUP BY ALL),
+idf AS (SELECT word, log10((SELECT count(*) FROM documents)::DOUBLE / count(*))::FLOAT AS idf FROM tf GROUP BY word),
+v AS (SELECT doc_id, word, (tf::FLOAT * idf)::FLOAT::DOUBLE AS weight FROM tf JOIN idf USING (word) WHERE idf <> 0)"""
+_LEADERS = "l AS (SELECT doc_id FROM documents ORDER BY md5(doc_id::VARCHAR), doc_id LIMIT (SELECT floor(sqrt(count(*)))::BIGINT FROM documents))"
+_TFIDF = _WEIGHTED + """,
 nm AS (SELECT doc_id, sqrt(sum(weight * weight)) AS norm FROM v GROUP BY doc_id),
 l AS (SELECT doc_id FROM documents ORDER BY md5(doc_id::VARCHAR), doc_id LIMIT (SELECT floor(sqrt(count(*)))::BIGINT FROM documents)),
 c AS (SELECT x.doc_id AS a, y.doc_id AS b, sum(x.weight * y.weight) / any_value(nx.norm * ny.norm) AS cosine
@@ -404,12 +408,12 @@ def assigned(spark, sf_dir):
     return docs, chosen, vectors.assign(v, docs, chosen)
 
 
-@query("tfidf_vectors", _TFIDF + "SELECT doc_id, word, round(weight, 6) AS weight FROM v")
+@query("tfidf_vectors", _WEIGHTED + " SELECT doc_id, word, round(weight, 6) AS weight FROM v")
 def tfidf_vectors(spark, sf_dir):
     return space(spark, sf_dir)[1].select("doc_id", "word", F.round(F.col("weight").cast("double"), 6).alias("weight"))
 
 
-@query("tfidf_norms", _TFIDF + "SELECT doc_id, round(norm, 6) AS norm FROM nm")
+@query("tfidf_norms", _WEIGHTED + " SELECT doc_id, round(sqrt(sum(weight * weight)), 6) AS norm FROM v GROUP BY doc_id")
 def tfidf_norms(spark, sf_dir):
     return vectors.norms(space(spark, sf_dir)[1]).select("doc_id", F.round("norm", 6).alias("norm"))
 
@@ -422,7 +426,7 @@ def cosine_pairs(spark, sf_dir):
     return pairs.select("a", "b", F.round("cosine", 6).alias("cosine"))
 
 
-@query("cluster_leaders", _TFIDF + "SELECT doc_id FROM l")
+@query("cluster_leaders", f"WITH {_LEADERS} SELECT doc_id FROM l")
 def cluster_leaders(spark, sf_dir):
     return vectors.leaders(documents(spark, sf_dir))
 
