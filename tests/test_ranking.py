@@ -48,3 +48,20 @@ def test_clusters(spark):
 def test_dense_cosine_of_zero_is_null(spark):
     df = spark.createDataFrame([([1.0, 0.0], [2.0, 0.0]), ([0.0, 0.0], [1.0, 1.0])], "a array<float>, b array<float>")
     assert [r.c for r in df.select(vectors.cosine(df.a, df.b).alias("c")).collect()] == [1.0, None]
+
+
+def test_dense_leaders_in_blocks(spark, monkeypatch):
+    """Leaders in several blocks give what one block gives."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from textloom.operators import vectors
+
+    rng = random.Random(2)
+    rows = spark.createDataFrame([(i, [rng.gauss(0, 1) for _ in range(4)]) for i in range(60)], "vec_id long, embedding array<double>")
+    chosen = rows.where("vec_id < 9").select("vec_id")
+    want = sorted(map(tuple, vectors.assign_dense(rows, chosen).collect()))
+    monkeypatch.setattr(vectors, "FEW_TERMS", 10)
+    assert sorted(map(tuple, vectors.assign_dense(rows, chosen).collect())) == want and len(want) == 51
+    assert rows.join(chosen, "vec_id", "left_anti").agg(F.count("vec_id")).first()[0] == 51

@@ -66,6 +66,20 @@ def small_enough(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt to all cores if its files are too small to keep them busy.
+
+    A file of one row group is read by one task, however many cores there are. Beyond a scan
+    split's bytes for each core the scan fills the cores by itself and nothing is shuffled.
+    For narrow frames of an id and a text.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    split = 128 << 20  # the default bytes of a scan task
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return df.repartition(cores) if int(str(size)) < cores * split else df
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name like ``name`` that ``df`` does not have."""
     taken = {c.lower() for c in df.columns}

@@ -14,6 +14,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textloom.functions.runtime import spread
+
 # Delimiters and the characters trimmed from tokens.
 SENTENCE_DELIMITERS = r"[\r\n]|--|[ ;.,!?*:()\[\]]"
 TRIMMED = "—’-“”\"'°«‹»›„‟〝_"
@@ -59,9 +61,25 @@ AUTHOR = Profile(r"[ \r\n]", TRIMMED)
 GENRE = Profile(r"[ _]")
 
 
+def _narrow(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
+    """doc_id, text, dealt to all cores; streams stay as they are."""
+    narrow = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    return narrow if docs.isStreaming else spread(narrow)
+
+
+def document_words(docs: DataFrame, profile: Profile, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """word, doc_id: each distinct word of each text, told apart inside its row.
+
+    No row is shuffled for it. Only rows with equal ids can give a pair more than once.
+    """
+    found = F.array_distinct(profile.array(F.col("text")))
+    return _narrow(docs, text, doc_id).select(F.explode(found).alias("word"), "doc_id")
+
+
 def tokens(docs: DataFrame, profile: Profile, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, word: one row for each word of each text; null texts have none."""
-    parts = docs.select(F.col(doc_id).alias("doc_id"), F.explode(F.split(text, profile.delimiters)).alias("token"))
+    narrow = _narrow(docs, text, doc_id)
+    parts = narrow.select("doc_id", F.explode(F.split("text", profile.delimiters)).alias("token"))
     trimmed = parts.select("doc_id", profile.trim(F.col("token")).alias("token"))
     return trimmed.where(profile.accepts(F.col("token"))).select("doc_id", F.lower("token").alias("word"))
 

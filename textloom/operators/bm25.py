@@ -1,6 +1,6 @@
 """BM25 ranking with idf = log10(N / df) in single precision, K = 2, B = 0.75.
 
-The index is three frames: tf(doc_id, word, tf), idf(word, df, idf) and lengths(doc_id, dl).
+The index is two frames, tf(doc_id, word, tf) and lengths(doc_id, dl), and a number.
 A query filters tf by its literal terms first, so only matching documents are scored.
 """
 
@@ -9,10 +9,12 @@ from __future__ import annotations
 from collections import Counter
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.functions.tokens import STRICT, Profile, term_frequencies
+from textloom.functions.runtime import materialize
+from textloom.functions.tokens import STRICT, Profile, term_frequencies, tokens
+from textloom.sources.store import load, save
 
 K, B = 2.0, 0.75
 
@@ -33,23 +35,39 @@ class Bm25Index:
     """Frames of an index; ``documents`` counts all documents, with words or not."""
 
     tf: DataFrame
+    lengths: DataFrame
     documents: int
 
     @classmethod
     def build(cls, docs: DataFrame, profile: Profile = STRICT) -> Bm25Index:
-        return cls(term_frequencies(docs, profile), docs.count())
+        """Plans over ``docs``: each query tokenizes it anew. ``store`` does so once."""
+        length = tokens(docs, profile).groupBy("doc_id").agg(F.count(F.lit(1)).alias("dl"))
+        return cls(term_frequencies(docs, profile), length, docs.count())
 
-    def query(self, text: str, k: int | None = None) -> DataFrame:
+    @classmethod
+    def store(cls, docs: DataFrame, path: str, profile: Profile = STRICT) -> Bm25Index:
+        """Tokenize once and write the index; terms are sorted, so that a query reads few."""
+        tf = materialize(term_frequencies(docs, profile))
+        save(tf, f"{path}/tf", "word")
+        save(lengths(tf), f"{path}/lengths")
+        save(docs.agg(F.count(F.lit(1)).alias("documents")), f"{path}/documents")
+        return cls.load(docs.sparkSession, path)
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> Bm25Index:
+        return cls(*(load(spark, f"{path}/{name}") for name in ("tf", "lengths")), load(spark, f"{path}/documents").first()[0])
+
+    def query(self, text: str, k: int | None = None, case_sensitive: bool = False) -> DataFrame:
         """doc_id, score of documents that score above 0, best first.
 
-        Terms are taken as they stand; one that is given twice counts twice. A term of all
-        documents counts 0.
+        Terms are lowered unless ``case_sensitive``; one that is given twice counts twice. A
+        term of all documents counts 0.
         """
-        times = Counter(t for t in text.split(" ") if t)
+        times = Counter(t for t in (text if case_sensitive else text.lower()).split(" ") if t)
         asked = F.create_map(*[F.lit(x) for pair in times.items() for x in pair]) if times else None
         hits = self.tf.where(F.col("word").isin(sorted(times)))
         idf = inverse_frequencies(hits, self.documents)
-        dl = lengths(self.tf)
+        dl = self.lengths
         mean = dl.agg(F.avg("dl").alias("avgdl"))
         scored = hits.join(F.broadcast(idf), "word").join(dl, "doc_id").join(F.broadcast(mean))
         tf = F.col("tf").cast("double")

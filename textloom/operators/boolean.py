@@ -12,7 +12,8 @@ from typing import Protocol
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.functions.tokens import SIMPLE, Profile, tokens
+from textloom.functions.runtime import spread
+from textloom.functions.tokens import SIMPLE, Profile, document_words, tokens
 
 
 class RetrievalIndex(Protocol):
@@ -33,11 +34,11 @@ def postings(words: DataFrame) -> DataFrame:
 
 def biwords(docs: DataFrame, profile: Profile = SIMPLE) -> DataFrame:
     """word, doc_id of pairs of neighbours, as ``first second``, within a document."""
-    array = docs.select("doc_id", profile.array(F.col("text")).alias("w"))
+    array = spread(docs.select("doc_id", "text")).select("doc_id", profile.array(F.col("text")).alias("w"))
     pairs = F.transform(
         F.slice("w", 1, F.greatest(F.size("w") - 1, F.lit(0))), lambda x, i: F.concat(x, F.lit(" "), F.get("w", i + 1))
     )
-    return postings(array.select("doc_id", F.explode(pairs).alias("word")))
+    return postings(array.select("doc_id", F.explode(F.array_distinct(pairs)).alias("word")))
 
 
 def union(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -68,7 +69,7 @@ class BooleanIndex:
     def build(cls, docs: DataFrame, profile: Profile = SIMPLE, **options) -> BooleanIndex:
         """Index ``docs(doc_id, text[, name])``, with pairs of neighbours for phrases."""
         names = docs.select("doc_id", F.col("name") if "name" in docs.columns else F.col("doc_id").cast("string").alias("name"))
-        return cls(postings(tokens(docs, profile)), names, biwords(docs, profile), **options)
+        return cls(postings(document_words(docs, profile)), names, biwords(docs, profile), **options)
 
     def _key(self, word: str) -> str:
         return word if self.case_sensitive else word.lower()

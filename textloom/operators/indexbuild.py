@@ -7,6 +7,7 @@ their shape can be observed.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -16,11 +17,13 @@ from pyspark.sql import functions as F
 
 from textloom.functions.ordering import chunked_row_number
 from textloom.functions.runtime import materialize
-from textloom.functions.tokens import LATIN, Profile, tokens
+from textloom.functions.tokens import LATIN, Profile, document_words
 
 #: Last letters of the buckets, and bytes of a batch and of a big file.
 BUCKETS = (("a", "d"), ("e", "g"), ("h", "p"), ("q", "z"))
 BATCH_BYTES, BIG_BYTES = 150_000_000, 50_000_000
+#: Range of document ids of a stored posting block.
+BLOCK_IDS = 1 << 18
 
 
 def bucket_names() -> list[str]:
@@ -96,25 +99,40 @@ def build_stats(docs: DataFrame, words: DataFrame, batched: DataFrame) -> DataFr
     return whole.join(F.broadcast(made)).join(F.broadcast(mapped))
 
 
+def posting_blocks(words: DataFrame, block_ids: int = BLOCK_IDS) -> DataFrame:
+    """word, bucket, block, df, doc_ids: ascending distinct documents of a word in a range of
+    ``block_ids`` ids. However many documents a word has, no row has more."""
+    block = F.floor(F.col("doc_id") / block_ids).cast("long").alias("block")
+    grouped = words.groupBy("word", block).agg(F.sort_array(F.collect_set("doc_id")).alias("doc_ids"))
+    return grouped.select("word", bucket(F.col("word")).alias("bucket"), "block", F.size("doc_ids").cast("long").alias("df"), "doc_ids")
+
+
 @dataclass
 class StoredIndex:
-    """An index on disk: ``files``, ``lexicon`` and ``postings`` partitioned by bucket."""
+    """An index on disk: ``files``, ``lexicon``, ``postings`` in blocks, partitioned by
+    bucket, and ``log``, one row about the build."""
 
     spark: SparkSession
     path: str
 
     @classmethod
     def build(cls, docs: DataFrame, path: str, profile: Profile = LATIN) -> StoredIndex:
-        """Tokenize ``docs(doc_id, text[, name])`` once and write the three tables."""
-        words = materialize(tokens(docs, profile).select("word", "doc_id").distinct())
+        """Tokenize ``docs(doc_id, text[, name])`` once and write the tables."""
+        began = time.monotonic()
+        words = materialize(document_words(docs, profile))
+        mapped = time.monotonic()
         names = docs.select("doc_id", F.col("name") if "name" in docs.columns else F.col("doc_id").cast("string").alias("name"))
         names.write.mode("overwrite").parquet(f"{path}/files")
         ids = materialize(lexicon(words))
         ids.sort("word").write.mode("overwrite").parquet(f"{path}/lexicon")
-        lists = inverted(words).join(ids, "word")
+        lists = posting_blocks(words).join(ids, "word")
         # Sorted by word in each bucket, so that statistics prune row groups.
         spread = lists.repartitionByRange("bucket", "word").sortWithinPartitions("bucket", "word")
         spread.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+        sizes = docs.select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("bytes"))
+        log = build_stats(docs, words, batches(sizes))
+        took = {"map_seconds": mapped - began, "reduce_seconds": time.monotonic() - mapped}
+        log.withColumns({k: F.lit(round(v, 3)) for k, v in took.items()}).write.mode("overwrite").parquet(f"{path}/log")
         return cls(docs.sparkSession, path)
 
     def read(self, name: str) -> DataFrame:

@@ -14,6 +14,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textloom.functions.ordering import chunked_row_number
+from textloom.functions.runtime import materialize
+
 #: Fixed value: marks the ends of words in grams and rotations.
 MARK = "\x03"
 
@@ -109,6 +112,17 @@ def word_intersect(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.intersect(b)
 
 
+def word_order(words: DataFrame) -> DataFrame:
+    """position, word: a word set in order of its words, from 0, without a global sort."""
+    chunked = materialize(words.select("word", F.substring("word", 1, 2).alias("_chunk")))
+    return chunked_row_number(chunked, [], "_chunk", [F.col("word")], "position").select("position", "word")
+
+
+def word_total(words: DataFrame) -> DataFrame:
+    """words, characters: size of a word set and length of all its words."""
+    return words.agg(F.count(F.lit(1)).alias("words"), F.coalesce(F.sum(F.length("word")), F.lit(0)).alias("characters"))
+
+
 # 3-grams
 
 
@@ -191,13 +205,13 @@ def rotation_index(vocab: DataFrame) -> DataFrame:
     return vocab.select(F.explode(turns).alias("rotation"), "word")
 
 
-def rotation_search(rotations: DataFrame, pattern: str) -> DataFrame:
+def rotation_search(rotations: DataFrame, pattern: str, case_sensitive: bool = False) -> DataFrame:
     """word: matches of a pattern with one or two stars; prefix and suffix never overlap.
 
-    With two stars the middle part may be anywhere in the word. Without a star nothing is
+    The pattern is lowered unless ``case_sensitive``. With two stars the middle part may be anywhere in the word. Without a star nothing is
     found; more than two stars are a ValueError.
     """
-    parts = pattern.split("*")
+    parts = (pattern if case_sensitive else pattern.lower()).split("*")
     if len(parts) > 3:
         raise ValueError(f"more than two stars: {pattern!r}")
     if len(parts) == 1:
@@ -209,6 +223,11 @@ def rotation_search(rotations: DataFrame, pattern: str) -> DataFrame:
     return found.select("word").distinct()
 
 
+def rotation_size(rotations: DataFrame) -> DataFrame:
+    """n: number of rotations."""
+    return rotations.agg(F.count(F.lit(1)).alias("n"))
+
+
 def rotation_predicate(pattern: str) -> Column:
     """The same condition on (word, reversed), for a vocabulary without rotations."""
     parts = pattern.split("*")

@@ -27,8 +27,10 @@ def weighted(zoned: DataFrame, weights: tuple[float, ...] = WEIGHTS) -> DataFram
     return zoned.groupBy("word", "doc_id").agg(total.alias("weight"))
 
 
-def rank(zoned: DataFrame, word: str, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
-    """doc_id, weight of the documents with the word, heaviest first."""
+def rank(zoned: DataFrame, word: str, weights: tuple[float, ...] = WEIGHTS, case_sensitive: bool = False) -> DataFrame:
+    """doc_id, weight of the documents with the word, heaviest first; the word is lowered
+    unless ``case_sensitive``."""
+    word = word if case_sensitive else word.lower()
     hits = weighted(zoned.where(F.col("word") == word), weights)
     return hits.select("doc_id", "weight").orderBy(F.desc("weight"), "doc_id")
 

@@ -9,11 +9,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from textloom.functions import tokens as T
-from textloom.functions.runtime import table
+from textloom.functions.runtime import materialize, scratch, table
 from textloom.functions.strings import common_prefix, occurrences, replace_between, rotate_left
 from textloom.operators import bm25, boolean, encodings, indexbuild, vectors, wildcard, zones
 from textloom.plans import sql
-from textloom.sources import fb2
+from textloom.sources import fb2, store, text
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -101,7 +101,7 @@ def dict_size(spark, sf_dir):
     _SIMPLE + "SELECT word, count(*) AS df, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) AS docs FROM p GROUP BY word",
 )
 def bool_postings(spark, sf_dir):
-    lists = boolean.nested(simple_index(spark, sf_dir).postings)
+    lists = boolean.nested(T.document_words(documents(spark, sf_dir), T.SIMPLE))
     return lists.select("word", F.size("doc_ids").cast("long").alias("df"), joined("doc_ids").alias("docs"))
 
 
@@ -195,11 +195,11 @@ _VOCAB = f"WITH p AS (SELECT DISTINCT doc_id, word FROM ({sql.words(T.LOOSE)})),
 
 
 def loose_words(spark, sf_dir):
-    return boolean.postings(T.tokens(documents(spark, sf_dir), T.LOOSE))
+    return boolean.postings(T.document_words(documents(spark, sf_dir), T.LOOSE))
 
 
 def vocab(spark, sf_dir):
-    return wildcard.vocabulary(T.tokens(documents(spark, sf_dir), T.LOOSE))
+    return wildcard.vocabulary(T.document_words(documents(spark, sf_dir), T.LOOSE))
 
 
 def wild(name, condition, find):
@@ -399,13 +399,14 @@ g AS (SELECT d.doc_id, coalesce(leader, (SELECT min(doc_id) FROM l)) AS leader,
 
 def space(spark, sf_dir):
     docs = documents(spark, sf_dir)
-    return docs, vectors.tfidf(T.term_frequencies(docs, T.STRICT), docs.count())
+    tf = materialize(T.term_frequencies(docs, T.STRICT))  # read for idf and for weights
+    return docs, vectors.tfidf(tf, docs.count())
 
 
 def assigned(spark, sf_dir):
     docs, v = space(spark, sf_dir)
     chosen = vectors.leaders(docs)
-    return docs, chosen, vectors.assign(v, docs, chosen)
+    return docs, chosen, vectors.assign(materialize(v), docs, chosen)
 
 
 @query("tfidf_vectors", _WEIGHTED + " SELECT doc_id, word, round(weight, 6) AS weight FROM v")
@@ -421,7 +422,7 @@ def tfidf_norms(spark, sf_dir):
 @query("cosine_pairs", _TFIDF + "SELECT a, b, round(cosine, 6) AS cosine FROM c")
 def cosine_pairs(spark, sf_dir):
     docs, v = space(spark, sf_dir)
-    chosen = vectors.leaders(docs)
+    v, chosen = materialize(v), vectors.leaders(docs)
     pairs = vectors.cosines(v.join(chosen, "doc_id", "left_anti"), v.join(chosen, "doc_id", "left_semi"))
     return pairs.select("a", "b", F.round("cosine", 6).alias("cosine"))
 
@@ -495,7 +496,7 @@ b AS (SELECT doc_id, bytes, big, batch + CASE WHEN big THEN coalesce((SELECT max
 
 
 def latin_words(spark, sf_dir):
-    return boolean.postings(T.tokens(documents(spark, sf_dir), T.LATIN))
+    return T.document_words(documents(spark, sf_dir), T.LATIN)
 
 
 def batched(spark, sf_dir):
@@ -557,11 +558,150 @@ def mr_stats(spark, sf_dir):
 
 @query("mr_reader_query", _LATIN.rstrip(", ") + " SELECT doc_id, doc_id::VARCHAR AS name FROM w WHERE word = 'that'")
 def mr_reader_query(spark, sf_dir):
-    docs = documents(spark, sf_dir)
-    lists = indexbuild.inverted(boolean.postings(T.tokens(docs, T.LATIN)))
-    hit = lists.where((F.col("bucket") == indexbuild.bucket_of("that")) & (F.col("word") == "that"))
-    names = docs.select("doc_id", F.col("doc_id").cast("string").alias("name"))
-    return names.join(hit.select(F.explode("doc_ids").alias("doc_id")), "doc_id", "left_semi")
+    return stored(spark, sf_dir).query("That")
+
+
+def stored(spark, sf_dir):
+    """The documents' index, written and opened again."""
+    path = scratch(spark, "stored-index")
+    indexbuild.StoredIndex.build(documents(spark, sf_dir), path)
+    return indexbuild.StoredIndex(spark, path)
+
+
+@query("mr_stored_files", "SELECT doc_id, doc_id::VARCHAR AS name FROM documents")
+def mr_stored_files(spark, sf_dir):
+    return stored(spark, sf_dir).read("files").select("doc_id", "name")
+
+
+@query(
+    "mr_stored_postings",
+    _LATIN.rstrip(", ") + f""", i AS (SELECT word, row_number() OVER (ORDER BY word) AS word_id FROM (SELECT DISTINCT word FROM w))
+    SELECT word, word_id, {_BUCKET} AS bucket, doc_id // 262144 AS block, count(*) AS df, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) AS docs
+    FROM w JOIN i USING (word) GROUP BY ALL""",
+)
+def mr_stored_postings(spark, sf_dir):
+    lists = stored(spark, sf_dir).read("postings")
+    return lists.select("word", "word_id", F.col("bucket").cast("string").alias("bucket"), "block", "df", joined("doc_ids").alias("docs"))
+
+
+@query(
+    "mr_stored_log",
+    _LATIN.rstrip(", ") + f""" SELECT (SELECT sum(strlen(text)) // 1000 FROM documents)::BIGINT AS kilobytes,
+    (SELECT count(DISTINCT word) FROM w) AS unique_words, true AS timed""",
+)
+def mr_stored_log(spark, sf_dir):
+    timed = (F.col("map_seconds") >= 0) & (F.col("reduce_seconds") >= 0)
+    return stored(spark, sf_dir).read("log").select("kilobytes", "unique_words", timed.alias("timed"))
+
+
+@query(
+    "mr_posting_blocks",
+    _LATIN.rstrip(", ") + """ SELECT word, doc_id // 64 AS block, count(*) AS df, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) AS docs
+    FROM w GROUP BY ALL""",
+)
+def mr_posting_blocks(spark, sf_dir):
+    return indexbuild.posting_blocks(latin_words(spark, sf_dir), 64).select("word", "block", "df", joined("doc_ids").alias("docs"))
+
+
+# Directories, saved frames and indexes
+
+# A text file ends with one more line feed than its text.
+_FILE = "coalesce(text, '') || chr(10)"
+
+
+def text_folder(spark, sf_dir, *levels):
+    """A folder with a file for each document, in folders by the columns of ``levels``."""
+    path = scratch(spark, "texts")
+    rows = documents(spark, sf_dir).select(F.coalesce("text", F.lit("")).alias("text"), *levels)
+    rows.repartition(8, *levels).write.mode("overwrite").partitionBy(*levels).text(path)
+    return path
+
+
+def file_of(path):
+    return F.regexp_extract(path, "doc_id=([0-9]+)", 1).cast("long").alias("doc_id")
+
+
+@query("src_recursive", f"SELECT doc_id, strlen({_FILE})::BIGINT AS bytes, md5({_FILE}) AS text_md5 FROM documents")
+def src_recursive(spark, sf_dir):
+    files = text.read_texts(spark, text_folder(spark, sf_dir, "lang", "doc_id"))
+    return files.select(file_of("path"), "bytes", F.md5("text").alias("text_md5"))
+
+
+@query("src_ids", "SELECT row_number() OVER (ORDER BY doc_id::VARCHAR) AS n FROM documents")
+def src_ids(spark, sf_dir):
+    return text.read_texts(spark, text_folder(spark, sf_dir, "lang", "doc_id"), first_id=1).select(F.col("doc_id").alias("n"))
+
+
+@query("src_flat", f"SELECT strlen({_FILE})::BIGINT AS bytes, md5({_FILE}) AS text_md5 FROM documents WHERE doc_id = 0")
+def src_flat(spark, sf_dir):
+    inner = text_folder(spark, sf_dir, "doc_id") + "/doc_id=0"  # the folders beside it are not read
+    return text.read_texts(spark, inner, recursive=False).select("bytes", F.md5("text").alias("text_md5"))
+
+
+@query(
+    "src_lines",
+    "SELECT doc_id, md5(line) AS line_md5, count(*) AS n FROM (SELECT doc_id, unnest(regexp_split_to_array(coalesce(text, ''), '\r\n|\r|\n')) AS line FROM documents) GROUP BY ALL",
+)
+def src_lines(spark, sf_dir):
+    lines = text.read_lines(spark, text_folder(spark, sf_dir, "doc_id"))
+    return lines.groupBy(file_of("path"), F.md5("line").alias("line_md5")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("saved_index", f"SELECT doc_id, count(*) AS tf FROM ({sql.words(T.STRICT)}) WHERE word = 'that' GROUP BY doc_id")
+def saved_index(spark, sf_dir):
+    path = scratch(spark, "saved")
+    store.save(T.term_frequencies(documents(spark, sf_dir), T.STRICT), path, "word")
+    return store.load(spark, path).where("word = 'that'").select("doc_id", "tf")
+
+
+@query("bm25_stored", _STRICT + _SCORE.format("1", "'the', 'tion', 'that'"))
+def bm25_stored(spark, sf_dir):
+    index = bm25.Bm25Index.store(documents(spark, sf_dir), scratch(spark, "bm25"))
+    return index.query("The tion THAT").select("doc_id", F.round("score", 6).alias("score"))
+
+
+@query("bm25_case_sensitive", _STRICT + _SCORE.format("1", "'The', 'that'"))
+def bm25_case_sensitive(spark, sf_dir):
+    found = bm25.Bm25Index.build(documents(spark, sf_dir)).query("The that", case_sensitive=True)
+    return found.select("doc_id", F.round("score", 6).alias("score"))
+
+
+@query("zone_lowered", _ZONED + "SELECT doc_id, weight FROM r WHERE word = 'de'")
+def zone_lowered(spark, sf_dir):
+    return zones.rank(zoned(spark, sf_dir), "De").select("doc_id", _weight())
+
+
+wild("perm_lowered", _ONE, lambda v: wildcard.rotation_search(wildcard.rotation_index(v), "The*ENT"))
+wild("perm_case_sensitive", "false", lambda v: wildcard.rotation_search(wildcard.rotation_index(v), "The*ent", case_sensitive=True))
+
+
+@query("perm_size", _VOCAB + "SELECT sum(length(word) + 1)::BIGINT AS n FROM v")
+def perm_size(spark, sf_dir):
+    return wildcard.rotation_size(wildcard.rotation_index(vocab(spark, sf_dir)))
+
+
+@query("wordset_order", _VOCAB + "SELECT row_number() OVER (ORDER BY word) - 1 AS position, word FROM v WHERE word LIKE '%tion'")
+def wordset_order(spark, sf_dir):
+    return wildcard.word_order(wildcard.search(vocab(spark, sf_dir), "*tion"))
+
+
+@query("wordset_total", _VOCAB + "SELECT count(*) AS words, sum(length(word))::BIGINT AS characters FROM v WHERE word LIKE 'th%'")
+def wordset_total(spark, sf_dir):
+    return wildcard.word_total(wildcard.search(vocab(spark, sf_dir), "th*"))
+
+
+_PATTERNS = {"that": "Word", "th*": "Starts", "*tion": "Ends", "th*on": "Between", "th*er*on": None, "**": None, "*": None}
+
+
+@query("pattern_forms", f"SELECT unnest({list(_PATTERNS)}) AS pattern, unnest({[v or 'error' for v in _PATTERNS.values()]}) AS form")
+def pattern_forms(spark, sf_dir):
+    def form(pattern):
+        try:
+            return type(wildcard.parse(pattern)).__name__
+        except ValueError:
+            return "error"
+
+    return spark.createDataFrame([(p, form(p)) for p in _PATTERNS], "pattern string, form string")
 
 
 # Encodings
@@ -571,12 +711,12 @@ _GAP_BYTES = "CASE WHEN gap < 128 THEN 1 WHEN gap < 16384 THEN 2 WHEN gap < 2097
 
 
 def from_one(spark, sf_dir):
-    return latin_words(spark, sf_dir).withColumn("doc_id", F.col("doc_id") + 1)
+    return materialize(latin_words(spark, sf_dir).withColumn("doc_id", F.col("doc_id") + 1))
 
 
 @query("enc_gaps", _GAPS + "SELECT word, doc_id, gap FROM g")
 def enc_gaps(spark, sf_dir):
-    return encodings.gaps(from_one(spark, sf_dir)).select("word", "doc_id", "gap")
+    return encodings.gaps(boolean.postings(from_one(spark, sf_dir))).select("word", "doc_id", "gap")
 
 
 @query("enc_vbyte_len", _GAPS + f"SELECT word, (5 + sum({_GAP_BYTES}))::BIGINT AS bytes FROM g GROUP BY word")
@@ -636,6 +776,32 @@ def enc_front_coding(spark, sf_dir):
     return blocks(spark, sf_dir).select("block", "prefix", joined("word_ids").alias("word_ids"), F.array_join("suffixes", ",").alias("suffixes"))
 
 
+@query(
+    "enc_dictionary_rows",
+    _BLOCKS + """, y AS (SELECT k.block, word_id, word, CASE WHEN row_number() OVER (PARTITION BY k.block ORDER BY word) = 1
+    THEN prefix || chr(65535) || substr(word, n + 1) ELSE substr(word, n + 1) END AS t, length(word) AS len FROM k JOIN q USING (block)),
+    z AS (SELECT *, printf('%02x', len) || list_aggregate(list_transform(range(1, length(t) + 1), lambda j: printf('%02x%02x',
+      ord(t[j]) & 255, ord(t[j]) >> 8)), 'string_agg', '') AS h FROM y),
+    b AS (SELECT block, string_agg(h, '' ORDER BY word) AS body, string_agg(printf('%02x%02x%02x%02x', word_id & 255, (word_id >> 8) & 255,
+      (word_id >> 16) & 255, word_id >> 24), '' ORDER BY word) AS ids FROM z GROUP BY block)
+    SELECT block, (sum(length(body) // 2) OVER (ORDER BY block) - length(body) // 2)::BIGINT AS position, rpad(ids, 24, '0') AS ids, body FROM b""",
+)
+def enc_dictionary_rows(spark, sf_dir):
+    rows = encodings.dictionary_rows(blocks(spark, sf_dir))
+    return rows.select("block", "position", F.lower(F.hex("ids")).alias("ids"), F.lower(F.hex("body")).alias("body"))
+
+
+@query(
+    "enc_postings_file",
+    _LATIN.rstrip(", ") + """, i AS (SELECT word, row_number() OVER (ORDER BY word) AS word_id FROM (SELECT DISTINCT word FROM w))
+    SELECT word_id, string_agg((doc_id + 1)::VARCHAR, ',' ORDER BY doc_id) AS docs FROM w JOIN i USING (word) WHERE word_id IN (1, 50, 500) GROUP BY word_id""",
+)
+def enc_postings_file(spark, sf_dir):
+    path = scratch(spark, "posting-records")
+    encodings.save_postings(records(spark, sf_dir), path)
+    return encodings.read_postings(spark, path, [1, 50, 500]).select("word_id", joined("doc_ids").alias("docs"))
+
+
 @query("enc_front_decode", _BLOCKS + "SELECT word, word_id FROM i")
 def enc_front_decode(spark, sf_dir):
     return encodings.front_decode(blocks(spark, sf_dir))

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def save(df: DataFrame, path: str, sort_by: str | None = None, mode: str = "overwrite") -> None:
-    """Write an index frame, LZ4-compressed; sorted in files by a column that lookups filter."""
+    """Write an index frame, compressed; sorted in files by a column that lookups filter."""
     out = df.repartitionByRange(sort_by).sortWithinPartitions(sort_by) if sort_by else df
-    out.write.mode(mode).option("compression", "lz4_raw").parquet(path)
+    out.write.mode(mode).option("compression", "zstd").parquet(path)
 
 
 def append(df: DataFrame, path: str, sort_by: str | None = None) -> None:

@@ -27,6 +27,7 @@ def read_texts(spark: SparkSession, path: str, recursive: bool = True, first_id:
 
 
 def read_lines(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:
-    """name, line: lines end at \\n, \\r or both; no file is held as a whole."""
+    """name, path, line: lines end at \\n, \\r or both; no file is held as a whole."""
     lines = spark.read.option("recursiveFileLookup", recursive).text(path)
-    return lines.select(F.col("_metadata.file_name").alias("name"), F.explode(F.split("value", "\r")).alias("line"))
+    meta = F.col("_metadata")
+    return lines.select(meta["file_name"].alias("name"), meta["file_path"].alias("path"), F.explode(F.split("value", "\r")).alias("line"))
