@@ -282,3 +282,42 @@ def test_shifts_come_in_order():
     got = ann.shifts(offset, 27)
     cost = [sum(offset[j] ** 2 if m < 0 else (1 - offset[j]) ** 2 for j, m in enumerate(row) if m) for row in got.tolist()]
     assert cost == sorted(cost) and len({tuple(r) for r in got.tolist()}) == len(got) == 27
+
+
+def test_winnowing_stores_selected_lines_only():
+    """Fewer fingerprints than lines; equal runs of enough words always share one."""
+    rng = random.Random(8)
+    line = lambda: prose(rng.random(), rng.randint(3, 14), 5_000)
+    shared = [line() for _ in range(12)]
+    texts = ["\n".join([*(line() for _ in range(rng.randint(0, 20))), *shared, *(line() for _ in range(9))]) for _ in range(20)]
+    found = [line_dedup.fingerprints(t, 50) for t in texts]
+    assert sum(map(len, found)) < 0.6 * sum(t.count("\n") + 1 for t in texts)
+    assert set.intersection(*({p["print"] for p in f} for f in found))
+    for text, prints in zip(texts, found):
+        lines = text.split("\n")
+        for p in prints:
+            assert p["lines"][p["spot"]] == p["at"]
+            for a, b in zip(p["windows"][::2], p["windows"][1::2]):
+                assert sum(len(lines[i].split()) for i in p["lines"][a : b + 1]) >= 50 and a <= p["spot"] <= b
+
+
+def test_matches_are_extended_both_ways():
+    """What the first place explains comes as one run, the rest as windows with a hash."""
+    import pyarrow as pa
+
+    rng = random.Random(9)
+    lines = [prose(rng.random(), 20, 5_000) for _ in range(9)]
+    first, later = "\n".join(["x", *lines[:6]]), "\n".join([*lines, "y"])
+    one = {p["print"]: p for p in line_dedup.fingerprints(first, 50)}
+    rows = []
+    for p in line_dedup.fingerprints(later, 50):
+        if p["print"] in one:
+            q = one[p["print"]]
+            rows.append({"doc_id": 2, "text_hash": 0} | p | {"first_spot": q["spot"], "first_digests": q["digests"]})
+    assert rows
+    got = [r for b in line_dedup._extend(iter(pa.Table.from_pylist(rows).to_batches())) for r in b.to_pylist()]
+    covered = {i for r in got if r["hash"] is None for i in range(r["start"], r["stop"] + 1)}
+    assert covered and covered <= set(range(6))
+    assert all(r["stop"] > 5 for r in got if r["hash"] is not None)
+    a = b"".join(bytes([c]) * 16 for c in b"abcdef")
+    assert line_dedup.agree(a, 2, b"".join(bytes([c]) * 16 for c in b"xbcdz"), 2) == (1, 3)

@@ -1,23 +1,24 @@
-"""Line dedup by hashes of all windows of lines, with a winnowed prefilter.
+"""Line dedup by winnowing over line hashes.
 
 A repeated run is a run of consecutive lines with ``min_words`` words or more whose lines,
 in this order, also begin at an earlier place of the corpus. Places are ordered by document
 id and line. All lines of repeated runs are deleted, so that the first copy of everything
 stays; blank lines do not count and go with the run around them. Lines are compared without
-white space at their ends.
-
-1. Fingerprints. From each line on, and up to each line, the shortest run with
-   ``min_words`` words is a window; within a window the run of half as many words with the
-   least hash is its fingerprint. Equal windows have equal fingerprints, and every repeated
-   run holds a window, so no repeated run is without a common fingerprint (the winnowing
-   guarantee), whichever places surround it.
-2. Prefilter. Fingerprints found at one place only drop out, with their windows. This saves
-   work and decides nothing: the result would be the same without it.
-3. Whole windows instead of extension. Windows that remain are compared by the hash of their
-   whole content, and no match is extended; since windows run forwards and backwards from
-   every line, the repeated ones cover repeated runs to both ends, whichever earlier
-   documents the parts of a run come from.
-4. Deletion. Windows that are not at the first place of their content are deleted.
+white space at their ends, by 128-bit digests.
+
+1. Select. From each line on, and up to each line, the shortest run with ``min_words`` words
+   is a window. Of the runs of half as many words inside a window, the one with the least
+   hash is its fingerprint. Only fingerprints are stored, each once for all windows that
+   select it, with the digests of the lines of these windows. Equal windows select equal
+   fingerprints, so every repeated run has one in common with its earlier copy.
+2. Join. Fingerprints found at more than one place are joined with the first of their places.
+3. Extend. From the fingerprint, lines are compared with those of the first place backwards
+   and forwards as far as they agree. Windows inside the match are repeated.
+4. Go on. Where the first place does not explain all windows, since a part of the run comes
+   from another earlier document, the windows left over are compared by a hash of their line
+   digests, again with the first place only. A window left over has no copy among those
+   explained, as it would have agreed with the first place as well, so nothing is missed.
+5. Delete the lines of repeated windows.
 
 A passage that a third of all documents share gives rows that are counted with partial
 sums, and is joined with one row, its first place; no pairs of documents are made.
@@ -41,10 +42,27 @@ from pyspark.sql import functions as F
 from textloom.functions.runtime import fresh, materialize
 from textloom.llm.pieces import strings, tidy
 
-_WINDOWS = "doc_id long, text_hash long, windows array<struct<print: long, at: int, hash: long, start: int, stop: int>>"
+_PRINTS = (
+    "doc_id long, text_hash long, "
+    "prints array<struct<print: long, at: int, spot: int, lines: array<int>, digests: binary, windows: array<int>>>"
+)
 _STRUCT = pa.list_(
-    pa.struct([("print", pa.int64()), ("at", pa.int32()), ("hash", pa.int64()), ("start", pa.int32()), ("stop", pa.int32())])
+    pa.struct(
+        [
+            ("print", pa.int64()),
+            ("at", pa.int32()),
+            ("spot", pa.int32()),
+            ("lines", pa.list_(pa.int32())),
+            ("digests", pa.binary()),
+            ("windows", pa.list_(pa.int32())),
+        ]
+    )
+)
+_RUNS = pa.schema(
+    [("doc_id", pa.int64()), ("text_hash", pa.int64()), ("start", pa.int32()), ("stop", pa.int32()), ("hash", pa.binary())]
 )
+#: Bytes of the digest of a line.
+DIGEST = 16
 
 
 def _signed(x: int) -> int:
@@ -62,8 +80,13 @@ def _shortest(total: np.ndarray, most: int) -> np.ndarray:
     return np.where(found < len(total), found, len(total))
 
 
-def find_windows(text: str, min_words: int) -> list[dict]:
-    """The windows of a text: fingerprint, its line, hash of the content, first and last line."""
+def fingerprints(text: str, min_words: int) -> list[dict]:
+    """The selected fingerprints of a text.
+
+    ``print`` is its hash, ``at`` the number of its first line, ``lines`` and ``digests``
+    the lines with words that its windows span, ``spot`` its first line among these, and
+    ``windows`` the first and last line of each window among these.
+    """
     lines = [(i, x) for i, x in enumerate(text.split("\n")) if x and not x.isspace()]
     lines = [(i, b) for i, x in lines if (b := x.encode("utf-8").strip())]
     if not lines:
@@ -72,19 +95,28 @@ def find_windows(text: str, min_words: int) -> list[dict]:
     n = len(lines)
     if total[-1] < min_words:
         return []
-    grams = _shortest(total, -(-min_words // 2))
-    content = lambda a, b: xxhash.xxh3_64_intdigest(b"\n".join(x for _, x in lines[a:b]))
-    gram_hash = [content(i, int(j)) if j <= n else None for i, j in enumerate(grams)]
-    forward = {(i, int(j)) for i, j in enumerate(_shortest(total, min_words)) if j <= n}
+    digests = b"".join(xxhash.xxh3_128_digest(b) for _, b in lines)
+    grams = _shortest(total, -(-min_words // 2)).tolist()
+    hashes = [xxhash.xxh3_64_intdigest(digests[DIGEST * i : DIGEST * j]) if j <= n else None for i, j in enumerate(grams)]
+    windows = {(i, j) for i, j in enumerate(_shortest(total, min_words).tolist()) if j <= n}
     # Up to line j: the last i with total[j] - total[i] >= min_words.
     last = np.searchsorted(total, total - min_words, side="right") - 1
-    backward = {(int(i), j) for j, i in enumerate(last) if i >= 0 and total[j] - total[i] >= min_words}
+    windows |= {(i, j) for j, i in enumerate(last.tolist()) if i >= 0}
+    chosen: dict[int, list[tuple[int, int]]] = {}
+    for a, b in sorted(windows):
+        chosen.setdefault(min((hashes[i], i) for i in range(a, b) if grams[i] <= b)[1], []).append((a, b))
     out = []
-    for a, b in sorted(forward | backward):
-        inside = [(gram_hash[i], i) for i in range(a, b) if grams[i] <= b]
-        mark, at = min(inside)
+    for at, spans in chosen.items():
+        low, high = min(a for a, _ in spans), max(b for _, b in spans)
         out.append(
-            {"print": _signed(mark), "at": lines[at][0], "hash": _signed(content(a, b)), "start": lines[a][0], "stop": lines[b - 1][0]}
+            {
+                "print": _signed(hashes[at]),
+                "at": lines[at][0],
+                "spot": at - low,
+                "lines": [i for i, _ in lines[low:high]],
+                "digests": digests[DIGEST * low : DIGEST * high],
+                "windows": [x - low for a, b in spans for x in (a, b - 1)],
+            }
         )
     return out
 
@@ -101,28 +133,73 @@ def _scan(min_words: int):
                 [
                     batch.column(0),
                     pa.array(map(text_hash, texts), pa.int64()),
-                    pa.array([find_windows(x, min_words) for x in texts], _STRUCT),
+                    pa.array([fingerprints(x, min_words) for x in texts], _STRUCT),
                 ],
-                ["doc_id", "text_hash", "windows"],
+                ["doc_id", "text_hash", "prints"],
             )
 
     return run
 
 
+def agree(own: bytes, spot: int, first: bytes, first_spot: int) -> tuple[int, int]:
+    """First and last line of ``own`` around ``spot`` that agree with ``first``, line by line."""
+    before, after = min(spot, first_spot), min(len(own) // DIGEST - spot, len(first) // DIGEST - first_spot)
+    line = lambda digests, at: digests[DIGEST * at : DIGEST * (at + 1)]
+    back = ahead = 0
+    while back < before and line(own, spot - back - 1) == line(first, first_spot - back - 1):
+        back += 1
+    while ahead < after and line(own, spot + ahead) == line(first, first_spot + ahead):
+        ahead += 1
+    return spot - back, spot + ahead - 1
+
+
+def _extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Repeated runs (without a hash), and the windows that the first place does not explain.
+
+    Input: a fingerprint's place, its windows and those of its first place.
+    """
+    for batch in batches:
+        out = []
+        for row in batch.to_pylist():
+            own, lines = row["digests"], row["lines"]
+            low, high = agree(own, row["spot"], row["first_digests"], row["first_spot"])
+            spans = list(zip(row["windows"][::2], row["windows"][1::2]))
+            inside = [(a, b) for a, b in spans if low <= a and b <= high]
+            if inside:  # all of them hold the fingerprint, so they are one run
+                out.append((row, min(a for a, _ in inside), max(b for _, b in inside), None))
+            for a, b in spans:
+                if not (low <= a and b <= high):
+                    out.append((row, a, b, xxhash.xxh3_128_digest(own[DIGEST * a : DIGEST * (b + 1)])))
+        rows = [(r["doc_id"], r["text_hash"], r["lines"][a], r["lines"][b], h) for r, a, b, h in out]
+        columns = list(zip(*rows)) or [[]] * 5
+        yield pa.record_batch([pa.array(c, kind) for c, kind in zip(columns, _RUNS.types)], schema=_RUNS)
+
+
 def repeated_runs(docs: DataFrame, min_words: int = 50) -> DataFrame:
     """doc_id, text_hash, start, stop: line ranges (0-based, inclusive) to delete."""
-    scanned = docs.select("doc_id", "text").mapInArrow(_scan(min_words), _WINDOWS)
+    scanned = docs.select("doc_id", "text").mapInArrow(_scan(min_words), _PRINTS)
     # Rows equal in id and text are one document.
-    windows = materialize(scanned.select("doc_id", "text_hash", F.explode("windows").alias("w")).select("doc_id", "text_hash", "w.*"))
+    prints = materialize(scanned.select("doc_id", "text_hash", F.explode("prints").alias("p")).select("doc_id", "text_hash", "p.*"))
     place = F.struct("doc_id", "text_hash", "at")
-    common = (
-        windows.groupBy("print").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where("lo <> hi").select("print")
-    )
-    met = windows.join(common, "print", "left_semi")
+    return _later_runs(prints, place)
+
+
+def _later_runs(prints: DataFrame, place: Column) -> DataFrame:
+    whole = F.struct("doc_id", "text_hash", "at", "spot", "digests")
+    first = prints.groupBy("print").agg(F.min(whole).alias("first"), F.max(place).alias("hi"))
+    head = F.struct("first.doc_id", "first.text_hash", "first.at")
+    first = first.where(head != F.col("hi")).select("print", "first")
+    later = prints.join(first, "print").where(place > head)
+    columns = ["doc_id", "text_hash", "spot", "lines", "digests", "windows"]
+    later = later.select(*columns, F.col("first.spot").alias("first_spot"), F.col("first.digests").alias("first_digests"))
+    found = materialize(later.mapInArrow(_extend, "doc_id long, text_hash long, start int, stop int, hash binary"))
+    explained = found.where("hash IS NULL")
+    rest = found.where("hash IS NOT NULL")
     begin = F.struct("doc_id", "text_hash", "start")
-    first = met.groupBy("hash").agg(F.min(begin).alias("head"), F.max(begin).alias("tail")).where("head <> tail")
-    later = met.join(first.select("hash", "head"), "hash").where(begin > F.col("head"))
-    return later.select("doc_id", "text_hash", "start", "stop")
+    heads = rest.groupBy("hash").agg(F.min(begin).alias("head"), F.max(begin).alias("tail")).where("head <> tail")
+    again = rest.join(heads.select("hash", "head"), "hash").where(begin > F.col("head"))
+    runs = ["doc_id", "text_hash", "start", "stop"]
+    return explained.select(*runs).unionByName(again.select(*runs))
 
 
 def _hash_text(text: pa.Array) -> pa.Array:
