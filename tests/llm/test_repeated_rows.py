@@ -93,3 +93,51 @@ def test_pipeline_keeps_one_row_of_an_id(spark, documents):
     two = documents([(5, a), (5, b), (6, c)], "row n gone")
     least = min((a, b), key=lambda t: two.sparkSession.createDataFrame([(t,)], "t string").select(F.xxhash64("t")).first()[0])
     assert {(r.doc_id, r.text) for r in near_dup.one_of_each_id(two).collect()} == {(5, least), (6, c)}
+
+
+def test_doubles_lengths_and_extremes(spark):
+    """Scores are exact on doubles, very large and very small ones, and each length apart."""
+    rng = np.random.default_rng(4)
+    rows = [(i, (np.array([1.25, 0.5]) + 1e-9 * i).tolist()) for i in range(40)]
+    rows += [(100, [1e300, 1.0]), (101, [1e-300, 1e-300]), (102, rng.random(3).tolist()), (120, rng.random(3).tolist())]
+    df = spark.createDataFrame([(*r, "x", "y") for r in rows], "vec_id long, embedding array<double>, cell string, rank string")
+    got = ann.nearest(df, F.col("vec_id") % 20 == 0).collect()
+    by = {}
+    for i, v in rows:
+        by.setdefault(len(v), {})[i] = [v]
+    want = []
+    for held in by.values():
+        for q in (q for q in held if q % 20 == 0):
+            score = {i: float((np.array(v[0]) * np.array(held[q][0])).sum()) for i, v in held.items() if i != q}
+            best = sorted(score, key=lambda i: (-score[i], i))[:20]
+            want += [(q, n + 1, i, score[i]) for n, i in enumerate(best)]
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == sorted(want)
+
+
+def test_recall_on_the_given_vectors(spark):
+    """Recall of the 20 best by brute force, through the buckets, at the chosen probes."""
+    table = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    x = {r.vec_id: np.array(r.embedding, np.float64) for r in table.collect() if r.embedding is not None}
+    ids = sorted(x)
+    m = np.array([x[i] for i in ids])
+    found = {}
+    for r in ann.nearest(table, F.col("vec_id") % 20 == 0).collect():
+        assert abs(r.score - float(x[r.query_id] @ x[r.vec_id])) < 1e-9
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = []
+    for q in found:
+        score = m @ x[q]
+        order = [ids[j] for j in np.argsort(-score, kind="stable") if ids[j] != q][:20]
+        hits.append(len(found[q] & set(order)) / 20)
+    assert np.mean(hits) >= 0.9 and all(len(f) == 20 for f in found.values())
+
+
+def test_fewer_probes_where_vectors_cluster():
+    rng = np.random.default_rng(6)
+    centres = rng.standard_normal((60, 32)) * 3
+    clustered = centres[rng.integers(0, 60, 3000)] + 0.1 * rng.standard_normal((3000, 32))
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    hasher = ann.Hasher(32, 8, 6, 1.0, 7)
+    few, seen = ann.choose_probes(unit(clustered), hasher, 20, 0.95)
+    many, all_seen = ann.choose_probes(unit(rng.standard_normal((3000, 32))), hasher, 20, 0.95)
+    assert few < many and seen < min(0.3, all_seen)

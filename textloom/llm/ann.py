@@ -6,7 +6,8 @@ the largest inner product is the least Euclidean distance, which p-stable hashin
 
 ``tables`` hash tables have ``width`` projections each, cut into slots; a bucket is a
 combination of slots. A query visits its own bucket and, in the order of their estimated
-success, ``probes - 1`` buckets with slots shifted by one: the estimate of a shift is the
+success, ``probes - 1`` buckets with slots shifted by one (their number is chosen on a
+bounded sample for the wanted recall): the estimate of a shift is the
 squared distance of the projection from the border crossed, and sets of shifts come from a
 heap in order of their sums. Candidates of all tables are merged and ranked by the exact
 inner product in double precision.
@@ -14,15 +15,19 @@ inner product in double precision.
 Buckets are gathered in cells of about ``CELL`` vectors; a query goes once to each cell in
 which it visits buckets, and brings back only its best ``k`` there. Cells that hold many
 more, because vectors crowd in a few buckets, are split by vector, and their queries go to
-every part: no cap is set on a bucket. Equal vectors are indexed once, with their ``k + 1``
+every part; those with very many queries are split by query as well: no cap is set on a bucket. Equal vectors are indexed once, with their ``k + 1``
 smallest distinct ids; further ids can never be among the best ``k``. Wherever a best ``k``
 is cut off, distinct ids are counted, each with its best score.
 
-A query that finds fewer than ``k`` in its buckets is compared with all vectors, in
-blocks of queries, so the result always has ``k`` rows or all there are.
+A query that finds fewer than ``k`` in its buckets is compared with all vectors, a block of
+queries with a block of vectors in a task, so the result always has ``k`` rows or all there are.
 
-Defined results: vectors that are null, zero, of another length than most, or hold null or
-non-finite components take no part, nor do null ids; rows with equal ids are one item with
+Scores are inner products of the vectors as they stand, in double precision; one that is
+beyond doubles is infinite.
+
+Defined results: vectors that are null, zero, or hold null or non-finite components take no
+part, nor do null ids; vectors of different lengths have no inner product, so each length is
+searched by itself (lengths are a few numbers, fetched once); rows with equal ids are one item with
 several vectors, which scores the best that is found; ties go to the smaller id; an empty table gives an
 empty result; other columns are not read.
 """
@@ -31,6 +36,7 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +48,8 @@ from textloom.functions.runtime import materialize
 
 #: Vectors in a cell, about; queries in a block that is compared with all vectors.
 CELL, BLOCK = 50_000, 2_000
+#: Numbers of probes to choose from, and vectors of the sample that they are chosen on.
+PROBES, SAMPLE = (4, 8, 16, 24, 32, 48, 64, 96), 4_000
 _FOUND = "query_id long, vec_id long, score double"
 
 
@@ -96,14 +104,21 @@ def _vectors(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
-_MEMBER = "cell int, query_id long, buckets array<long>, ids array<long>, embedding array<float>"
+def _unit(x: np.ndarray) -> np.ndarray:
+    """Rows, none of them zero, scaled to norm 1 without squaring very large or small numbers."""
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+_DOUBLES = pa.list_(pa.float64())
+_MEMBER = "cell int, query_id long, buckets array<long>, ids array<long>, embedding array<double>"
 _MEMBER_ARROW = pa.schema(
     [
         ("cell", pa.int32()),
         ("query_id", pa.int64()),
         ("buckets", pa.list_(pa.int64())),
         ("ids", pa.list_(pa.int64())),
-        ("embedding", pa.list_(pa.float32())),
+        ("embedding", _DOUBLES),
     ]
 )
 
@@ -126,7 +141,7 @@ def _enter(hasher: Hasher, cells: int, largest: float):
                         pa.nulls(batch.num_rows, pa.int64()),
                         pa.array(bucket.view(np.int64)[:, None].tolist(), pa.list_(pa.int64())),
                         batch.column(1),
-                        batch.column(0),
+                        batch.column(0).cast(_DOUBLES),
                     ],
                     schema=_MEMBER_ARROW,
                 )
@@ -142,7 +157,7 @@ def _ask(hasher: Hasher, cells: int, probes: int):
             if not batch.num_rows:
                 continue
             x = _vectors(batch.column(1))
-            x = np.column_stack([x / np.linalg.norm(x, axis=1, keepdims=True), np.zeros(len(x))])
+            x = np.column_stack([_unit(x), np.zeros(len(x))])
             spots = hasher.project(x)
             slots = np.floor(spots)
             out = []
@@ -226,36 +241,82 @@ def _search(k: int):
     return run
 
 
-def _scan_all(queries: list[tuple], k: int):
-    """The best ``k`` of each query in a partition of (embedding, ids)."""
+def _compare(k: int):
+    """The best ``k`` of each query of a block among the vectors of a block."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, dict[int, float]] = {}
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            x, ids = _vectors(batch.column(0)), batch.column(1).to_pylist()
-            for query, q in queries:
-                got = best(query, np.array(q, np.float64), np.arange(len(x)), x, ids, k)
-                found = held.get(query, {})
-                for _, i, s in got:
-                    found[i] = max(s, found.get(i, -np.inf))
-                held[query] = {i: -s for s, i in _least(k, found)}
-        rows = [(query, i, s) for query, found in held.items() for i, s in found.items()]
-        columns = list(zip(*rows)) or [[], [], []]
+    def run(block: pa.Table) -> pa.Table:
+        block = block.combine_chunks()
+        asked = pa.compute.is_valid(block["query_id"])
+        index, queries = block.filter(pa.compute.invert(asked)), block.filter(asked)
+        out: list[tuple] = []
+        if len(index) and len(queries):
+            x, ids = _vectors(index["embedding"].combine_chunks()), index["ids"].to_pylist()
+            points = _vectors(queries["embedding"].combine_chunks())
+            for q, query in zip(points, queries["query_id"].to_pylist()):
+                out += best(query, q, np.arange(len(x)), x, ids, k)
+        columns = list(zip(*out)) or [[], [], []]
         kinds = (pa.int64(), pa.int64(), pa.float64())
-        yield pa.record_batch([pa.array(c, kind) for c, kind in zip(columns, kinds)], ["query_id", "vec_id", "score"])
+        return pa.table([pa.array(c, kind) for c, kind in zip(columns, kinds)], ["query_id", "vec_id", "score"])
 
     return run
 
 
+def _against_all(queries: DataFrame, distinct: DataFrame, asked: int, count: int, k: int) -> DataFrame:
+    """query_id, vec_id, score: ``queries`` (vec_id, embedding) against all vectors, a block
+    of one against a block of the other in a task."""
+    left, right = -(-asked // BLOCK), -(-count // CELL)
+    number = lambda column, n: F.pmod(F.xxhash64(column), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    index = distinct.select(
+        every(left).alias("q"), number("embedding", right).alias("v"), F.lit(None).cast("long").alias("query_id"), "ids", "embedding"
+    )
+    query = queries.select(
+        number("vec_id", left).alias("q"), every(right).alias("v"), F.col("vec_id").alias("query_id"),
+        F.lit(None).cast("array<long>").alias("ids"), "embedding",
+    )
+    return index.unionByName(query).groupBy("q", "v").applyInArrow(_compare(k), _FOUND)
+
+
+def choose_probes(x: np.ndarray, hasher: Hasher, k: int, wanted: float) -> tuple[int, float]:
+    """The least number of probes, of ``PROBES``, that find ``wanted`` of the best ``k`` among
+    sampled vectors ``x``, and the share of them that is then visited."""
+    x = x / np.abs(x).max()
+    x = x[np.abs(x).max(axis=1) > 1e-100]
+    if len(x) < 2:
+        return PROBES[0], 1.0
+    scaled = x / np.linalg.norm(x, axis=1).max()
+    rest = np.sqrt(np.maximum(0.0, 1.0 - (scaled * scaled).sum(axis=1)))
+    slots = np.floor(hasher.project(np.column_stack([scaled, rest])))
+    buckets = np.stack([hasher.bucket(t, each) for t, each in enumerate(slots)])
+    asked = np.linspace(0, len(x) - 1, min(len(x), 100)).astype(int)
+    spots = hasher.project(np.column_stack([_unit(x[asked]), np.zeros(len(asked))]))
+    hits, seen = np.zeros(len(PROBES)), np.zeros(len(PROBES))
+    for i, q in enumerate(asked):
+        score = x @ x[q]
+        score[q] = -np.inf
+        top = np.argsort(-score, kind="stable")[: min(k, len(x) - 1)]
+        first = np.full(len(x), PROBES[-1] + 1)  # the probe at which a vector is met
+        for t in range(len(spots)):
+            own = np.floor(spots[t, i])
+            asks = hasher.bucket(t, own + shifts(spots[t, i] - own, PROBES[-1]))
+            order = np.argsort(asks, kind="stable")
+            at = np.minimum(np.searchsorted(asks[order], buckets[t]), len(asks) - 1)
+            met = np.where(asks[order][at] == buckets[t], order[at] + 1, PROBES[-1] + 1)
+            np.minimum(first, met, out=first)
+        for n, probes in enumerate(PROBES):
+            hits[n] += (first[top] <= probes).mean() if len(top) else 1.0
+            seen[n] += (first <= probes).mean()
+    hits, seen = hits / len(asked), seen / len(asked)
+    n = next((n for n, h in enumerate(hits) if h >= wanted), len(PROBES) - 1)
+    return PROBES[n], float(seen[n])
+
+
 def usable(vectors: DataFrame, vec_id: str, embedding: str) -> DataFrame:
-    """vec_id, embedding (array<float>) of the rows that take part."""
+    """vec_id, embedding (array<double>) of the rows that take part."""
     e = F.col("embedding")
     sound = F.forall(e, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))) & F.exists(e, lambda c: c != 0)
-    rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<float>").alias("embedding"))
-    rows = rows.where(F.col("vec_id").isNotNull() & e.isNotNull() & sound)
-    return rows
+    rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<double>").alias("embedding"))
+    return rows.where(F.col("vec_id").isNotNull() & e.isNotNull() & sound)
 
 
 def top_k(found: DataFrame, k: int) -> DataFrame:
@@ -273,22 +334,36 @@ def nearest(
     tables: int = 8,
     width: int = 6,
     slot: float = 2.0,
-    probes: int = 48,
+    probes: int | None = None,
+    wanted: float = 0.95,
     seed: int = 7,
     vec_id: str = "vec_id",
     embedding: str = "embedding",
 ) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` nearest found of each row where ``is_query``.
 
-    ``is_query`` is a condition on ``vec_id`` and ``embedding``.
+    ``is_query`` is a condition on ``vec_id`` and ``embedding``. Without ``probes``, the least
+    number is taken that finds ``wanted`` of the best on a sample of at most ``SAMPLE``
+    vectors, those with the least hash.
     """
     rows = usable(vectors, vec_id, embedding)
-    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, c: s + c.cast("double") * c.cast("double")))
-    facts = rows.agg(F.mode(F.size("embedding")), F.max(norm)).first()
-    if facts[0] is None:
-        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    dimension, largest = facts
-    rows = rows.where(F.size("embedding") == dimension)
+    lengths = sorted(r[0] for r in rows.select(F.size("embedding")).distinct().collect())
+    options = (is_query, k, tables, width, slot, probes, wanted, seed)
+    found = [_nearest(rows.where(F.size("embedding") == n), n, *options) for n in lengths]
+    if len(found) == 1:
+        return found[0]
+    empty = vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    return top_k(reduce(DataFrame.unionByName, found, empty).drop("rank"), k)
+
+
+def _nearest(
+    rows: DataFrame, dimension: int, is_query: Column, k: int, tables: int, width: int, slot: float,
+    probes: int | None, wanted: float, seed: int,
+) -> DataFrame:
+    """The same for vectors of one length."""
+    peak = F.array_max(F.transform("embedding", F.abs))
+    norm = peak * F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, c: s + (c / peak) * (c / peak)))
+    largest = min(rows.agg(F.max(norm)).first()[0], np.finfo(np.float64).max)
     copies = Window.partitionBy("embedding").orderBy("vec_id")
     distinct = (
         rows.dropDuplicates(["vec_id", "embedding"])
@@ -301,18 +376,24 @@ def nearest(
     count = distinct.count()
     cells = max(16, -(-count * tables // CELL))
     hasher = Hasher(dimension, tables, width, slot, seed)
-    index = distinct.mapInArrow(_enter(hasher, cells, largest), _MEMBER)
+    if probes is None:
+        sample = distinct.select("embedding").orderBy(F.xxhash64("embedding"), "embedding").limit(SAMPLE).collect()
+        sample = np.array([r[0] for r in sample])
+        probes = choose_probes(sample, hasher, k, wanted)[0]
     queries = rows.where(is_query)
+    index = distinct.mapInArrow(_enter(hasher, cells, largest), _MEMBER)
     asked = queries.mapInArrow(_ask(hasher, cells, probes), _MEMBER)
-    held = distinct.mapInArrow(_enter(hasher, cells, largest), _MEMBER).groupBy("cell").count()
-    crowded = held.select(F.col("cell").alias("_cell"), F.ceil(F.col("count") / (2 * CELL)).cast("int").alias("parts")).where("parts > 1")
-    split = lambda side: side.join(crowded, side["cell"] == crowded["_cell"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    index = split(index).withColumn("part", F.pmod(F.xxhash64("embedding"), F.col("parts")).cast("int"))
-    asked = split(asked).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    members = index.select("part", "cell", "query_id", "buckets", "ids", "embedding").unionByName(
-        asked.select("part", "cell", "query_id", "buckets", "ids", "embedding")
-    )
-    found = members.groupBy("cell", "part").applyInArrow(_search(k), _FOUND)
+    # Cells with many vectors, or with many queries, are split; each part meets each other.
+    size = lambda df, most, name: df.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias(name))
+    split = size(index, 2 * CELL, "parts").join(size(asked, 10 * BLOCK, "turns"), "cell")
+    split = F.broadcast(materialize(split))  # a row for each cell, of which there is one for CELL entries
+    number = lambda column, n: F.pmod(F.xxhash64(column), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    columns = ["cell", "part", "turn", "query_id", "buckets", "ids", "embedding"]
+    index = index.join(split, "cell").withColumn("part", number("embedding", "parts")).withColumn("turn", every("turns"))
+    asked = asked.join(split, "cell").withColumn("part", every("parts")).withColumn("turn", number("query_id", "turns"))
+    members = index.select(*columns).unionByName(asked.select(*columns))
+    found = members.groupBy("cell", "part", "turn").applyInArrow(_search(k), _FOUND)
     found = materialize(top_k(found, k))
     ids = distinct.select(F.explode("ids").alias("vec_id")).distinct().limit(k + 1).count()
     least = min(k, max(0, ids - 1))
@@ -322,11 +403,6 @@ def nearest(
     missing = short.count()
     if not missing:
         return found
-    blocks = short.withColumn("_block", F.pmod(F.xxhash64("vec_id"), F.lit(-(-missing // BLOCK))))
-    rest = None
-    for b in range(-(-missing // BLOCK)):
-        part = [(r[0], r[1]) for r in blocks.where(F.col("_block") == b).select("vec_id", "embedding").collect()]
-        got = materialize(top_k(distinct.mapInArrow(_scan_all(part, k), _FOUND), k)) if part else None
-        rest = got if rest is None else rest if got is None else rest.unionByName(got)
+    rest = top_k(_against_all(short, distinct, missing, count, k), k)
     kept = found.join(short.select("vec_id").distinct(), found["query_id"] == short["vec_id"], "left_anti")
     return kept.unionByName(rest)
