@@ -35,6 +35,7 @@ empty result; other columns are not read.
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator
 from functools import reduce
 
@@ -361,9 +362,9 @@ def _nearest(
     probes: int | None, wanted: float, seed: int,
 ) -> DataFrame:
     """The same for vectors of one length."""
-    peak = F.array_max(F.transform("embedding", F.abs))
-    norm = peak * F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, c: s + (c / peak) * (c / peak)))
-    largest = min(rows.agg(F.max(norm)).first()[0], np.finfo(np.float64).max)
+    peak = rows.agg(F.max(F.greatest(F.array_max("embedding"), -F.array_min("embedding")))).first()[0]
+    squares = F.aggregate("embedding", F.lit(0.0), lambda s, c: s + (c / peak) * (c / peak))
+    largest = min(peak * math.sqrt(rows.agg(F.max(squares)).first()[0]), np.finfo(np.float64).max)
     copies = Window.partitionBy("embedding").orderBy("vec_id")
     distinct = (
         rows.dropDuplicates(["vec_id", "embedding"])
