@@ -223,6 +223,33 @@ def test_resampling_by_brute_force(documents, spark):
     assert resampling.resample(documents(rows), labels.limit(0)).where("kept").count() == 51
 
 
+def test_resampling_keys_and_edges(documents, spark):
+    """Chosen rows are those of the largest Gumbel keys, computed here from a hash of ids."""
+    from pyspark.sql import functions as F
+
+    rows = [(i, prose(i, 5 + i % 40)) for i in range(300)] + [(400, ""), (401, prose(9, 60_000)), (402, "x" * 200_000)]
+    rows += [(7, "other text of a repeated id"), (7, prose(7, 12)), (7, prose(7, 12))]
+    labels = spark.createDataFrame([(i, i % 3 and 1) for i in range(0, 300, 2)], "doc_id long, quality int")
+    docs = documents(rows, CLASHES)
+    for length in (100, None):
+        got = resampling.resample(docs, labels, share=0.3, seed=5, length=length).collect()
+        assert len(got) == len(rows)
+        ids = spark.createDataFrame([(r.doc_id,) for r in got], "doc_id long").distinct()
+        unit = {r.doc_id: ((r.h % 2**52) + 0.5) / 2.0**52 for r in ids.select("doc_id", F.xxhash64(F.lit(5), "doc_id").alias("h")).collect()}
+        gumbel = {i: -np.log(-np.log(u)) for i, u in unit.items()}
+        worded = [r for r in got if r.log_weight is not None]
+        order = sorted(worded, key=lambda r: -(r.log_weight + gumbel[r.doc_id]))
+        k = round(0.3 * len(worded))
+        assert sum(r.kept for r in got) == k and not any(r.kept for r in got if r.n_grams == 0)
+        least = min(r.log_weight + gumbel[r.doc_id] for r in got if r.kept)
+        assert abs(least - (order[k - 1].log_weight + gumbel[order[k - 1].doc_id])) < 1e-9
+    plain = {(r.doc_id, r.n_grams): r.log_weight for r in got}
+    scaled = resampling.resample(docs, labels, share=0.3, seed=5).collect()
+    for r in scaled:
+        if r.n_grams:
+            assert abs(r.log_weight * r.n_grams / 100 - plain[r.doc_id, r.n_grams]) < 1e-6 * max(1, abs(plain[r.doc_id, r.n_grams]))
+
+
 # Nearest neighbours
 
 

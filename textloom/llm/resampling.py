@@ -2,8 +2,9 @@
 
 Two generative models over hashed word unigrams and bigrams are counted: the target's from
 documents labelled good, the raw corpus' from all documents. A document's weight is the
-ratio of its likelihoods under the two, taken per n-gram so that documents of any length
-compare, for a standard document of ``LENGTH`` n-grams. Adding Gumbel noise to the log
+ratio of its likelihoods under the two. With ``length`` it is that of a document of so many
+n-grams with the same mean log ratio, so that documents of any length compare; without, it
+is the plain ratio of the whole document, whose logarithm grows with its length. Adding Gumbel noise to the log
 weights and taking the ``k`` largest samples documents without replacement in proportion
 to their weights.
 
@@ -32,6 +33,7 @@ from textloom.functions.ordering import chunked_row_number, quantile_chunks
 from textloom.functions.runtime import materialize
 from textloom.llm.pieces import Bounded
 
+#: Hash buckets, standard length of a document, and hashes of words that a worker keeps.
 BUCKETS, LENGTH, KEPT = 65_536, 100, 200_000
 
 _word_hash = Bounded(lambda w: xxhash.xxh3_64_intdigest(w), KEPT)
@@ -49,12 +51,11 @@ def features(text: str | None) -> np.ndarray:
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts of a partition: bucket, raw, target. Input: text, good."""
     totals = np.zeros((2, BUCKETS), np.int64)
-    for batch in batches:
-        for text, good in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            found = np.bincount(features(text), minlength=BUCKETS)
-            totals[0] += found
-            if good:
-                totals[1] += found
+    for batch in (b.slice(i, 500) for b in batches for i in range(0, b.num_rows, 500)):
+        found = [features(text) for text in batch.column(0).to_pylist()]
+        for k, rows in enumerate((found, [f for f, good in zip(found, batch.column(1).to_pylist()) if good])):
+            if rows:
+                totals[k] += np.bincount(np.concatenate(rows), minlength=BUCKETS)
     seen = np.nonzero(totals[0])[0]
     yield pa.record_batch(
         [pa.array(seen.astype(np.int32)), pa.array(totals[0, seen]), pa.array(totals[1, seen])],
@@ -76,8 +77,9 @@ def log_ratios(docs: DataFrame, good: DataFrame) -> np.ndarray:
     return np.log(model[1] / model[1].sum()) - np.log(model[0] / model[0].sum())
 
 
-def weigh(docs: DataFrame, ratios: np.ndarray) -> DataFrame:
-    """doc_id, n_grams, log_weight (null without words) of every row."""
+def weigh(docs: DataFrame, ratios: np.ndarray, length: int | None = LENGTH) -> DataFrame:
+    """doc_id, n_grams, log_weight (null without words) of every row; ``length`` as in
+    ``resample``."""
     shared = docs.sparkSession.sparkContext.broadcast(ratios)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -88,7 +90,7 @@ def weigh(docs: DataFrame, ratios: np.ndarray) -> DataFrame:
                 [
                     batch.column(0),
                     pa.array([len(f) for f in found], pa.int64()),
-                    pa.array([float(w[f].mean()) * LENGTH if len(f) else None for f in found], pa.float64()),
+                    pa.array([float(w[f].sum()) * (length / len(f) if length else 1.0) if len(f) else None for f in found], pa.float64()),
                 ],
                 ["doc_id", "n_grams", "log_weight"],
             )
@@ -97,12 +99,18 @@ def weigh(docs: DataFrame, ratios: np.ndarray) -> DataFrame:
 
 
 def resample(
-    docs: DataFrame, labels: DataFrame, share: float | None = None, max_labelled: int = 20_000, seed: int = 11
+    docs: DataFrame,
+    labels: DataFrame,
+    share: float | None = None,
+    max_labelled: int = 20_000,
+    seed: int = 11,
+    length: int | None = LENGTH,
 ) -> DataFrame:
     """doc_id, n_grams, log_weight, rank (from 0), kept of every row of ``docs``.
 
     ``labels`` has doc_id and quality (1: good). ``share`` of the rows with words are kept;
-    by default the share of good ones among the labelled documents.
+    by default the share of good ones among the labelled documents. ``length`` is the number
+    of n-grams to which log weights are scaled; None takes the plain ratio of likelihoods.
     """
     docs = docs.select("doc_id", "text")
     known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"))
@@ -111,7 +119,7 @@ def resample(
         share = 1.0 if share is None else share
     good = known.where("quality = 1").select(F.col("doc_id").alias("_good"))
     good = good.orderBy(F.xxhash64("_good"), "_good").limit(max_labelled)
-    weighed = weigh(docs, log_ratios(docs, good))
+    weighed = weigh(docs, log_ratios(docs, good), length)
     unit = (F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(2**52)) + 0.5) / float(2**52)
     key = F.log(-F.log(unit)) - F.col("log_weight")
     weighed = materialize(weighed.withColumn("_key", key))
