@@ -29,7 +29,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from textloom.functions.runtime import materialize
+from textloom.functions.runtime import small_enough
 from textloom.llm.distinct_words import encode_words, unpack_run
 from textloom.llm.pieces import read_vocabulary
 
@@ -189,28 +189,25 @@ def _rows(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(SCHEMA).orc(path).withColumn("file", F.col("_metadata.file_name"))
 
 
-def _from_start(spark: SparkSession, path: str, rows: DataFrame) -> DataFrame:
-    """doc_id, start and the other columns of ``rows`` (doc_id, file, place, ...).
+def _starts(spark: SparkSession, path: str, rows: DataFrame, size: str) -> DataFrame:
+    """``rows`` (file, place and a ``size``, narrow) with ``start``, the sizes of all before.
 
     Places ascend over files as well as in them, so files follow each other by their least
     place. What each file holds is one row a file; they are sent to all tasks if they are few.
     """
-    sizes = _rows(spark, path).select("file", "place", F.col("n_ids").cast("long").alias("n"))
-    order = Window.orderBy("least")
-    base = sizes.groupBy("file").agg(F.min("place").alias("least"), F.sum("n").alias("held"))
-    base = materialize(base.select("file", (F.sum("held").over(order) - F.col("held")).alias("base")))
-    if base.count() <= FEW_FILES:
-        base = F.broadcast(base)
+    base = _rows(spark, path).groupBy("file").agg(F.min("place").alias("least"), F.sum(F.col("n_ids").cast("long")).alias("held"))
+    base = base.select("file", (F.sum("held").over(Window.orderBy("least")) - F.col("held")).alias("base"))
     inside = Window.partitionBy("file").orderBy("place")
-    starts = sizes.withColumn("in_file", F.sum("n").over(inside) - F.col("n")).join(base, "file")
-    starts = starts.select("place", (F.col("base") + F.col("in_file")).alias("start"))
-    others = [c for c in rows.columns if c not in ("file", "doc_id", "place")]
-    return rows.join(starts, "place").select("doc_id", "start", *others)
+    start = F.col("base") + F.sum(size).over(inside) - F.col(size)
+    return rows.join(small_enough(base, FEW_FILES), "file").withColumn("start", start)
 
 
 def read_token_ids(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, ids: all documents, ``start`` being the ids of all documents before."""
-    return _from_start(spark, path, _rows(spark, path).drop("n_ids"))
+    rows = _rows(spark, path)
+    narrow = rows.select("file", "place", F.col("n_ids").cast("long").alias("n"))
+    starts = _starts(spark, path, narrow, "n").select("place", "start")
+    return rows.join(starts, "place").select("doc_id", "start", "ids")
 
 
 def find_documents(spark: SparkSession, path: str, doc_ids: list[int]) -> DataFrame:
@@ -237,4 +234,4 @@ def checksums(spark: SparkSession, path: str) -> DataFrame:
     summed = _rows(spark, path).select("doc_id", "file", "place", "ids").mapInArrow(
         run, "doc_id long, file string, place long, n_tokens long, ids_crc32 long"
     )
-    return _from_start(spark, path, summed)
+    return _starts(spark, path, summed, "n_tokens").select("doc_id", "start", "n_tokens", "ids_crc32")
