@@ -405,9 +405,14 @@ def _runs(docs: pa.Array, ids: np.ndarray, bounds: np.ndarray, ranges: np.ndarra
     names, starts = np.unique(part[order], return_index=True)
     rows = []
     for name, at in zip(names.tolist(), np.split(order, starts[1:])):
-        flat, ends = take_runs(ids, bounds, at)
+        first, last = int(at[0]), int(at[-1]) + 1
+        if last - first == len(at):  # documents that lie next to each other need no gathering
+            flat, counts = ids[bounds[first] : bounds[last]], np.diff(bounds[first : last + 1])
+        else:
+            flat, ends = take_runs(ids, bounds, at)
+            counts = np.diff(ends)
         packed = zstandard.compress(_planes(flat, _packed_type(largest)), 3)
-        rows.append((name, docs.take(pa.array(at)).to_pylist(), np.diff(ends), packed))
+        rows.append((name, docs.take(pa.array(at)).to_pylist(), counts, packed))
     columns = list(zip(*rows)) or [[]] * 4
     return pa.table([pa.array(c, kind) for c, kind in zip(columns, _RUN.types)], _RUN)
 
@@ -424,6 +429,16 @@ def unpack_run(doc_ids: pa.Array, counts: np.ndarray, packed: bytes, largest: in
         yield pa.record_batch([doc_ids.slice(a, b - a), lists], ["doc_id", "ids"])
 
 
+def _with_ends(ids: np.ndarray, sizes: np.ndarray, end: int) -> np.ndarray:
+    """``ids`` with ``end`` after each run of ``sizes``."""
+    out = np.empty(len(ids) + len(sizes), ids.dtype)
+    own = np.ones(len(out), bool)
+    own[np.cumsum(sizes + 1) - 1] = False
+    out[own] = ids
+    out[~own] = end
+    return out
+
+
 def _reassemble(end: int | None, ranges: np.ndarray | None, largest: int, finish: Callable | None = None):
     """Ids of a chunk's documents from its words' ids and its blocks; ``end`` follows each."""
 
@@ -451,7 +466,7 @@ def _reassemble(end: int | None, ranges: np.ndarray | None, largest: int, finish
                 got, at = take_runs(flat, ends, place[numbers])
                 size = np.diff(at[np.concatenate([[0], np.cumsum(count, dtype=np.int64)])])
                 if end is not None:
-                    got, size = np.insert(got, np.cumsum(size), end), size + 1
+                    got, size = _with_ends(got, size, end), size + 1
                 docs += doc_ids
                 ids.append(got)
                 counts.append(size)
