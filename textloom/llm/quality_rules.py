@@ -34,7 +34,7 @@ RULES = BASE | {
     "dup_lines": "10 * n_dup_lines > 3 * n_lines",
     "long_words": "n_words > 0 AND word_chars > 12 * n_words",
 }
-#: Hosts up to which the accepted ones are sent to all tasks; beyond it they are joined.
+#: Hosts up to which their verdicts are sent to all tasks; beyond it they are joined.
 FEW_HOSTS = 100_000
 #: Bounds of the prior's weight, in documents.
 MIN_WEIGHT, MAX_WEIGHT = 1.0, 1e6
@@ -127,7 +127,7 @@ def host_verdicts(measured: DataFrame, max_rate: float) -> DataFrame:
 def quality_rules(docs: DataFrame, host: str = "source", max_rate: float = 0.5) -> DataFrame:
     """doc_id, host, measures, base_failed, host_ok, kept for every row of ``docs``."""
     measured = materialize(measures(docs, host))
-    verdict = host_verdicts(measured, max_rate).withColumnRenamed("host", "_host")
+    verdict = small_enough(host_verdicts(measured, max_rate).withColumnRenamed("host", "_host"), FEW_HOSTS)
     base = " OR ".join(f"({rule})" for rule in BASE.values())
     return (
         measured.join(verdict, measured["host"].eqNullSafe(verdict["_host"]))
