@@ -7,7 +7,7 @@ import zlib
 import numpy as np
 import pytest
 
-from textloom.llm import byte_bpe, distinct_words, token_counts, token_files
+from textloom.llm import byte_bpe, distinct_words, pieces, token_counts, token_files
 from textloom.llm.catalog_tokens import vocabulary
 
 CLASHES = "ids start word chunk place bucket _part n_tokens"
@@ -38,6 +38,27 @@ def test_counts(documents, rows):
     assert [r.n_tokens for r in got if r.doc_id == 4] == [1, 1]
 
 
+def test_memos_keep_no_long_keys():
+    made = []
+    memo = pieces.Bounded(lambda key: made.append(key) or len(key), 3)
+    long = "x" * (pieces.LONGEST + 1)
+    assert [memo[k] for k in ["a", "a", long, long, "bb", "c", "d"]] == [1, 1, len(long), len(long), 2, 1, 1]
+    assert made == ["a", long, long, "bb", "c", "d"]
+    assert dict(memo) == {"d": 1}
+
+
+def test_counts_of_long_unbroken_strings(documents):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(vocabulary("byte_bpe_50k.json"))
+    rows = [(i, f"a {chr(97 + i) * 500}{i} {'é' * 90} 日本{'語' * 200} end") for i in range(6)]
+    got = token_counts.count_tokens(documents(rows), vocabulary("byte_bpe_50k.json")).collect()
+    own = dict(rows)
+    assert len(got) == len(rows)
+    for r in got:
+        assert r.n_tokens == len(library.encode(own[r.doc_id], add_special_tokens=False).ids)
+
+
 def test_encoding_and_decoding(documents, rows):
     import tiktoken
 

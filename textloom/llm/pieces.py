@@ -31,16 +31,26 @@ def cut(text: str) -> tuple[list[str], list[str]]:
     return _CUTS.split(text), []
 
 
+#: Characters or bytes of the longest key that a memo keeps.
+LONGEST = 64
+
+
 class Bounded(dict):
-    """A memo of ``make(key)`` that starts anew when it holds ``most`` keys."""
+    """A memo of ``make(key)`` that starts anew when it holds ``most`` keys.
+
+    Keys longer than ``LONGEST`` are made anew each time, so what a memo holds is bounded in
+    bytes too, whatever unbroken strings the texts have.
+    """
 
     def __init__(self, make: Callable, most: int):
         self.make, self.most = make, most
 
     def __missing__(self, key):
-        if len(self) >= self.most:
-            self.clear()
-        value = self[key] = self.make(key)
+        value = self.make(key)
+        if len(key) <= LONGEST:
+            if len(self) >= self.most:
+                self.clear()
+            self[key] = value
         return value
 
 
