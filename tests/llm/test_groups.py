@@ -7,7 +7,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from textloom.llm import ann, line_dedup, near_dup, resampling
+from textloom.functions.runtime import materialize
+from textloom.llm import ann, components, line_dedup, near_dup, resampling
 from textloom.llm.components import connected_components
 from tests.llm.conftest import prose
 
@@ -133,6 +134,19 @@ def test_components(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long")).collect() == []
 
 
+def test_components_of_few_edges_take_no_rounds(spark, monkeypatch):
+    """Few edges are contracted in one task; several partitions go through rounds to the same end."""
+    edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(i, 500 + i % 7) for i in range(100, 180)], "a long, b long")
+    want = {(i, 0) for i in range(61)} | {(i, 100 + (i - 100) % 7) for i in range(100, 180)} | {(500 + i % 7, 100 + (i - 100) % 7) for i in range(100, 107)}
+    made = []
+    monkeypatch.setattr(components, "materialize", lambda df: made.append(1) or materialize(df))
+    assert {tuple(r) for r in connected_components(edges).collect()} == want
+    assert len(made) == 2
+    monkeypatch.setattr(components, "EDGES", 30)
+    assert {tuple(r) for r in connected_components(edges).collect()} == want
+    assert len(made) > 5
+
+
 # Line dedup
 
 
@@ -330,8 +344,7 @@ def test_winnowing_stores_selected_lines_only():
 
 def test_matches_are_extended_both_ways():
     """What the first place explains comes as one run, the rest as windows with a hash."""
-    import pyarrow as pa
-
+    
     rng = random.Random(9)
     lines = [prose(rng.random(), 20, 5_000) for _ in range(9)]
     first, later = "\n".join(["x", *lines[:6]]), "\n".join([*lines, "y"])

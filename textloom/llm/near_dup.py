@@ -32,8 +32,8 @@ A key stands for four or five symbols, 64 bits or more, and is hashed to 64, so
 are not alike meet in a bucket about once in 2**64 pairs of entries, and crowds do not grow
 together at random.
 
-Everything is distributed: components come from joins and grouped minima, not from a
-driver-side union-find.
+Everything is distributed: components come from contracted partitions of a bounded number
+of links, then from joins and grouped minima, not from a driver-side union-find.
 
 Defined results: A-Z count as a-z; a null, empty or blank text has an empty set, is linked
 with nothing and is its own component; a text with fewer words than a shingle has its whole
