@@ -4,6 +4,7 @@ import random
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -201,6 +202,24 @@ def test_line_edges(documents, odd):
     assert sorted(r.doc_id for r in line_dedup.drop_repeated_lines(twice).collect()) == [1, 1, 1]
 
 
+def test_lines_are_cut_once(documents, monkeypatch):
+    """One evaluation a row, of a few rows at once, whatever filter stands above it."""
+    left = line_dedup.drop_repeated_lines(documents(line_corpus()), 50)
+    plan = left._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython [_cut_lines(") == 1
+    texts = pa.array([None, "", *(f"{prose(i, 20)}\n{prose(i + 1, 9)}" for i in range(20))], pa.string())
+    starts = pa.array([[i % 2] if i % 3 else None for i in range(len(texts))], pa.list_(pa.int32()))
+    stops = pa.array([[1] if i % 3 else None for i in range(len(texts))], pa.list_(pa.int32()))
+    starts, stops, texts = starts[3:], stops[3:], texts[3:]
+    whole = line_dedup._cut_lines(texts, starts, stops)
+    seen = []
+    rows = line_dedup._cut_rows
+    monkeypatch.setattr(line_dedup, "_cut_rows", lambda *c: seen.append(len(c[0])) or rows(*c))
+    monkeypatch.setattr(line_dedup, "ROWS", 4)
+    assert line_dedup._cut_lines(texts, starts, stops).equals(whole) and max(seen) == 4 and sum(seen) == len(texts)
+    assert len(line_dedup._cut_lines(texts[:0], starts[:0], stops[:0])) == 0
+
+
 # Resampling
 
 
@@ -344,7 +363,8 @@ def test_winnowing_stores_selected_lines_only():
 
 def test_matches_are_extended_both_ways():
     """What the first place explains comes as one run, the rest as windows with a hash."""
-    
+    import pyarrow as pa
+
     rng = random.Random(9)
     lines = [prose(rng.random(), 20, 5_000) for _ in range(9)]
     first, later = "\n".join(["x", *lines[:6]]), "\n".join([*lines, "y"])

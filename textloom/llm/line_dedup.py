@@ -31,7 +31,7 @@ untouched; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -202,13 +202,30 @@ def _later_runs(prints: DataFrame, place: Column) -> DataFrame:
     return explained.select(*runs).unionByName(again.select(*runs))
 
 
+#: Rows that a Python worker turns into objects at once.
+ROWS = 500
+_CUT = pa.struct([("text", pa.string()), ("lines", pa.int64()), ("removed", pa.int64()), ("removed_words", pa.int64())])
+
+
+def _slices(kind: pa.DataType, make: Callable[..., list], *columns: pa.Array) -> pa.Array:
+    """``make`` of the columns, ``ROWS`` rows at a time, so that few texts are Python objects at once."""
+    with tidy():
+        cuts = range(0, len(columns[0]), ROWS)
+        made = [pa.array(make(*[c.slice(i, ROWS).to_pylist() for c in columns]), kind) for i in cuts]
+        return pa.concat_arrays(made) if made else pa.array([], kind)
+
+
 def _hash_text(text: pa.Array) -> pa.Array:
-    return pa.array([text_hash(x or "") for x in text.to_pylist()], pa.int64())
+    return _slices(pa.int64(), lambda texts: [text_hash(x or "") for x in texts], text)
 
 
 def _cut_lines(text: pa.Array, starts: pa.Array, stops: pa.Array) -> pa.Array:
+    return _slices(_CUT, _cut_rows, text, starts, stops)
+
+
+def _cut_rows(texts: list, starts: list, stops: list) -> list[dict]:
     out = []
-    for x, a, b in zip(text.to_pylist(), starts.to_pylist(), stops.to_pylist()):
+    for x, a, b in zip(texts, starts, stops):
         lines = (x or "").split("\n")
         steps = np.zeros(len(lines) + 1, np.int64)
         np.add.at(steps, a or [], 1)
@@ -218,28 +235,38 @@ def _cut_lines(text: pa.Array, starts: pa.Array, stops: pa.Array) -> pa.Array:
         gone = [n for n, cut in zip(words, inside) if cut and n]
         kept = "\n".join(line for line, cut in zip(lines, inside) if not cut) if inside.any() else x
         out.append({"text": kept, "lines": sum(n > 0 for n in words), "removed": len(gone), "removed_words": sum(gone)})
-    kind = pa.struct([("text", pa.string()), ("lines", pa.int64()), ("removed", pa.int64()), ("removed_words", pa.int64())])
-    return pa.array(out, kind)
-
+    return out
 
-def dedup_lines(docs: DataFrame, min_words: int = 50) -> DataFrame:
-    """``docs`` with one more column, ``_cut``: the text without repeated runs, and what was
-    taken out.
 
-    It has text, lines (lines with words before), removed (of these) and removed_words.
-    """
+def _ranged(docs: DataFrame, min_words: int) -> tuple[DataFrame, str]:
+    """``docs`` with one more column, and its name: the line ranges to delete, null if none."""
     hash_text = F.arrow_udf(_hash_text, "long")
-    cut_lines = F.arrow_udf(_cut_lines, "struct<text: string, lines: long, removed: long, removed_words: long>")
     runs = repeated_runs(docs, min_words)
-    key, cut, ranges = (fresh(docs, name) for name in ("_key", "_cut", "_ranges"))
+    key, ranges = (fresh(docs, name) for name in ("_key", "_ranges"))
     per = runs.groupBy(F.col("doc_id").alias("_i"), F.col("text_hash").alias("_h")).agg(
         F.collect_set(F.struct("start", "stop")).alias(ranges)
     )
     keyed = docs.withColumn(key, hash_text(F.col("text")))
     same = keyed["doc_id"].eqNullSafe(per["_i"]) & (keyed[key] == per["_h"])
     joined = keyed.join(per, same, "left")
-    found = cut_lines(keyed["text"], joined[ranges]["start"], joined[ranges]["stop"])
-    return joined.select(*[keyed[c] for c in docs.columns], found.alias(cut))
+    return joined.select(*[keyed[c] for c in docs.columns], joined[ranges]), ranges
+
+
+def _cut(text: Column, ranges: str) -> Column:
+    # Spark evaluates a deterministic function once more below a filter on what it returns,
+    # in Python workers of its own.
+    cut_lines = F.arrow_udf(_cut_lines, "struct<text: string, lines: long, removed: long, removed_words: long>")
+    return cut_lines.asNondeterministic()(text, F.col(ranges)["start"], F.col(ranges)["stop"])
+
+
+def dedup_lines(docs: DataFrame, min_words: int = 50) -> DataFrame:
+    """``docs`` with one more column, ``_cut``: the text without repeated runs, and what was
+    taken out.
+
+    It has text, lines (lines with words before), removed (of these) and removed_words.
+    """
+    ranged, ranges = _ranged(docs, min_words)
+    return ranged.select(*docs.columns, _cut(F.col("text"), ranges).alias(fresh(docs, "_cut")))
 
 
 def has_words(text: Column) -> Column:
@@ -248,7 +275,10 @@ def has_words(text: Column) -> Column:
 
 def drop_repeated_lines(docs: DataFrame, min_words: int = 50) -> DataFrame:
     """``docs`` with their columns, less repeated runs; documents that lost all words go."""
-    deduped = dedup_lines(docs, min_words)
-    cut = F.col(deduped.columns[-1])
-    left = deduped.where(~((cut["removed"] > 0) & ~has_words(cut["text"])))
-    return left.select(*[cut["text"].alias("text") if c == "text" else F.col(c) for c in docs.columns])
+    ranged, ranges = _ranged(docs, min_words)
+    cut, found = fresh(ranged, "_cut"), F.col(ranges).isNotNull()
+    # Only texts with such runs go to Python; of the others a null goes there.
+    deduped = ranged.withColumn(cut, _cut(F.when(found, F.col("text")), ranges))
+    left = deduped.where(~(found & (F.col(cut)["removed"] > 0) & ~has_words(F.col(cut)["text"])))
+    text = F.when(found, F.col(cut)["text"]).otherwise(F.col("text")).alias("text")
+    return left.select(*[text if c == "text" else F.col(c) for c in docs.columns])
