@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 from textloom.functions.runtime import table
-from textloom.llm import divergence
+from textloom.llm import divergence, simhash
 
 
 def op11_source_divergence(spark, sf_dir):
     return divergence.divergence(table(spark, sf_dir, "documents"), least_docs=3, top=200)
 
 
-QUERIES = {"op11_source_divergence": op11_source_divergence}
+def op13_simhash(spark, sf_dir):
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), width=3, bits=3)
+
+
+QUERIES = {"op11_source_divergence": op11_source_divergence, "op13_simhash": op13_simhash}
 
 ORACLES = {
     "op11_source_divergence": r"""

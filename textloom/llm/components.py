@@ -1,6 +1,6 @@
 """Connected components by contraction and alternating large and small stars.
 
-First every partition of about ``EDGES`` edges is contracted by itself: its edges become one
+First edges are dealt to partitions of about ``EDGES`` and each is contracted by itself: its edges become one
 for each node, to the least node that it reaches inside the partition. One partition alone is
 done with that, so few edges cost one task, and not rounds of shuffles with files and tasks
 for each shuffle partition, however little these hold.
@@ -60,13 +60,18 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
 
 
+def _dealt(edges: DataFrame, parts: int) -> DataFrame:
+    """``edges`` in ``parts`` partitions of about the same size, however few they came in."""
+    return edges.coalesce(1) if parts == 1 else edges.repartition(parts, "u", "v")
+
+
 def connected_components(links: DataFrame) -> DataFrame:
     """node, component (its least node) for every node of the links (a, b)."""
     edges = materialize(links.select(F.col("a").alias("u"), F.col("b").alias("v")).where("a <> b").distinct())
     count = edges.count()
     # Edges do not grow in number, so few partitions suffice for few of them.
     parts = count // EDGES + 1
-    edges = materialize(edges.coalesce(parts).mapInArrow(_contract, "u long, v long"))
+    edges = materialize(_dealt(edges, parts).mapInArrow(_contract, "u long, v long"))
     before, now = None, (count,)
     while parts > 1 and now != before:
         edges = materialize(_small_star(_large_star(edges.coalesce(parts))).coalesce(parts))
