@@ -7,7 +7,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from textloom.llm import catalog_audit, components, divergence, simhash
+from textloom.llm import catalog_audit, components, conversations, divergence, simhash
 from tests.llm.conftest import prose
 
 # Source divergence
@@ -153,3 +153,114 @@ def test_partitions_of_links_are_bounded(spark, monkeypatch):
     assert len(sizes) == 9 and max(sizes) < 2 * components.EDGES
     got = components.connected_components(chain)
     assert got.count() == 4001 and got.where("component <> 0").isEmpty()
+
+
+# Conversations
+
+
+def brute_repair(rows):
+    """Result of one conversation's damaged rows in order, by a search over whole strings."""
+    import hashlib
+    import re
+
+    seen, kinds = set(), []
+    counts = {"blank": 0, "duplicate": 0, "truncated": 0}
+    for _, role, text in rows:
+        stripped = text.strip(" \t\n\x0b\x0c\r")
+        fault = None
+        if not stripped:
+            fault = "blank"
+        elif (role, text) in seen:
+            fault = "duplicate"
+        elif stripped[-1] not in ".!?":
+            fault = "truncated"
+        seen.add((role, text))
+        if fault:
+            counts[fault] += 1
+        kinds.append(fault)
+    # By initials read so far: the cheapest (cost, audit, roles and texts); shorter pasts are
+    # merged by the pattern's state only.
+    legal = re.compile("(s?(ua)*u?)?")
+
+    def state(initials):
+        return initials[-1:] if initials else ""
+
+    def push(layer, item):
+        cost, audit, initials, out = item
+        if legal.fullmatch(initials) and (state(initials) not in layer or item[:2] < layer[state(initials)][:2]):
+            layer[state(initials)] = item
+            return True
+        return False
+
+    def inserted(layer):
+        todo = list(layer.values())
+        while todo:
+            cost, audit, initials, out = todo.pop()
+            for role in ("user", "assistant"):
+                item = (cost + 5, audit + "I", initials + role[0], out + [(role, "")])
+                if push(layer, item):
+                    todo.append(item)
+        return layer
+
+    layer = {"": (0, "", "", [])}
+    for (_, role, text), fault in zip(rows, kinds):
+        new = {}
+        for cost, audit, initials, out in inserted(dict(layer)).values():
+            push(new, (cost + 2, audit + "D", initials, out))
+            if fault not in ("blank", "duplicate"):
+                more = 5 if fault else 0
+                if role:
+                    push(new, (cost + more, audit + "K", initials + role[0], out + [(role, text)]))
+                for other in ("user", "assistant"):
+                    push(new, (cost + more + 1, audit + "R", initials + other[0], out + [(other, text)]))
+        layer = new
+    ends = [x[:2] + (x[3],) for x in inserted(layer).values() if re.fullmatch("(s?(ua)+)?", x[2])]
+    cost, audit, out = min(ends)
+    initials = [role[:1] for _, role, _ in rows]
+    illegal = sum(a + b not in ("su", "ua", "au") for a, b in zip(initials, initials[1:]))
+    turns = [t for t, _, _ in rows if t is not None]
+    gaps = max(turns) - min(turns) + 1 - len(set(turns)) if turns else 0
+    text = "\n".join(f"{r}:{t}" for r, t in out)
+    return gaps, *counts.values(), illegal, cost, audit, hashlib.sha256(text.encode()).hexdigest()
+
+
+def brute_conversations(rows):
+    import re
+    import zlib
+
+    by_id = {}
+    for conv, turn, role, text in rows:
+        role, text = " " if role is None else role, " " if text is None else text
+        fault = zlib.crc32(f"{' ' if conv is None else conv}:{' ' if turn is None else turn}".encode()) % 20
+        text = "" if fault == 1 else re.sub("[.!?]", "", text) if fault == 2 else text
+        role = "user" if fault == 4 else role
+        by_id.setdefault(conv, []).extend([(turn, role, text)] * (0 if fault == 0 else 2 if fault == 3 else 1))
+    key = lambda r: (r[0] is not None, r[0] or 0, r[1].encode(), r[2].encode())
+    return sorted(map(repr, ((c, *brute_repair(sorted(rs, key=key))) for c, rs in by_id.items())))
+
+
+def test_conversations_whole_table(spark):
+    sf = "/root/testdata/sf0.01"
+    rows = [tuple(r) for r in spark.read.parquet(f"{sf}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
+    got = catalog_audit.QUERIES["op12_conversation_repair"](spark, sf).collect()
+    assert sorted(repr(tuple(r)) for r in got) == brute_conversations(rows)
+
+
+@pytest.mark.parametrize("size", [conversations.CHUNK, 3, 1])
+def test_conversations_edges(spark, monkeypatch, size):
+    monkeypatch.setattr(conversations, "CHUNK", size)
+    monkeypatch.setattr(conversations, "FEW_RUNS", size)
+    rng = random.Random(size)
+    roles = ["user", "assistant", "system", "user", "assistant", "tool", "", None, "unknown"]
+    texts = ["Yes.", "No!", "no end", "", None, " \t", "why? \n", "ä.", "Yes.\x85"]
+    rows = [
+        (rng.choice([*range(25), None]), rng.choice([*range(40), None, -3]), rng.choice(roles[: 3 + rng.randrange(7)]), f"{rng.choice(texts)}" if rng.random() < 0.3 else rng.choice(texts) or None)
+        for _ in range(700)
+    ]
+    rows += rows[:40] + [(100, i, "ua"[i % 2] + "ser", f"t{i}.") for i in range(60)] + [(101, i, "system", "s.") for i in range(20)]
+    rows += [(200 + i, t, "user", "a.") for i in range(8) for t in range(1)] + [(300, None, "user", None), (301, 5, "user", "x" * 50_000 + ".")]
+    schema = "conv_id long, turn long, role string, text string"
+    frame = spark.createDataFrame(rows, schema).selectExpr("*", *[f"'x' AS `{c}`" for c in "key run pos chunk codes fault tail cost same".split()])
+    got = conversations.damage_and_repair(frame).collect()
+    assert sorted(repr(tuple(r)) for r in got) == brute_conversations(rows)
+    assert conversations.damage_and_repair(frame.limit(0)).count() == 0

@@ -3,18 +3,22 @@
 from __future__ import annotations
 
 from textloom.functions.runtime import table
-from textloom.llm import divergence, simhash
+from textloom.llm import conversations, divergence, simhash
 
 
 def op11_source_divergence(spark, sf_dir):
     return divergence.divergence(table(spark, sf_dir, "documents"), least_docs=3, top=200)
 
 
+def op12_conversation_repair(spark, sf_dir):
+    return conversations.damage_and_repair(table(spark, sf_dir, "conversations"))
+
+
 def op13_simhash(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), width=3, bits=3)
 
 
-QUERIES = {"op11_source_divergence": op11_source_divergence, "op13_simhash": op13_simhash}
+QUERIES = {"op11_source_divergence": op11_source_divergence, "op12_conversation_repair": op12_conversation_repair, "op13_simhash": op13_simhash}
 
 ORACLES = {
     "op11_source_divergence": r"""
