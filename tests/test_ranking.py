@@ -3,7 +3,7 @@ import math
 import numpy as np
 
 from textloom.functions.tokens import AUTHOR, GENRE, STRICT, term_frequencies
-from textloom.operators import bm25, vectors, zones
+from textloom.operators import blockmax, bm25, vectors, zones
 
 DOCS = [(0, "red fish blue fish"), (1, "red dog"), (2, "blue bird sings of a red bird"), (3, "")]
 
@@ -25,6 +25,31 @@ def test_bm25(spark):
     assert len(bm25.Bm25Index.build(docs).query("red", 1).collect()) == 1
 
 
+def test_block_maxima(spark, tmp_path):
+    # One short document of each of a few blocks ranks far above the long ones; many tie.
+    texts = [(i, "red fish" if i % 200 == 7 else "red " + "plain words of some length " * 6) for i in range(1200)]
+    texts += [(2000 + i, "blue bird") for i in range(30)] + [(-5, "red"), (3000, None), (3001, "")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    index = blockmax.BlockMaxIndex.store(docs, str(tmp_path / "index"))
+    asked = spark.createDataFrame([(1, "Fish red fish"), (2, "blue"), (3, "absent"), (4, None), (5, ""), (6, "red")], "q long, t string")
+    terms = blockmax.parsed(asked, "q", "t")
+    found, read = index.search(terms, k=5)
+    got = {}
+    for r in found.orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.doc_id, r.score))
+    plain = bm25.Bm25Index.build(docs)
+    for q, text in (1, "fish red fish"), (2, "blue"), (6, "red"):
+        rows = [(r.doc_id, round(r.score, 6)) for r in plain.query(text).collect()]
+        assert got[q] == sorted(rows, key=lambda x: (-x[1], x[0]))[:5]
+    assert set(got) == {1, 2, 6}
+    # Blocks of postings scored, and in all, for the first query: only those with a short text.
+    opened = read.where("query_id = 1").count()
+    assert index.search(terms, 5, first=1)[0].where("query_id < 6").count() == 10
+    assert opened < index.blocks.where("word = 'red'").count() / 2
+    # The last of the five ties with later ones, whose blocks have to be opened too.
+    assert [d for d, _ in got[2]] == [2000, 2001, 2002, 2003, 2004]
+
+
 def test_zones(spark):
     docs = spark.createDataFrame([(0, "red red", "red", "x"), (1, "blue", "Red", "red")], "doc_id long, t string, a string, g string")
     z = zones.zone_postings(docs, [("t", STRICT), ("a", AUTHOR), ("g", GENRE)])

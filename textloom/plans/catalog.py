@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from textloom.functions import tokens as T
 from textloom.functions.runtime import materialize, scratch, table
 from textloom.functions.strings import common_prefix, occurrences, replace_between, rotate_left
-from textloom.operators import bm25, boolean, encodings, indexbuild, vectors, wildcard, zones
+from textloom.operators import blockmax, bm25, boolean, encodings, indexbuild, vectors, wildcard, zones
 from textloom.plans import sql
 from textloom.sources import fb2, store, text
 
@@ -660,6 +660,22 @@ def bm25_stored(spark, sf_dir):
     return index.query("The tion THAT").select("doc_id", F.round("score", 6).alias("score"))
 
 
+_MANY = """, asked AS (SELECT item_id AS query_id, unnest(string_split(lower(text), ' ')) AS word FROM benchmark),
+t AS (SELECT query_id, word, count(*) AS times FROM asked WHERE word <> '' GROUP BY ALL),
+s AS (SELECT query_id, doc_id, round(sum(times * idf::DOUBLE * (tf * 3.0::DOUBLE) / (tf + 2.0::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl))), 6) AS score
+  FROM t JOIN tf USING (word) JOIN idf USING (word) JOIN dl USING (doc_id), a GROUP BY ALL)
+SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INTEGER AS rank
+FROM s WHERE score > 0 QUALIFY rank <= 10"""
+
+
+@query("bm25_many_top10", _STRICT + _MANY)
+def bm25_many_top10(spark, sf_dir):
+    """The ten best documents of every text of ``benchmark``, by block maxima."""
+    index = blockmax.BlockMaxIndex.store(documents(spark, sf_dir), scratch(spark, "blockmax"))
+    asked = blockmax.parsed(table(spark, sf_dir, "benchmark"), "item_id", "text")
+    return index.search(asked, k=10)[0].select("query_id", "doc_id", "score", "rank")
+
+
 @query("bm25_case_sensitive", _STRICT + _SCORE.format("1", "'The', 'that'"))
 def bm25_case_sensitive(spark, sf_dir):
     found = bm25.Bm25Index.build(documents(spark, sf_dir)).query("The that", case_sensitive=True)

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 
-def save(df: DataFrame, path: str, sort_by: str | None = None, mode: str = "overwrite") -> None:
-    """Write an index frame, compressed; sorted in files by a column that lookups filter."""
-    out = df.repartitionByRange(sort_by).sortWithinPartitions(sort_by) if sort_by else df
+def save(df: DataFrame, path: str, sort_by: str | list[str] | None = None, mode: str = "overwrite") -> None:
+    """Write an index frame, compressed; sorted in files by columns that lookups filter."""
+    keys = [sort_by] if isinstance(sort_by, str) else sort_by
+    out = df.repartitionByRange(*keys).sortWithinPartitions(*keys) if keys else df
     out.write.mode(mode).option("compression", "zstd").parquet(path)
 
 
