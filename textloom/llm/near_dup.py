@@ -324,7 +324,7 @@ class _Confirmer:
         side = lambda x: self.classes.select(
             F.col("rep").alias(x), F.col("h1").alias(f"mark_{x}"), F.col("n_shingles").alias(f"n_{x}"), F.col("signature").alias(f"sign_{x}")
         )
-        fits = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * self.similarity
+        fits = F.least("n_a", "n_b").cast("long") * 100 >= F.greatest("n_a", "n_b").cast("long") * self.similarity
         near = (
             pairs.join(side("a"), "a")
             .join(side("b"), "b")
@@ -336,7 +336,8 @@ class _Confirmer:
         sets = self.sets(near.select(F.explode(F.array("a", "b")).alias("doc_id")))
         one = lambda x: sets.toDF(x, f"mark_{x}", f"set_{x}")
         both = near.join(one("a"), ["a", "mark_a"]).join(one("b"), ["b", "mark_b"])
-        shared = F.size(F.array_intersect("set_a", "set_b"))
+        # Sizes are ints: their hundredfold would overflow.
+        shared = F.size(F.array_intersect("set_a", "set_b")).cast("long")
         union = F.size("set_a") + F.size("set_b") - shared
         return both.where(shared * 100 >= union * self.similarity).select("a", "b").distinct()
 

@@ -154,6 +154,6 @@ def passes_base(text: Column) -> Column:
     """Whether a text passes the base rules."""
 
     def judge(w: Column) -> Column:
-        return (F.size(w) >= 50) & (100 * repeated_words(w) <= 50 * F.size(w))
+        return (F.size(w) >= 50) & (100 * repeated_words(w).cast("long") <= 50 * F.size(w).cast("long"))
 
     return F.get(F.transform(F.array(words(text)), judge), F.lit(0))
