@@ -15,7 +15,8 @@ of three digits, which holds up to 9 * 10**15 occurrences, and ANSI mode raises
 At scale: a task counts its terms by (language, source) and hands on sums, so that a frequent
 term is one row a task and source, and the shuffle carries one wide row a term and task. No
 row is larger than the number of sources; contributions are emitted for ``LEFT`` sources of
-the left side at a time. The wide rows meet their language's totals by a salted join, or a
+the left side and ``WIDE`` of the right at a time, a row for each source of the left side,
+and summed by column. The wide rows meet their language's totals by a salted join, or a
 broadcast if the groups are counted to be few. The best terms of a group are first taken in
 slices of it. What the operator returns for pairs is as many rows as there are ordered pairs.
 
@@ -41,7 +42,7 @@ from textloom.llm.pieces import tidy
 TERM_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 #: Terms that a task holds before it hands its counts on; bytes of a text split at a time.
 HELD, SLICE = 250_000, 1 << 20
-#: Sources a grouped sum spreads to columns, and of the left side in one array of contributions.
+#: Sources a grouped sum spreads to columns, and of the left side in one array of rows.
 WIDE, LEFT = 64, 32
 #: Parts of a language in the salted join, and groups up to which their totals are broadcast.
 SALTS, FEW_GROUPS = 64, 50_000
@@ -158,16 +159,24 @@ def _totals(vectors: DataFrame, named: DataFrame) -> DataFrame:
     )
 
 
-def _pairs(scored: DataFrame, totals: DataFrame) -> DataFrame:
+def _cuts(column: str, size: int) -> Column:
+    """An array in pieces of ``size``."""
+    starts = F.sequence(F.lit(0), F.call_function("div", F.size(column) - 1, F.lit(size)).cast("int"))
+    return F.transform(starts, lambda b: F.slice(column, b * size + 1, size))
+
+
+def _pairs(scored: DataFrame, totals: DataFrame, widest: int) -> DataFrame:
     """lang, source, item, value: every ordered pair of sources of a language."""
-    width = F.size("p")
-    blocks = F.sequence(F.lit(0), F.call_function("div", width - 1, F.lit(LEFT)).cast("int"))
-    left = scored.select("lang", "p", F.explode(blocks).alias("block"))
-    each = F.transform(F.slice("p", F.col("block") * LEFT + 1, LEFT), lambda x: F.transform("p", lambda y: distance(x, y)))
-    emitted = left.select("lang", "block", width.alias("width"), F.posexplode(F.flatten(each)).alias("at", "value"))
-    summed = emitted.groupBy("lang", "block", "width", "at").agg(F.sum("value").alias("value"))
-    i = F.col("block") * LEFT + F.call_function("div", F.col("at"), F.col("width"))
-    sums = summed.select("lang", i.cast("int").alias("i"), (F.col("at") % F.col("width")).alias("j"), "value")
+    # The outer forms: plain explode has its array computed once more, in a filter below.
+    left = scored.select("lang", "p", F.posexplode_outer(_cuts("p", LEFT)).alias("above", "left"))
+    both = left.select("lang", "above", "left", F.posexplode_outer(_cuts("p", WIDE)).alias("beside", "right"))
+    each = F.transform("left", lambda x: F.transform("right", lambda y: distance(x, y)))
+    emitted = both.select("lang", "above", "beside", F.posexplode_outer(each).alias("at", "values"))
+    sums = F.array(*[F.sum(F.get("values", F.lit(k))) for k in range(min(widest, WIDE))])
+    summed = emitted.groupBy("lang", "above", "beside", "at").agg(sums.alias("values"))
+    i, j = F.col("above") * LEFT + F.col("at"), F.col("beside") * WIDE + F.col("place")
+    summed = summed.select("lang", "above", "beside", "at", F.posexplode_outer("values").alias("place", "value"))
+    sums = summed.select("lang", i.alias("i"), j.alias("j"), "value")
     ends = totals.select("lang", "sources", F.posexplode("sources").alias("i", "source"))
     ends = ends.select("lang", "i", "source", F.posexplode("sources").alias("j", "item")).where("i <> j")
     joined = ends.join(sums, ["lang", "i", "j"], "left")
@@ -183,7 +192,7 @@ def _terms(scored: DataFrame, top: int) -> DataFrame:
     """lang, source, item, value, rank: a group's ``top`` terms above the language's share."""
     found = F.transform("counts", lambda n, i: F.struct(n.alias("n"), F.get("p", i).alias("p"), F.get("sources", i).alias("source")))
     above = F.filter(found, lambda x: (x["n"] > 0) & (x["p"] > F.col("q")))
-    rows = scored.select("lang", "q", F.col("term").alias("item"), F.explode(above).alias("x"))
+    rows = scored.select("lang", "q", F.col("term").alias("item"), F.explode_outer(above).alias("x")).where("x is not null")
     rows = rows.select("lang", F.col("x.source").alias("source"), "item", distance(F.col("x.p"), F.col("q")).alias("value"))
     # The best of each slice of a group hold the best of the group.
     sliced = Window.partitionBy("lang", "source", F.pmod(F.xxhash64("item"), F.lit(SALTS))).orderBy(F.desc("value"), "item")
@@ -220,5 +229,5 @@ def divergence(docs: DataFrame, least_docs: int = 3, top: int = 200) -> DataFram
         share(F.aggregate("counts", F.lit(0).cast("long"), lambda s, x: s + x), F.col("whole")).alias("q"),
     )
     columns = ["lang", "source", "part", "item", "value", "rank"]
-    pairs = _ranked(_pairs(scored, totals)).withColumn("part", F.lit("pair")).select(columns)
+    pairs = _ranked(_pairs(scored, totals, widest)).withColumn("part", F.lit("pair")).select(columns)
     return pairs.unionByName(_terms(scored, top).withColumn("part", F.lit("term")).select(columns))
