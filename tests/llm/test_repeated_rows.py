@@ -141,3 +141,26 @@ def test_fewer_probes_where_vectors_cluster():
     few, seen = ann.choose_probes(unit(clustered), hasher, 20, 0.95)
     many, all_seen = ann.choose_probes(unit(rng.standard_normal((3000, 32))), hasher, 20, 0.95)
     assert few < many and seen < min(0.3, all_seen)
+
+
+def test_probes_follow_real_neighbours(spark, monkeypatch):
+    """Crowded vectors: few probes find what is nearest of all; where none do, all are compared."""
+    rng = np.random.default_rng(3)
+    unit = lambda v: v / np.linalg.norm(v, axis=1, keepdims=True)
+    centres = unit(rng.standard_normal((300, 16)))
+    x = unit(centres[rng.integers(0, 300, 6000)] + 0.05 * rng.standard_normal((6000, 16)))
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], VECTORS)
+    asked = range(0, 6000, 20)
+    score = x[list(asked)] @ x.T
+    score[np.arange(len(score)), list(asked)] = -np.inf
+    want = {q: set(np.argsort(-s)[:20].tolist()) for q, s in zip(asked, score)}
+
+    def recall():
+        got = ann.nearest(rows, F.col("vec_id") % 20 == 0).collect()
+        assert len(got) == 20 * len(want)
+        return np.mean([r.vec_id in want[r.query_id] for r in got])
+
+    assert recall() >= 0.9
+    monkeypatch.setattr(ann, "PROBES", (1,))
+    monkeypatch.setattr(ann, "WIDTHS", (40,))
+    assert recall() == 1.0

@@ -6,8 +6,7 @@ the largest inner product is the least Euclidean distance, which p-stable hashin
 
 ``tables`` hash tables have ``width`` projections each, cut into slots; a bucket is a
 combination of slots. A query visits its own bucket and, in the order of their estimated
-success, ``probes - 1`` buckets with slots shifted by one (their number is chosen on a
-bounded sample for the wanted recall): the estimate of a shift is the
+success, ``probes - 1`` buckets with slots shifted by one: the estimate of a shift is the
 squared distance of the projection from the border crossed, and sets of shifts come from a
 heap in order of their sums. Candidates of all tables are merged and ranked by the exact
 inner product in double precision.
@@ -19,6 +18,11 @@ every part; those with very many queries are split by query as well: no cap is s
 smallest distinct ids; further ids can never be among the best ``k``. Wherever a best ``k``
 is cut off, distinct ids are counted, each with its best score.
 
+Projections and probes are chosen for the wanted recall: at most ``ASKED`` sampled queries are
+compared with all vectors in one scan, and the least number of probes is taken that meets
+``wanted`` of what is really nearest, so the choice follows the size and the crowding of the
+table. Where no number of probes does, all queries are compared with all vectors.
+
 A query that finds fewer than ``k`` in its buckets is compared with all vectors, a block of
 queries with a block of vectors in a task, so the result always has ``k`` rows or all there are.
 
@@ -49,8 +53,10 @@ from textloom.functions.runtime import materialize
 
 #: Vectors in a cell, about; queries in a block that is compared with all vectors.
 CELL, BLOCK = 50_000, 2_000
-#: Numbers of probes to choose from, and vectors of the sample that they are chosen on.
-PROBES, SAMPLE = (4, 8, 16, 24, 32, 48, 64, 96), 4_000
+#: Numbers of probes and of projections to choose from.
+PROBES, WIDTHS = (4, 8, 16, 24, 32, 48, 64, 96), (6, 8, 10)
+#: Queries whose real neighbours the choice is made for, and vectors that show the share visited.
+ASKED, SAMPLE = 100, 4_000
 _FOUND = "query_id long, vec_id long, score double"
 
 
@@ -278,38 +284,90 @@ def _against_all(queries: DataFrame, distinct: DataFrame, asked: int, count: int
     return index.unionByName(query).groupBy("q", "v").applyInArrow(_compare(k), _FOUND)
 
 
-def choose_probes(x: np.ndarray, hasher: Hasher, k: int, wanted: float) -> tuple[int, float]:
-    """The least number of probes, of ``PROBES``, that find ``wanted`` of the best ``k`` among
-    sampled vectors ``x``, and the share of them that is then visited."""
-    x = x / np.abs(x).max()
-    x = x[np.abs(x).max(axis=1) > 1e-100]
-    if len(x) < 2:
+def _scan(asked: list[tuple[int, list[float]]], k: int):
+    """The best ``k`` of each of a few queries among a task's vectors. Input: embedding, ids."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, dict[int, float]] = {query: {} for query, _ in asked}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x, ids = _vectors(batch.column(0)), batch.column(1).to_pylist()
+            for query, q in asked:
+                found = held[query]
+                for _, i, score in best(query, np.asarray(q), np.arange(len(x)), x, ids, k):
+                    found[i] = max(score, found.get(i, -np.inf))
+                held[query] = {i: -s for s, i in _least(k, found)}
+        out = [(query, i, s) for query, found in held.items() for i, s in found.items()]
+        kinds = (pa.int64(), pa.int64(), pa.float64())
+        columns = list(zip(*out)) or [[], [], []]
+        yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, kinds)], ["query_id", "vec_id", "score"])
+
+    return run
+
+
+def real_neighbours(queries: DataFrame, distinct: DataFrame, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(query, its ``k`` nearest of all vectors) for ``ASKED`` queries, those with the least hash."""
+    some = queries.groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+    some = [tuple(r) for r in some.orderBy(F.xxhash64("vec_id"), "vec_id").limit(ASKED).collect()]
+    found = distinct.select("embedding", "ids").mapInArrow(_scan(some, k), _FOUND)
+    near = F.broadcast(top_k(found, k).select("query_id", "vec_id"))  # ASKED * k rows
+    named = distinct.select(F.explode("ids").alias("vec_id"), "embedding").join(near, "vec_id")
+    tops: dict[int, list] = {}
+    for query, vector in named.groupBy("query_id", "vec_id").agg(F.min("embedding").alias("e")).select("query_id", "e").collect():
+        tops.setdefault(query, []).append(vector)
+    return [(np.array(vector), np.array(tops[query])) for query, vector in some if query in tops]
+
+
+def choose_probes(
+    x: np.ndarray, hasher: Hasher, k: int, wanted: float,
+    neighbours: list[tuple[np.ndarray, np.ndarray]] | None = None, largest: float | None = None,
+) -> tuple[float, float]:
+    """The least number of probes, of ``PROBES``, that find ``wanted`` of the ``neighbours`` of
+    sampled queries, and the share of the sample ``x`` that is then visited; infinity and all of
+    it if even the most probes do not. Without ``neighbours``, the best ``k`` within ``x`` stand for them.
+
+    ``largest`` is the norm that vectors are scaled by, the sample's largest if not given.
+    """
+    if neighbours is None:
+        x = x / np.abs(x).max()
+        x = x[np.abs(x).max(axis=1) > 1e-100]
+        neighbours = []
+        for q in np.linspace(0, len(x) - 1, min(len(x), ASKED)).astype(int) if len(x) > 1 else ():
+            score = x @ x[q]
+            score[q] = -np.inf
+            neighbours.append((x[q], x[np.argsort(-score, kind="stable")[: min(k, len(x) - 1)]]))
+    if not neighbours:
         return PROBES[0], 1.0
-    scaled = x / np.linalg.norm(x, axis=1).max()
-    rest = np.sqrt(np.maximum(0.0, 1.0 - (scaled * scaled).sum(axis=1)))
-    slots = np.floor(hasher.project(np.column_stack([scaled, rest])))
-    buckets = np.stack([hasher.bucket(t, each) for t, each in enumerate(slots)])
-    asked = np.linspace(0, len(x) - 1, min(len(x), 100)).astype(int)
-    spots = hasher.project(np.column_stack([_unit(x[asked]), np.zeros(len(asked))]))
+    largest = largest or np.linalg.norm(x, axis=1).max()
+
+    def entered(vectors: np.ndarray) -> np.ndarray:
+        """(tables, vectors): the buckets that vectors are in."""
+        scaled = vectors / largest
+        rest = np.sqrt(np.maximum(0.0, 1.0 - (scaled * scaled).sum(axis=1)))
+        slots = np.floor(hasher.project(np.column_stack([scaled, rest])))
+        return np.stack([hasher.bucket(t, each) for t, each in enumerate(slots)])
+
+    asked = np.stack([q for q, _ in neighbours])
+    spots = hasher.project(np.column_stack([_unit(asked), np.zeros(len(asked))]))
+    buckets = entered(x)
     hits, seen = np.zeros(len(PROBES)), np.zeros(len(PROBES))
-    for i, q in enumerate(asked):
-        score = x @ x[q]
-        score[q] = -np.inf
-        top = np.argsort(-score, kind="stable")[: min(k, len(x) - 1)]
-        first = np.full(len(x), PROBES[-1] + 1)  # the probe at which a vector is met
+    for i, (_, top) in enumerate(neighbours):
+        members = np.concatenate([entered(top), buckets], axis=1)
+        first = np.full(members.shape[1], PROBES[-1] + 1)  # the probe at which a vector is met
         for t in range(len(spots)):
             own = np.floor(spots[t, i])
             asks = hasher.bucket(t, own + shifts(spots[t, i] - own, PROBES[-1]))
             order = np.argsort(asks, kind="stable")
-            at = np.minimum(np.searchsorted(asks[order], buckets[t]), len(asks) - 1)
-            met = np.where(asks[order][at] == buckets[t], order[at] + 1, PROBES[-1] + 1)
+            at = np.minimum(np.searchsorted(asks[order], members[t]), len(asks) - 1)
+            met = np.where(asks[order][at] == members[t], order[at] + 1, PROBES[-1] + 1)
             np.minimum(first, met, out=first)
         for n, probes in enumerate(PROBES):
-            hits[n] += (first[top] <= probes).mean() if len(top) else 1.0
-            seen[n] += (first <= probes).mean()
-    hits, seen = hits / len(asked), seen / len(asked)
-    n = next((n for n, h in enumerate(hits) if h >= wanted), len(PROBES) - 1)
-    return PROBES[n], float(seen[n])
+            hits[n] += (first[: len(top)] <= probes).mean()
+            seen[n] += (first[len(top) :] <= probes).mean()
+    hits, seen = hits / len(neighbours), seen / len(neighbours)
+    n = next((n for n, h in enumerate(hits) if h >= wanted), None)
+    return (math.inf, 1.0) if n is None else (PROBES[n], float(seen[n]))
 
 
 def usable(vectors: DataFrame, vec_id: str, embedding: str) -> DataFrame:
@@ -333,7 +391,7 @@ def nearest(
     is_query: Column,
     k: int = 20,
     tables: int = 8,
-    width: int = 6,
+    width: int | None = None,
     slot: float = 2.0,
     probes: int | None = None,
     wanted: float = 0.95,
@@ -344,8 +402,10 @@ def nearest(
     """query_id, rank, vec_id, score: the ``k`` nearest found of each row where ``is_query``.
 
     ``is_query`` is a condition on ``vec_id`` and ``embedding``. Without ``probes``, the least
-    number is taken that finds ``wanted`` of the best on a sample of at most ``SAMPLE``
-    vectors, those with the least hash.
+    number is taken that finds ``wanted`` of the real neighbours of ``ASKED`` queries; where
+    none does, every query is compared with all vectors. Without ``width``, more projections
+    than the least of ``WIDTHS`` are taken if they at least halve the share of a sample of
+    ``SAMPLE`` vectors that is visited.
     """
     rows = usable(vectors, vec_id, embedding)
     lengths = sorted(r[0] for r in rows.select(F.size("embedding")).distinct().collect())
@@ -358,7 +418,7 @@ def nearest(
 
 
 def _nearest(
-    rows: DataFrame, dimension: int, is_query: Column, k: int, tables: int, width: int, slot: float,
+    rows: DataFrame, dimension: int, is_query: Column, k: int, tables: int, width: int | None, slot: float,
     probes: int | None, wanted: float, seed: int,
 ) -> DataFrame:
     """The same for vectors of one length."""
@@ -376,12 +436,19 @@ def _nearest(
     distinct = materialize(distinct)
     count = distinct.count()
     cells = max(16, -(-count * tables // CELL))
-    hasher = Hasher(dimension, tables, width, slot, seed)
+    queries = rows.where(is_query)
+    hasher = Hasher(dimension, tables, width or WIDTHS[0], slot, seed)
     if probes is None:
         sample = distinct.select("embedding").orderBy(F.xxhash64("embedding"), "embedding").limit(SAMPLE).collect()
-        sample = np.array([r[0] for r in sample])
-        probes = choose_probes(sample, hasher, k, wanted)[0]
-    queries = rows.where(is_query)
+        sample, real, share = np.array([r[0] for r in sample]), real_neighbours(queries, distinct, k), None
+        for w in (width,) if width else WIDTHS:
+            each = Hasher(dimension, tables, w, slot, seed)
+            number, seen = choose_probes(sample, each, k, wanted, real, largest)
+            if number < math.inf and (share is None or seen <= share / 2):
+                hasher, probes, share = each, number, seen
+        if probes is None:
+            asked = materialize(queries.select("vec_id", "embedding"))
+            return top_k(_against_all(asked, distinct, asked.count(), count, k), k)
     index = distinct.mapInArrow(_enter(hasher, cells, largest), _MEMBER)
     asked = queries.mapInArrow(_ask(hasher, cells, probes), _MEMBER)
     # Cells with many vectors, or with many queries, are split; each part meets each other.
