@@ -84,3 +84,27 @@ def test_parser_never_matches_more_than_the_text(text):
     except ValueError:
         return
     assert all(part in text for part in vars(kind).values())
+
+
+def test_parsed_equals_parse(spark):
+    """A table of patterns is parsed as single ones are; null and odd ones have a defined form."""
+    parts = ["", "a", "tion", "\u00e9t", "\u00b2", "7", "_", "!", "*", "**"]
+    patterns = [a + b + c + d for a in parts for b in ("", "*") for c in parts for d in ("", "*", "x")]
+
+    def want(pattern):
+        try:
+            found = W.parse(pattern)
+        except ValueError:
+            return "error", None, None
+        match found:
+            case W.Between(a, b):
+                return "Between", a, b
+            case W.Ends(b):
+                return "Ends", "", b
+        return type(found).__name__, found.text, ""
+
+    frame = spark.createDataFrame([(p,) for p in patterns], "pattern string")
+    for row in W.parsed(frame).collect():
+        assert tuple(row)[1:] == want(row.pattern), row
+    none = spark.createDataFrame([(None,)], "pattern string")
+    assert [tuple(r) for r in W.parsed(none).collect()] == [(None, "error", None, None)]

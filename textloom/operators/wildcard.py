@@ -1,4 +1,5 @@
-"""Wildcard retrieval: patterns are parsed on the driver and become column predicates.
+"""Wildcard retrieval: a pattern is parsed on the driver and becomes a column predicate; a
+table of patterns is parsed by column expressions.
 
 Three indexes answer them: the vocabulary itself (prefix and reversed word, as a trie would),
 its 3-grams, and its rotations. All are frames built from ``vocabulary(word, reversed)``.
@@ -61,6 +62,36 @@ def parse(pattern: str) -> Pattern:
     raise ValueError(f"not a wildcard pattern: {pattern!r}")
 
 
+#: The letters of ``parse`` for column expressions: letters and numbers other than digits.
+LETTERS = r"\p{L}\p{Nl}\p{No}"
+#: Form, regular expression, groups of its first and last text, in order of choice.
+FORMS = (
+    ("Word", rf"^([{LETTERS}]*)([^{LETTERS}*]|\z)", 1, 0),
+    ("Between", rf"^([{LETTERS}]+)\*([{LETTERS}]+)([^{LETTERS}*]|\z)", 1, 2),
+    ("Starts", rf"^([{LETTERS}]+)\*([^{LETTERS}]|\z)", 1, 0),
+    ("Ends", rf"^\*([{LETTERS}]+)([^{LETTERS}*]|\z)", 0, 1),
+)
+
+
+def parsed(patterns: DataFrame, pattern: str = "pattern") -> DataFrame:
+    """Add form, first, last: what ``parse`` finds, for a table of patterns and without Python.
+
+    ``first`` is the whole word or how words start, ``last`` how they end, '' where the form
+    has none. A pattern of no form has form ``error`` and nulls; so has a null pattern.
+    """
+    text = F.col(pattern)
+
+    def chosen(value) -> Column:
+        out = F.lit(None).cast("string")
+        for form in reversed(FORMS):
+            out = F.when(text.rlike(form[1]), value(form)).otherwise(out)
+        return out
+
+    part = lambda at: lambda f: F.regexp_extract(text, f[1], f[at]) if f[at] else F.lit("")
+    form = F.coalesce(chosen(lambda f: F.lit(f[0])), F.lit("error"))
+    return patterns.select("*", form.alias("form"), chosen(part(2)).alias("first"), chosen(part(3)).alias("last"))
+
+
 def vocabulary(words: DataFrame) -> DataFrame:
     """word, reversed: each distinct word."""
     return words.select("word").distinct().withColumn("reversed", F.reverse("word"))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from textloom.functions import tokens as T
-from textloom.functions.runtime import materialize, scratch, table
+from textloom.functions.runtime import materialize, scratch, spread, table
 from textloom.functions.strings import common_prefix, occurrences, replace_between, rotate_left
 from textloom.operators import blockmax, bm25, boolean, encodings, indexbuild, vectors, wildcard, zones
 from textloom.plans import sql
@@ -706,18 +706,24 @@ def wordset_total(spark, sf_dir):
     return wildcard.word_total(wildcard.search(vocab(spark, sf_dir), "th*"))
 
 
-_PATTERNS = {"that": "Word", "th*": "Starts", "*tion": "Ends", "th*on": "Between", "th*er*on": None, "**": None, "*": None}
+# Patterns are all words of all texts, with a star for each "e".
+_PART = lambda at: " ".join(
+    f"WHEN regexp_matches(pattern, {sql.quoted(f[1])}) THEN " + (f"regexp_extract(pattern, {sql.quoted(f[1])}, {f[at]})" if f[at] else "''")
+    for f in wildcard.FORMS
+)
+_FORM = " ".join(f"WHEN regexp_matches(pattern, {sql.quoted(f[1])}) THEN {sql.quoted(f[0])}" for f in wildcard.FORMS)
 
 
-@query("pattern_forms", f"SELECT unnest({list(_PATTERNS)}) AS pattern, unnest({[v or 'error' for v in _PATTERNS.values()]}) AS form")
+@query(
+    "pattern_forms",
+    r"WITH p AS (SELECT DISTINCT replace(unnest(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 'e', '*') AS pattern FROM documents) "
+    f"SELECT pattern, CASE {_FORM} ELSE 'error' END AS form, CASE {_PART(2)} END AS first, CASE {_PART(3)} END AS last FROM p",
+)
 def pattern_forms(spark, sf_dir):
-    def form(pattern):
-        try:
-            return type(wildcard.parse(pattern)).__name__
-        except ValueError:
-            return "error"
-
-    return spark.createDataFrame([(p, form(p)) for p in _PATTERNS], "pattern string, form string")
+    found = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    texts = spread(documents(spark, sf_dir).select("doc_id", "text"))
+    words = texts.select(F.explode(F.array_distinct(found)).alias("word"))
+    return wildcard.parsed(words.select(F.replace("word", F.lit("e"), F.lit("*")).alias("pattern")).distinct())
 
 
 # Encodings
