@@ -9,6 +9,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bytes of a part, by what Spark knows of a scan; the columns taken hold about twice as many.
+PART = 4 << 20
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the corpus tables below ``sf_dir``."""
@@ -80,6 +83,18 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if int(str(size)) < cores * split else df
 
 
+def dealt(df: DataFrame, key: str) -> DataFrame:
+    """``df`` dealt by ``key`` into parts of a bounded size, however large it is.
+
+    What is grouped by ``key`` and more columns below needs no further shuffle, and a task's
+    groups are those of one part. For narrow frames of an id and a text.
+    """
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size >= 1 << 50:  # not known
+        return df.repartition(key)
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, size // PART + 1), key)
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name like ``name`` that ``df`` does not have."""
     taken = {c.lower() for c in df.columns}

@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.functions.runtime import spread
+from textloom.functions.runtime import dealt, spread
 
 # Delimiters and the characters trimmed from tokens.
 SENTENCE_DELIMITERS = r"[\r\n]|--|[ ;.,!?*:()\[\]]"
@@ -61,10 +61,17 @@ AUTHOR = Profile(r"[ \r\n]", TRIMMED)
 GENRE = Profile(r"[ _]")
 
 
-def _narrow(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
+def _narrow(docs: DataFrame, text: str, doc_id: str, deal=spread) -> DataFrame:
     """doc_id, text, dealt to all cores; streams stay as they are."""
     narrow = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    return narrow if docs.isStreaming else spread(narrow)
+    return narrow if docs.isStreaming else deal(narrow)
+
+
+def _words(narrow: DataFrame, profile: Profile) -> DataFrame:
+    # Trimmed before they are exploded: a filter below would trim once more for each test.
+    trimmed = F.transform(F.split("text", profile.delimiters), profile.trim)
+    parts = narrow.select("doc_id", F.explode(trimmed if profile.trimmed else F.split("text", profile.delimiters)).alias("token"))
+    return parts.where(profile.accepts(F.col("token"))).select("doc_id", F.lower("token").alias("word"))
 
 
 def document_words(docs: DataFrame, profile: Profile, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -78,12 +85,13 @@ def document_words(docs: DataFrame, profile: Profile, text: str = "text", doc_id
 
 def tokens(docs: DataFrame, profile: Profile, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, word: one row for each word of each text; null texts have none."""
-    narrow = _narrow(docs, text, doc_id)
-    parts = narrow.select("doc_id", F.explode(F.split("text", profile.delimiters)).alias("token"))
-    trimmed = parts.select("doc_id", profile.trim(F.col("token")).alias("token"))
-    return trimmed.where(profile.accepts(F.col("token"))).select("doc_id", F.lower("token").alias("word"))
+    return _words(_narrow(docs, text, doc_id), profile)
 
 
 def term_frequencies(docs: DataFrame, profile: Profile, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """doc_id, word, tf: how often each word is in each document."""
-    return tokens(docs, profile, text, doc_id).groupBy("doc_id", "word").agg(F.count(F.lit(1)).alias("tf"))
+    """doc_id, word, tf: how often each word is in each document.
+
+    Texts are shuffled by id, so that their words are counted where they are cut.
+    """
+    narrow = _narrow(docs, text, doc_id, lambda df: dealt(df, "doc_id"))
+    return _words(narrow, profile).groupBy("doc_id", "word").agg(F.count(F.lit(1)).alias("tf"))
