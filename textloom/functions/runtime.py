@@ -83,16 +83,16 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if int(str(size)) < cores * split else df
 
 
-def dealt(df: DataFrame, key: str) -> DataFrame:
-    """``df`` dealt by ``key`` into parts of a bounded size, however large it is.
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` dealt by ``keys`` into parts of a bounded size, however large it is.
 
-    What is grouped by ``key`` and more columns below needs no further shuffle, and a task's
+    What is grouped by ``keys`` and more columns below needs no further shuffle, and a task's
     groups are those of one part. For narrow frames of an id and a text.
     """
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     if size >= 1 << 50:  # not known
-        return df.repartition(key)
-    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, size // PART + 1), key)
+        return df.repartition(*keys)
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, size // PART + 1), *keys)
 
 
 def fresh(df: DataFrame, name: str) -> str:

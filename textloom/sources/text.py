@@ -2,28 +2,78 @@
 
 from __future__ import annotations
 
+import os
+from collections.abc import Iterator
+from urllib.parse import quote, unquote, urlsplit
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.functions.ordering import chunked_row_number
-from textloom.functions.runtime import materialize
+from textloom.functions.runtime import dealt, materialize
 
 
-def read_texts(spark: SparkSession, path: str, recursive: bool = True, first_id: int = 0) -> DataFrame:
-    """doc_id, name, path, bytes, text: one row a file; ids go folder by folder, by path."""
+def write_texts(rows: DataFrame, path: str, levels: list[str]) -> None:
+    """A file for each text of ``rows`` (text, *levels) in folders ``level=value`` below ``path``.
+
+    Rows with equal levels go to one file, each with a line feed. In a folder that tasks see as
+    a local one they write the files themselves: Spark's writers open each through Hadoop, which
+    starts processes for its permissions, and move it twice. Elsewhere Spark's writer is taken.
+    """
+    parts = dealt(rows.select("text", *levels), *levels)
+    if urlsplit(path).scheme not in ("", "file"):
+        plain = parts.write.mode("overwrite").option("mapreduce.fileoutputcommitter.algorithm.version", "2")
+        plain.partitionBy(*levels).text(path)
+        return
+    root = unquote(urlsplit(path).path) if path.startswith("file:") else path
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, out, n = None, None, 0
+        for batch in batches:
+            texts, *values = (c.to_pylist() for c in batch.columns)
+            for text, *at in zip(texts, *values):
+                if at != now:
+                    if out:
+                        out.close()
+                    named = ("__HIVE_DEFAULT_PARTITION__" if v is None or v == "" else quote(str(v), safe=" ") for v in at)
+                    folder = os.path.join(root, *[f"{k}={v}" for k, v in zip(levels, named)])
+                    os.makedirs(folder, exist_ok=True)
+                    now, out, n = at, open(f"{folder}/part-0.txt", "wb"), n + 1
+                out.write(text.encode() + b"\n")
+        if out:
+            out.close()
+        yield pa.record_batch([pa.array([n], pa.int64())], ["n"])
+
+    parts.sortWithinPartitions(*levels).mapInArrow(put, "n long").agg(F.sum("n")).collect()
+
+
+def read_files(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:
+    """name, path, bytes, text: one row a file, each read once."""
     whole = spark.read.option("recursiveFileLookup", recursive).text(path, wholetext=True)
     meta = F.col("_metadata")
-    named = whole.select(
-        F.col("value").alias("text"),
+    return whole.select(
         meta["file_name"].alias("name"),
         meta["file_path"].alias("path"),
         meta["file_size"].alias("bytes"),
+        F.col("value").alias("text"),
     )
+
+
+def file_ids(spark: SparkSession, path: str, recursive: bool = True, first_id: int = 0) -> DataFrame:
+    """path, doc_id: ids go folder by folder, by path; no file is opened."""
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", recursive).load(path)
+    path_ = F.col("_metadata.file_path").alias("path")
     # A folder is a chunk; none holds more than a share of all files.
-    ids = materialize(named.select("path", F.regexp_extract("path", "^(.*/)", 1).alias("_folder")))
+    ids = materialize(listed.select(path_).select("path", F.regexp_extract("path", "^(.*/)", 1).alias("_folder")))
     order = chunked_row_number(ids, [], "_folder", [F.col("path")], "n")
-    order = order.select("path", (F.col("n") + first_id).alias("doc_id"))
-    return named.join(order, "path").select("doc_id", "name", "path", "bytes", "text")
+    return order.select("path", (F.col("n") + first_id).alias("doc_id"))
+
+
+def read_texts(spark: SparkSession, path: str, recursive: bool = True, first_id: int = 0) -> DataFrame:
+    """doc_id, name, path, bytes, text: ``read_files`` with ``file_ids``."""
+    order = file_ids(spark, path, recursive, first_id)
+    return read_files(spark, path, recursive).join(order, "path").select("doc_id", "name", "path", "bytes", "text")
 
 
 def read_lines(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:
