@@ -1,3 +1,7 @@
+import random
+from dataclasses import replace
+
+import pytest
 from pyspark.sql import functions as F
 
 from textloom.functions import tokens as T
@@ -19,6 +23,19 @@ def test_strict(spark):
     assert words(spark, T.STRICT, None) == [] and words(spark, T.STRICT, "") == []
 
 
+@pytest.mark.parametrize("profile", [T.STRICT, T.LATIN])
+def test_words_found_in_one_pass_are_those_of_split_tokens(spark, profile):
+    draw = random.Random(5)
+    signs = list("\r\n ;.,!?*:()[]---\t'") + list(T.TRIMMED) + list("aZé_9\u0130\u212a\u0301ΑΣ\U00010400\U0001d7ce")
+    texts = ["".join(draw.choices(signs, k=draw.randrange(1, 40))) for _ in range(20_000)]
+    texts += ["".join(draw.choices("ab_-", k=draw.randrange(28, 36))) for _ in range(3_000)]
+    texts += [f"{chr(c)} {chr(c)}a b{chr(c)}c" for c in range(1, 0x3100)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    split = replace(profile, found=None)
+    other = df.select("text", profile.array(F.col("text")).alias("a"), split.array(F.col("text")).alias("b")).where("a <> b")
+    assert other.limit(3).collect() == [] and profile.found
+
+
 def test_loose_keeps_what_holds_a_word_character(spark):
     assert words(spark, T.LOOSE, "don't '' a\tb " + "x" * 31) == ["don't", "a\tb", "x" * 31]
 

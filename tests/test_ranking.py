@@ -25,6 +25,22 @@ def test_bm25(spark):
     assert len(bm25.Bm25Index.build(docs).query("red", 1).collect()) == 1
 
 
+def test_bm25_query_reads_texts_once(spark):
+    from pyspark.sql import functions as F
+
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(text):
+        read.add(1)
+        return text
+
+    docs = spark.createDataFrame(DOCS, "doc_id long, text string").withColumn("text", F.udf(seen, "string")("text"))
+    index = bm25.Bm25Index.build(docs)
+    before = read.value
+    got = index.query("fish red fish none").collect()
+    assert [r.doc_id for r in got] == [0, 1, 2] and read.value - before == len(DOCS)
+
+
 def test_block_maxima(spark, tmp_path):
     # One short document of each of a few blocks ranks far above the long ones; many tie.
     texts = [(i, "red fish" if i % 200 == 7 else "red " + "plain words of some length " * 6) for i in range(1200)]

@@ -89,10 +89,14 @@ def dealt(df: DataFrame, *keys: str) -> DataFrame:
     What is grouped by ``keys`` and more columns below needs no further shuffle, and a task's
     groups are those of one part. For narrow frames of an id and a text.
     """
+    n = parts(df)
+    return df.repartition(*keys) if n is None else df.repartition(n, *keys)
+
+
+def parts(df: DataFrame) -> int | None:
+    """How many parts of a bounded size ``df`` has; None if its size is not known."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if size >= 1 << 50:  # not known
-        return df.repartition(*keys)
-    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, size // PART + 1), *keys)
+    return None if size >= 1 << 50 else max(df.sparkSession.sparkContext.defaultParallelism, size // PART + 1)
 
 
 def fresh(df: DataFrame, name: str) -> str:

@@ -25,13 +25,18 @@ WORD_CLASS = r"[\p{L}\p{Mn}\p{Nd}\p{Pc}]"
 
 @dataclass(frozen=True)
 class Profile:
-    """How texts become words; ``whole``: only word characters, else one at least."""
+    """How texts become words; ``whole``: only word characters, else one at least.
+
+    ``found`` is a regular expression whose first group finds the same words in a text, in one
+    pass: splitting makes a string of each token, and trimming and testing another.
+    """
 
     delimiters: str
     trimmed: str = ""
     whole: bool | None = None
     longest: int | None = None
     first: str | None = None
+    found: str | None = None
 
     def accepts(self, token: Column) -> Column:
         """Whether a trimmed token is a word. Empty tokens never are."""
@@ -49,14 +54,26 @@ class Profile:
 
     def array(self, text: Column) -> Column:
         """array<string>: the words of a text, in order."""
+        if self.found:
+            return F.transform(F.regexp_extract_all(text, F.lit(self.found), F.lit(1)), F.lower)
         trimmed = F.transform(F.split(text, self.delimiters), self.trim)
         return F.transform(F.filter(trimmed, self.accepts), F.lower)
 
 
-STRICT = Profile(SENTENCE_DELIMITERS, TRIMMED, whole=True, longest=30)
+def _found(first: str) -> str:
+    """The words of up to 30 word characters that ``first`` begins, between delimiters and what is trimmed."""
+    trimmed = "[" + "".join(f"\\{c}" if c in "-^[]" else c for c in TRIMMED) + "]*"
+    ends = r"[\r\n ;.,!?*:()\[\]]"
+    return rf"(?:^|(?<={ends})|(?<=--)){trimmed}({first}(?:{WORD_CLASS}{{0,28}}{_KEPT})?){trimmed}(?={ends}|--|\z)"
+
+
+#: A word character that is not trimmed, and one whose lower case begins with a Latin letter.
+_KEPT, _LATIN = WORD_CLASS[:-1] + "&&[^_]]", r"[a-zA-Z\u0130\u212A]"
+
+STRICT = Profile(SENTENCE_DELIMITERS, TRIMMED, whole=True, longest=30, found=_found(_KEPT))
 LOOSE = Profile(SENTENCE_DELIMITERS, TRIMMED, whole=False)
 SIMPLE = Profile(r"[\r\n ]", SIMPLE_TRIMMED, whole=False)
-LATIN = Profile(SENTENCE_DELIMITERS, TRIMMED, whole=True, longest=30, first="^[a-z]")
+LATIN = Profile(SENTENCE_DELIMITERS, TRIMMED, whole=True, longest=30, first="^[a-z]", found=_found(_LATIN))
 AUTHOR = Profile(r"[ \r\n]", TRIMMED)
 GENRE = Profile(r"[ _]")
 
@@ -68,19 +85,29 @@ def _narrow(docs: DataFrame, text: str, doc_id: str, deal=spread) -> DataFrame:
 
 
 def _words(narrow: DataFrame, profile: Profile) -> DataFrame:
+    if profile.found:
+        parts = F.regexp_extract_all("text", F.lit(profile.found), F.lit(1))
+        return narrow.select("doc_id", F.explode(parts).alias("token")).select("doc_id", F.lower("token").alias("word"))
     # Trimmed before they are exploded: a filter below would trim once more for each test.
     trimmed = F.transform(F.split("text", profile.delimiters), profile.trim)
     parts = narrow.select("doc_id", F.explode(trimmed if profile.trimmed else F.split("text", profile.delimiters)).alias("token"))
     return parts.where(profile.accepts(F.col("token"))).select("doc_id", F.lower("token").alias("word"))
 
 
+def distinct_words(profile: Profile, text: str = "text") -> Column:
+    """array<string>: each distinct word of a text."""
+    array = profile.array(F.col(text))
+    if profile.found:  # Fewer tokens are lowered.
+        array = F.transform(F.array_distinct(F.regexp_extract_all(text, F.lit(profile.found), F.lit(1))), F.lower)
+    return F.array_distinct(array)
+
+
 def document_words(docs: DataFrame, profile: Profile, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """word, doc_id: each distinct word of each text, told apart inside its row.
 
     No row is shuffled for it. Only rows with equal ids can give a pair more than once.
     """
-    found = F.array_distinct(profile.array(F.col("text")))
-    return _narrow(docs, text, doc_id).select(F.explode(found).alias("word"), "doc_id")
+    return _narrow(docs, text, doc_id).select(F.explode(distinct_words(profile)).alias("word"), "doc_id")
 
 
 def tokens(docs: DataFrame, profile: Profile, text: str = "text", doc_id: str = "doc_id") -> DataFrame:

@@ -17,6 +17,8 @@ from textloom.functions.tokens import STRICT, Profile, term_frequencies, tokens
 from textloom.sources.store import load, save
 
 K, B = 2.0, 0.75
+#: Terms of a query up to which they are counted in columns.
+FEW_TERMS = 100
 
 
 def inverse_frequencies(tf: DataFrame, documents: int) -> DataFrame:
@@ -37,12 +39,13 @@ class Bm25Index:
     tf: DataFrame
     lengths: DataFrame
     documents: int
+    texts: tuple[DataFrame, Profile] | None = None
 
     @classmethod
     def build(cls, docs: DataFrame, profile: Profile = STRICT) -> Bm25Index:
-        """Plans over ``docs``: each query tokenizes it anew. ``store`` does so once."""
+        """Plans over ``docs``: each query tokenizes it anew, once. ``store`` does so once for all."""
         length = tokens(docs, profile).groupBy("doc_id").agg(F.count(F.lit(1)).alias("dl"))
-        return cls(term_frequencies(docs, profile), length, docs.count())
+        return cls(term_frequencies(docs, profile), length, docs.count(), (docs, profile))
 
     @classmethod
     def store(cls, docs: DataFrame, path: str, profile: Profile = STRICT) -> Bm25Index:
@@ -57,6 +60,19 @@ class Bm25Index:
     def load(cls, spark: SparkSession, path: str) -> Bm25Index:
         return cls(*(load(spark, f"{path}/{name}") for name in ("tf", "lengths")), load(spark, f"{path}/documents").first()[0])
 
+    def counted(self, terms: list[str]) -> tuple[DataFrame, DataFrame]:
+        """(doc_id, word, tf, dl of the documents with one of the terms; doc_id, dl of all).
+
+        Texts that are not stored are read once: a row a document, with a count for each term.
+        """
+        if self.texts is None or not 0 < len(terms) <= FEW_TERMS:
+            return self.tf.where(F.col("word").isin(terms)).join(self.lengths, "doc_id"), self.lengths
+        each = [F.count_if(F.col("word") == t).alias(f"tf{i}") for i, t in enumerate(terms)]
+        once = materialize(tokens(*self.texts).groupBy("doc_id").agg(F.count(F.lit(1)).alias("dl"), *each))
+        pairs = F.array(*[F.struct(F.lit(t).alias("word"), F.col(f"tf{i}").alias("tf")) for i, t in enumerate(terms)])
+        hits = once.where("doc_id is not null").select("doc_id", "dl", F.inline(pairs)).where("tf > 0")
+        return hits, once.select("doc_id", "dl")
+
     def query(self, text: str, k: int | None = None, case_sensitive: bool = False) -> DataFrame:
         """doc_id, score of documents that score above 0, best first.
 
@@ -65,11 +81,10 @@ class Bm25Index:
         """
         times = Counter(t for t in (text if case_sensitive else text.lower()).split(" ") if t)
         asked = F.create_map(*[F.lit(x) for pair in times.items() for x in pair]) if times else None
-        hits = self.tf.where(F.col("word").isin(sorted(times)))
+        hits, dl = self.counted(sorted(times))
         idf = inverse_frequencies(hits, self.documents)
-        dl = self.lengths
         mean = dl.agg(F.avg("dl").alias("avgdl"))
-        scored = hits.join(F.broadcast(idf), "word").join(dl, "doc_id").join(F.broadcast(mean))
+        scored = hits.join(F.broadcast(idf), "word").join(F.broadcast(mean))
         tf = F.col("tf").cast("double")
         part = F.col("idf").cast("double") * (tf * (K + 1)) / (tf + K * (1 - B + B * F.col("dl") / F.col("avgdl")))
         weight = asked[F.col("word")] if times else F.lit(0)
