@@ -1,6 +1,7 @@
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from textloom.operators import encodings as E
 from textloom.operators import indexbuild as I
@@ -53,6 +54,21 @@ def test_batches(spark):
     assert I.batches(files.limit(0), 10, 15).count() == 0
 
 
+def test_words_of_a_batch_are_not_shuffled(spark):
+    docs = spark.createDataFrame([(i, f"apple w{i % 3} w{i}") for i in range(12)], "doc_id long, text string")
+    cut = I.batches(docs.select("doc_id", F.length("text").cast("long").alias("bytes")), 40, 1000)
+    words = I.batch_words(docs, cut)
+    spilled = I.segments(words)
+    got = {(r.batch, r.word): r.doc_ids for r in spilled.collect()}
+    assert got[0, "apple"] == [0, 1, 2, 3] and got[0, "w0"] == [0, 3] and got[2, "w11"] == [11]
+    # Only texts are shuffled: a join by id and the deal by batch lie below the words.
+    plan = spilled._jdf.queryExecution().sparkPlan().toString()
+    above = spilled._jdf.queryExecution().executedPlan().toString().split("Generate")[0]
+    assert "Generate" in plan and "Exchange" not in above
+    r = I.build_stats(docs, words, cut).first()
+    assert (r.batches, r.mapped, r.unique_words) == (3, len(got), 13)
+
+
 def test_stored_index(spark, tmp_path):
     docs = spark.createDataFrame([(0, "apple zoo", "a.txt"), (1, "Zoo", "b.txt"), (2, "été 9", "c.txt")], "doc_id long, text string, name string")
     index = I.StoredIndex.build(docs, str(tmp_path / "i"))

@@ -16,8 +16,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textloom.functions.ordering import chunked_row_number
-from textloom.functions.runtime import materialize
-from textloom.functions.tokens import LATIN, Profile, document_words
+from textloom.functions.runtime import materialize, parts
+from textloom.functions.tokens import LATIN, Profile, distinct_words
 
 #: Last letters of the buckets, and bytes of a batch and of a big file.
 BUCKETS = (("a", "d"), ("e", "g"), ("h", "p"), ("q", "z"))
@@ -88,9 +88,25 @@ def inverted(words: DataFrame) -> DataFrame:
     return grouped.select("word", bucket(F.col("word")).alias("bucket"), F.size("doc_ids").cast("long").alias("df"), "doc_ids")
 
 
+def batch_words(docs: DataFrame, batched: DataFrame, profile: Profile = LATIN, key: str = "batch") -> DataFrame:
+    """word, doc_id, batch: each distinct word of each text, and its text's batch.
+
+    Texts are dealt by ``key`` into parts of a bounded number of bytes before they are cut: they
+    are far fewer and smaller than their words, and what is grouped by it and more stays there.
+    """
+    texts = docs.select("doc_id", "text")
+    met = texts.join(batched.select("doc_id", "batch"), "doc_id")
+    n = parts(texts)
+    met = met.repartition(key) if n is None else met.repartition(n, key)
+    return met.select(F.explode(distinct_words(profile)).alias("word"), "doc_id", "batch")
+
+
 def build_stats(docs: DataFrame, words: DataFrame, batched: DataFrame) -> DataFrame:
-    """kilobytes, batches, mapped (posting rows of all batches), unique_words: one row."""
-    in_batch = words.join(batched.select("doc_id", "batch"), "doc_id").groupBy("word", "batch").agg(F.lit(1).alias("one"))
+    """kilobytes, batches, mapped (posting rows of all batches), unique_words: one row.
+
+    ``words`` as from ``batch_words``.
+    """
+    in_batch = words.groupBy("word", "batch").agg(F.lit(1).alias("one"))
     per_word = in_batch.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     mapped = per_word.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("mapped"), F.count(F.lit(1)).alias("unique_words"))
     size = F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))
@@ -119,7 +135,9 @@ class StoredIndex:
     def build(cls, docs: DataFrame, path: str, profile: Profile = LATIN) -> StoredIndex:
         """Tokenize ``docs(doc_id, text[, name])`` once and write the tables."""
         began = time.monotonic()
-        words = materialize(document_words(docs, profile))
+        sizes = docs.select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("bytes"))
+        batched = materialize(batches(sizes))
+        words = materialize(batch_words(docs, batched, profile, "doc_id"))
         mapped = time.monotonic()
         names = docs.select("doc_id", F.col("name") if "name" in docs.columns else F.col("doc_id").cast("string").alias("name"))
         names.write.mode("overwrite").parquet(f"{path}/files")
@@ -129,8 +147,7 @@ class StoredIndex:
         # Sorted by word in each bucket, so that statistics prune row groups.
         spread = lists.repartitionByRange("bucket", "word").sortWithinPartitions("bucket", "word")
         spread.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
-        sizes = docs.select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("bytes"))
-        log = build_stats(docs, words, batches(sizes))
+        log = build_stats(docs, words, batched)
         took = {"map_seconds": mapped - began, "reduce_seconds": time.monotonic() - mapped}
         log.withColumns({k: F.lit(round(v, 3)) for k, v in took.items()}).write.mode("overwrite").parquet(f"{path}/log")
         return cls(docs.sparkSession, path)
@@ -145,10 +162,12 @@ class StoredIndex:
         return self.read("files").join(hit.select(F.explode("doc_ids").alias("doc_id")), "doc_id", "left_semi")
 
 
-def segments(words: DataFrame, batched: DataFrame) -> DataFrame:
-    """batch, bucket, word, doc_ids: what each batch spills to each bucket."""
-    joined = words.join(batched.select("doc_id", "batch"), "doc_id")
-    return joined.groupBy("batch", bucket(F.col("word")).alias("bucket"), "word").agg(
+def segments(words: DataFrame) -> DataFrame:
+    """batch, bucket, word, doc_ids: what each batch spills to each bucket.
+
+    ``words`` as from ``batch_words``.
+    """
+    return words.groupBy("batch", bucket(F.col("word")).alias("bucket"), "word").agg(
         F.sort_array(F.collect_set("doc_id")).alias("doc_ids")
     )
 
