@@ -141,9 +141,11 @@ class StoredIndex:
         mapped = time.monotonic()
         names = docs.select("doc_id", F.col("name") if "name" in docs.columns else F.col("doc_id").cast("string").alias("name"))
         names.write.mode("overwrite").parquet(f"{path}/files")
-        ids = materialize(lexicon(words))
+        # Lists have far fewer rows than words: ids and ranges are taken from them.
+        blocks = materialize(posting_blocks(words))
+        ids = materialize(lexicon(blocks))
         ids.sort("word").write.mode("overwrite").parquet(f"{path}/lexicon")
-        lists = posting_blocks(words).join(ids, "word")
+        lists = blocks.join(ids, "word")
         # Sorted by word in each bucket, so that statistics prune row groups.
         spread = lists.repartitionByRange("bucket", "word").sortWithinPartitions("bucket", "word")
         spread.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
