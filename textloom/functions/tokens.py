@@ -110,9 +110,9 @@ def document_words(docs: DataFrame, profile: Profile, text: str = "text", doc_id
     return _narrow(docs, text, doc_id).select(F.explode(distinct_words(profile)).alias("word"), "doc_id")
 
 
-def tokens(docs: DataFrame, profile: Profile, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def tokens(docs: DataFrame, profile: Profile, text: str = "text", doc_id: str = "doc_id", deal=spread) -> DataFrame:
     """doc_id, word: one row for each word of each text; null texts have none."""
-    return _words(_narrow(docs, text, doc_id), profile)
+    return _words(_narrow(docs, text, doc_id, deal), profile)
 
 
 def term_frequencies(docs: DataFrame, profile: Profile, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
