@@ -264,3 +264,19 @@ def test_conversations_edges(spark, monkeypatch, size):
     got = conversations.damage_and_repair(frame).collect()
     assert sorted(repr(tuple(r)) for r in got) == brute_conversations(rows)
     assert conversations.damage_and_repair(frame.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("hot, few", [(5, 20_000), (5, 1), (1, 1)])
+def test_conversations_hot_and_texts_not_stored(spark, monkeypatch, hot, few):
+    stored = []
+    materialize = conversations.materialize
+    monkeypatch.setattr(conversations, "materialize", lambda df: stored.extend(df.columns) or materialize(df))
+    monkeypatch.setattr(conversations, "HOT", hot)
+    monkeypatch.setattr(conversations, "FEW_RUNS", few)
+    rng = random.Random(hot + few)
+    rows = [(rng.choice([1, 2, 3, None]), rng.choice([*range(60), None]), rng.choice(["user", "assistant", None]), rng.choice(["a.", "b", "", "c!"])) for _ in range(200)]
+    rows += [(9, None, "user", "x."), (9, None, "assistant", "y."), (10, 1, "user", "z.")]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = conversations.damage_and_repair(frame).collect()
+    assert sorted(repr(tuple(r)) for r in got) == brute_conversations(rows)
+    assert stored and "text" not in stored

@@ -13,12 +13,13 @@ strings. A layer (the rows up to one) holds for each state the least cost and, i
 string, its rank among the layer's states, from the rank of the state before and the code;
 parent pointers give the edits back.
 
-At scale: rows are numbered within chunks of turns, so no task sorts a hot conversation. Runs
-of ``CHUNK`` rows are solved by themselves, from every state to every state; a conversation is
+At scale: rows are numbered by conversation, those of a hot one (more than ``HOT`` rows) within
+chunks of turns. Texts are shuffled twice, for the numbers and for the digest, and never stored;
+what lies between reads narrow rows. Runs of ``CHUNK`` rows are solved by themselves, from every state to every state; a conversation is
 then one small row a run, read in order, and each run is solved again between the two states
 that it turned out to have. Repeated rows are first told apart inside their runs, so a hot row
-is one key a run. Texts are read for faults and once more for the digest, which has to see a
-conversation in order: its rows come sorted and are hashed one after another, never held.
+is one key a run. The digest has to see a conversation in order: its edits come first, a byte a
+row, then its rows, sorted anew, which are hashed one after another and never held.
 
 Defined results: a null role or text is one space, and so is a null id or turn in the key of
 the damage; null turns come first and are no gap; the null id is a conversation of its own. Rows
@@ -38,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.functions.ordering import chunked_row_number, quantile_chunks
+from textloom.functions.ordering import quantile_chunks
 from textloom.functions.runtime import materialize, small_enough
 from textloom.llm.pieces import tidy
 from textloom.llm.text import SPACES
@@ -51,8 +52,10 @@ NEXT = {NOTHING: USER, SYSTEM: USER, USER: PAIR, PAIR: USER}
 ROLE_INTO = {USER: "user", PAIR: "assistant"}
 #: Macro edits in order of their codes; more than two inserts lead back to where they began.
 MACROS = sorted("I" * n + own for n, own in product(range(3), "DKR"))
-#: Rows solved together, and runs whose edits are broadcast.
-CHUNK, FEW_RUNS = 1024, 20_000
+#: Rows solved together, and rows of a conversation above which it is numbered in chunks.
+CHUNK, HOT = 1024, 50_000
+#: Rows about hot conversations and their chunks that are broadcast.
+FEW_RUNS = 20_000
 BIG = 1 << 60
 
 
@@ -153,28 +156,43 @@ def _key() -> Column:
     return F.concat_ws(":", F.lit("c"), F.col("conv_id").cast("string"))
 
 
-def _numbered(rows: DataFrame) -> DataFrame:
-    """key, turn, role, text, pos: rows with their place in the conversation."""
-    chunk = quantile_chunks(rows, "turn")
-    keyed = rows.select(_key().alias("key"), "turn", "role", "text", chunk.alias("chunk"))
-    order = [F.col("turn").asc_nulls_first(), F.col("role"), F.col("text")]
-    return chunked_row_number(keyed, ["key"], "chunk", order, "pos").drop("chunk")
+def _order() -> list[Column]:
+    """The order of a conversation's rows."""
+    return [F.col("turn").asc_nulls_first(), F.col("role"), F.col("text")]
 
 
-def _faults(numbered: DataFrame) -> DataFrame:
-    """key, run, pos, turn, initial, blank, duplicate, truncated of every row, without texts."""
+def _numbered(rows: DataFrame) -> DataFrame:
+    """key, turn, initial, blank, stopless, same, pos: rows with their place in the conversation."""
     trimmed = F.rtrim(F.col("text"), F.lit(SPACES))
-    narrow = numbered.select(
-        "key",
-        F.expr(f"pos div {CHUNK}").alias("run"),
-        "pos",
+    columns = [
         "turn",
         F.substring("role", 1, 1).alias("initial"),
         (trimmed == "").alias("blank"),
         (~F.right(trimmed, F.lit(1)).isin(".", "!", "?")).alias("stopless"),
         # Lengths keep (role, text) apart however they are cut.
-        F.md5(F.concat(F.length("role").cast("string"), F.lit(":"), F.col("role"), F.col("text"))).alias("same"),
-    )
+        F.unhex(F.md5(F.concat(F.length("role").cast("string"), F.lit(":"), F.col("role"), F.col("text")))).alias("same"),
+    ]
+    keyed = rows.select(_key().alias("key"), "turn", "role", "text")
+    hot = small_enough(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT).select("key"), FEW_RUNS)
+    number = lambda *by: (F.row_number().over(Window.partitionBy(*by).orderBy(*_order())) - 1).cast("long").alias("pos")
+    if hot.isEmpty():
+        return keyed.select("key", "turn", "role", "text", number("key")).select("key", *columns, "pos")
+    few = keyed.join(hot, "key", "left_anti").withColumn("chunk", F.lit(0))
+    many = keyed.join(hot, "key", "left_semi")
+    many = many.withColumn("chunk", F.coalesce(quantile_chunks(many, "turn"), F.lit(0)))
+    held = many.groupBy("key", "chunk").agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.partitionBy("key").orderBy("chunk")) - F.col("n")
+    starts = small_enough(held.select("key", "chunk", before.alias("start")), FEW_RUNS)
+    inside = few.unionByName(many).select("key", "turn", "role", "text", "chunk", number("key", "chunk")).select("key", "chunk", *columns, "pos")
+    return inside.join(starts, ["key", "chunk"], "left").select(
+        "key", *[F.col(c) for c in ("turn", "initial", "blank", "stopless", "same")],
+        (F.col("pos") + F.coalesce("start", F.lit(0))).cast("long").alias("pos"),
+    )
+
+
+def _faults(numbered: DataFrame) -> DataFrame:
+    """key, run, pos, turn, initial, blank, duplicate, truncated of every row."""
+    narrow = numbered.withColumn("run", F.expr(f"pos div {CHUNK}"))
     narrow = materialize(narrow)
     runs = narrow.groupBy("key", "same", "run").agg(F.min("pos").alias("first"))
     # Of each (key, same) only one row a run is left.
@@ -303,11 +321,15 @@ _RENAMED = [ROLE_INTO[NEXT[after(s, len(m) - 1)]] if m[-1] == "R" else None for
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """key, digest of the repaired turns, from rows (key, pos, role, text, code, tail, end) in order."""
+    """key, digest of the repaired turns, from rows (key, role, text, codes, tail, end) in order.
+
+    The runs of a conversation come first, with their codes; then its rows, with role and text.
+    """
     schema = pa.schema([("key", pa.string()), ("digest", pa.string())])
 
     def rows():
         key, hashed, any_line = None, None, False
+        edited, at, last = bytearray(), 0, (0, 0)
 
         def line(role: str, text: bytes):
             nonlocal any_line
@@ -315,25 +337,32 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             hashed.update(text)
             any_line = True
 
+        def ended() -> str:
+            tail, end = last
+            for i in range(1, tail + 1):
+                line(ROLE_INTO[after(end, i)], b"")
+            return hashed.hexdigest()
+
         for batch in batches:
-            texts = batch.column(3).cast(pa.binary())
-            columns = [batch.column(i).to_pylist() for i in (0, 2, 4, 5, 6)]
-            for (k, role, code, tail, end), text in zip(zip(*columns), texts):
+            texts = batch.column(2).cast(pa.binary())
+            columns = [batch.column(i).to_pylist() for i in (0, 1, 3, 4, 5)]
+            for (k, role, codes, tail, end), text in zip(zip(*columns), texts):
                 if k != key:
                     if key is not None:
-                        yield key, hashed.hexdigest()
+                        yield key, ended()
                     key, hashed, any_line = k, hashlib.sha256(), False
-                code = ord(code) - 33
+                    edited, at = bytearray(), 0
+                if codes is not None:
+                    edited += codes.encode("ascii")
+                    last = tail, end
+                    continue
+                code, at = edited[at] - 33, at + 1
                 for name in _BEFORE[code]:
                     line(name, b"")
-                own = MACROS[code // 4][-1]
-                if own != "D":
+                if MACROS[code // 4][-1] != "D":
                     line(_RENAMED[code] or role, text.as_py())
-                # Rows with a tail are the last ones.
-                for i in range(1, tail + 1):
-                    line(ROLE_INTO[after(end, i)], b"")
         if key is not None:
-            yield key, hashed.hexdigest()
+            yield key, ended()
 
     yield from _handed(rows(), schema)
 
@@ -351,16 +380,13 @@ def repair_plan(numbered: DataFrame) -> tuple[DataFrame, DataFrame]:
     return faults, materialize(made.join(ends.select("key", "run", "end", "tail", "cost"), ["key", "run"]))
 
 
-def repaired(numbered: DataFrame, runs: DataFrame) -> DataFrame:
-    """key, pos, role, text, code, tail, end: every row with the edit that it gets."""
-    few = small_enough(runs.select("key", "run", "codes", "end", "tail"), FEW_RUNS)
-    placed = numbered.withColumn("run", F.expr(f"pos div {CHUNK}")).join(few, ["key", "run"])
-    at = (F.col("pos") % CHUNK).cast("int")
-    last = at + 1 == F.length("codes")
-    return placed.select(
-        "key", "pos", "role", "text", F.substring(F.col("codes"), at + 1, F.lit(1)).alias("code"),
-        F.when(last, F.col("tail")).otherwise(0).alias("tail"), "end",
-    )
+def _with_edits(rows: DataFrame, runs: DataFrame) -> DataFrame:
+    """key, role, text, codes, tail, end in order: a conversation's runs, then its rows."""
+    own = rows.select(_key().alias("key"), "turn", "role", "text")
+    edited = runs.select("key", "run", "codes", "tail", "end")
+    both = own.unionByName(edited, allowMissingColumns=True)
+    held = both.repartition("key").sortWithinPartitions("key", F.col("run").asc_nulls_last(), *_order())
+    return held.select("key", "role", "text", "codes", "tail", "end")
 
 
 def repair(rows: DataFrame, ids: DataFrame) -> DataFrame:
@@ -369,8 +395,7 @@ def repair(rows: DataFrame, ids: DataFrame) -> DataFrame:
     One row for each id of ``ids``: conv_id, gaps, blank, duplicate, truncated, illegal, cost,
     audit, repaired_sha256.
     """
-    numbered = materialize(_numbered(rows))
-    faults, runs = repair_plan(numbered)
+    faults, runs = repair_plan(_numbered(rows))
     # A row's neighbour is in its run, or the first of the next one.
     pairs = faults.select("key", "run", "pos", "initial").unionByName(
         faults.where((F.col("pos") % CHUNK == 0) & (F.col("pos") > 0)).select("key", (F.col("run") - 1).alias("run"), "pos", "initial")
@@ -385,7 +410,7 @@ def repair(rows: DataFrame, ids: DataFrame) -> DataFrame:
         F.sum("cost").alias("cost"),
         F.concat_ws("", F.transform(F.sort_array(F.collect_list(F.struct("run", "audit"))), lambda x: x["audit"])).alias("audit"),
     )
-    digests = _in_order(repaired(numbered, runs), ["key"], ["key", "pos"]).mapInArrow(_digest, "key string, digest string")
+    digests = _with_edits(rows, runs).mapInArrow(_digest, "key string, digest string")
     out = ids.select("conv_id").distinct().withColumn("key", _key())
     for part in (gaps, counts, illegal, audits, digests):
         out = out.join(part, "key", "left")
