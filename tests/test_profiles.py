@@ -1,9 +1,11 @@
 import random
 from dataclasses import replace
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from textloom.functions import counting
 from textloom.functions import tokens as T
 from textloom.functions.strings import common_prefix, occurrences, replace_between, rotate_left
 
@@ -36,6 +38,43 @@ def test_words_found_in_one_pass_are_those_of_split_tokens(spark, profile):
     assert other.limit(3).collect() == [] and profile.found
 
 
+@pytest.mark.parametrize("profile", [T.STRICT, T.LOOSE, T.LATIN, T.GENRE])
+def test_words_counted_in_batches_are_those_of_tokens(spark, monkeypatch, profile):
+    """Rows with equal ids, across slices too, are one document; the JVM only deals and sorts texts."""
+    draw = random.Random(7)
+    signs = list("\r\n ;.,!?*:()[]---\t'") + list(T.TRIMMED) + list("aZé_9\u0130\u212a\u0301ΑΣ\U00010400\U0001d7ce")
+    texts = ["".join(draw.choices(signs, k=draw.randrange(40))) for _ in range(3_000)] + [None, "", "--"]
+    texts += ["".join(draw.choices("ab_-", k=draw.randrange(28, 36))) for _ in range(300)]
+    # Among them letters that Java 17 and Python 3.13 do not agree on.
+    texts += [f"{chr(c)} {chr(c)}a b{chr(c)}c" for c in [*range(1, 0x3100, 3), 0x870, 0x1734, 0x10D50]]
+    rows = [(None if i % 50 == 0 else i // 3, t) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    plain = T.tokens(df, profile).groupBy("doc_id", "word").agg(F.count(F.lit(1)).alias("tf"))
+    got = T.term_frequencies(df, profile)
+    assert "MapInArrow" in got._jdf.queryExecution().toString()
+    assert got.exceptAll(plain).count() == 0 == plain.exceptAll(got).count()
+    lengths = T.counted_terms(df, profile).where("head").select("doc_id", "dl")
+    want = plain.groupBy("doc_id").agg(F.sum("tf").alias("dl"))
+    assert lengths.exceptAll(want).count() == 0 == want.exceptAll(lengths).count()
+    pairs = df.select(F.explode(T.distinct_words(profile)).alias("word"), "doc_id")
+    found = T.document_words(df, profile)
+    assert found.exceptAll(pairs).count() == 0 == pairs.exceptAll(found).count()
+
+
+@pytest.mark.parametrize("size", [1, 30, 1 << 24])
+def test_words_counted_in_slices_of_any_size(monkeypatch, size):
+    monkeypatch.setattr(counting, "SLICE", size)
+    schema = pa.schema([("doc_id", pa.int64()), ("word", pa.string()), ("tf", pa.int64()), ("dl", pa.int64()), ("head", pa.bool_())])
+    ids, texts = [None, None, 1, 1, 1, 2, 3, 4, 4], ["a b", "a", "x x", "", "x Y", ".", None, "z", "z--z"]
+    batches = [pa.record_batch([pa.array(ids[i : i + 4], pa.int64()), pa.array(texts[i : i + 4], pa.string())], ["doc_id", "text"]) for i in (0, 4, 8)]
+    letters = counting.Signs([97], [122], {})
+    rows = [r for b in counting.counter(T.STRICT, letters, schema, True)(iter(batches)) for r in zip(*(c.to_pylist() for c in b.columns))]
+    assert sorted(map(repr, (r[:4] for r in rows))) == sorted(
+        map(repr, [(None, "a", 2, 3), (None, "b", 1, 3), (1, "x", 3, 4), (1, "y", 1, 4), (4, "z", 3, 3)])
+    )
+    assert sorted(str(r[0]) for r in rows if r[4]) == ["1", "4", "None"]
+
+
 def test_loose_keeps_what_holds_a_word_character(spark):
     assert words(spark, T.LOOSE, "don't '' a\tb " + "x" * 31) == ["don't", "a\tb", "x" * 31]
 
