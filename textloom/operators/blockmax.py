@@ -18,8 +18,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textloom.functions.runtime import materialize
-from textloom.functions.tokens import STRICT, Profile, term_frequencies
-from textloom.operators.bm25 import B, K, inverse_frequencies, lengths
+from textloom.functions.tokens import STRICT, Profile, counted_terms
+from textloom.operators.bm25 import B, K, inverse_frequencies
 from textloom.sources.store import load, save
 
 #: Ids in a block, and digits of a score; what differs less counts as a tie.
@@ -49,21 +49,24 @@ class BlockMaxIndex:
     @classmethod
     def store(cls, docs: DataFrame, path: str, profile: Profile = STRICT) -> BlockMaxIndex:
         """Tokenize ``docs`` (doc_id, an integer, and text) once and write the index."""
-        tf = materialize(term_frequencies(docs, profile))
-        dl = materialize(lengths(tf))
-        mean = dl.agg(F.avg("dl")).first()[0] or 1.0
+        tf = materialize(counted_terms(docs, profile))
+        mean = tf.where("head").agg(F.avg("dl")).first()[0] or 1.0
         n = F.col("tf").cast("double")
         part = n * (K + 1) / (n + K * (1 - B + B * F.col("dl") / F.lit(mean)))
         block = F.floor(F.col("doc_id") / BLOCK).alias("block")
-        save(tf.join(dl, "doc_id").select("word", block, "doc_id", part.alias("part")), f"{path}/postings", ["word", "block"])
-        postings = load(docs.sparkSession, f"{path}/postings")
-        save(postings.groupBy("word", "block").agg(F.max("part").alias("top")), f"{path}/blocks", "word")
+        rows = tf.where("doc_id is not null").select("word", block, "doc_id", part.alias("part"))
+        # A word's part of a block lies in one range, so that its top is told there.
+        placed = rows.repartitionByRange("word", "block").sortWithinPartitions("word", "block")
+        same = Window.partitionBy("word", "block")
+        marked = placed.select("*", F.max("part").over(same).alias("top"), (F.min("doc_id").over(same) == F.col("doc_id")).alias("lead"))
+        save(marked, f"{path}/postings")
         save(inverse_frequencies(tf, docs.count()).select("word", "idf"), f"{path}/words", "word")
         return cls.load(docs.sparkSession, path)
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> BlockMaxIndex:
-        return cls(*(load(spark, f"{path}/{name}") for name in ("postings", "blocks", "words")))
+        rows = load(spark, f"{path}/postings")
+        return cls(rows.select("word", "block", "doc_id", "part"), rows.where("lead").select("word", "block", "top"), load(spark, f"{path}/words"))
 
     def weighted(self, terms: DataFrame) -> DataFrame:
         """query_id, word, weight: what a tf part of the word counts in the query."""

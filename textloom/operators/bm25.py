@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.functions.runtime import materialize
-from textloom.functions.tokens import STRICT, Profile, term_frequencies, tokens
+from textloom.functions.tokens import STRICT, Profile, counted_terms, term_frequencies, tokens
 from textloom.sources.store import load, save
 
 K, B = 2.0, 0.75
@@ -50,9 +50,9 @@ class Bm25Index:
     @classmethod
     def store(cls, docs: DataFrame, path: str, profile: Profile = STRICT) -> Bm25Index:
         """Tokenize once and write the index; terms are sorted, so that a query reads few."""
-        tf = materialize(term_frequencies(docs, profile))
-        save(tf, f"{path}/tf", "word")
-        save(lengths(tf), f"{path}/lengths")
+        tf = materialize(counted_terms(docs, profile))
+        save(tf.select("doc_id", "word", "tf"), f"{path}/tf", "word")
+        save(tf.where("head").select("doc_id", "dl"), f"{path}/lengths")
         save(docs.agg(F.count(F.lit(1)).alias("documents")), f"{path}/documents")
         return cls.load(docs.sparkSession, path)
 
