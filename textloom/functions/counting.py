@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 
 from textloom.llm.pieces import Bounded
 
-#: Bytes of texts counted together, and tokens of a worker's memo.
-SLICE, MEMO = 16 << 20, 500_000
+#: Bytes of texts counted together, tokens of a worker's memo, and bytes of counts listed together.
+SLICE, MEMO, LISTED = 16 << 20, 500_000, 64 << 20
 #: Python and Java agree on letters below.
 SETTLED = "\u0370"
 
@@ -213,3 +213,36 @@ def counter(profile, letters: Signs, schema: pa.Schema, merged: bool) -> Callabl
             yield closed()
 
     return run
+
+
+def lister(run: Callable, schema: pa.Schema) -> Callable:
+    """Rows (word, ids, tfs) of what ``run`` of ``counter`` makes, for mapInArrow.
+
+    A list holds what of its word lies in about ``LISTED`` bytes of a task's counts, in their
+    order, so that a word of all documents has many lists of a bounded size.
+    """
+
+    def column(counts: pa.Table, name: str) -> pa.Array:
+        return counts.column(name).combine_chunks()
+
+    def listed(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        counts = pa.Table.from_batches(held).combine_chunks()
+        coded = column(counts, "word").dictionary_encode()
+        of = coded.indices.to_numpy()
+        order = pa.array(np.argsort(of, kind="stable"))
+        ends = pa.array(np.concatenate([[0], np.cumsum(np.bincount(of))]), pa.int32())
+        lists = [pa.ListArray.from_arrays(ends, column(counts, name).take(order)) for name in ("doc_id", "tf")]
+        return pa.record_batch([c.cast(f.type) for c, f in zip([coded.dictionary, *lists], schema)], schema)
+
+    def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for counts in run(batches):
+            held.append(counts.select(["doc_id", "word", "tf"]))
+            size += held[-1].nbytes
+            if size >= LISTED:
+                yield listed(held)
+                held, size = [], 0
+        if held:
+            yield listed(held)
+
+    return lists

@@ -6,9 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def save(df: DataFrame, path: str, sort_by: str | list[str] | None = None, mode: str = "overwrite") -> None:
-    """Write an index frame, compressed; sorted in files by columns that lookups filter."""
+    """Write an index frame, compressed; sorted in files by columns that lookups filter.
+
+    Rows are dealt by the first of them, whose statistics of pages leave the rest of a file unread.
+    Ranges would have to be sampled first, which computes all of ``df`` once more.
+    """
     keys = [sort_by] if isinstance(sort_by, str) else sort_by
-    out = df.repartitionByRange(*keys).sortWithinPartitions(*keys) if keys else df
+    out = df.repartition(keys[0]).sortWithinPartitions(*keys) if keys else df
     out.write.mode(mode).option("compression", "zstd").parquet(path)
 
 
