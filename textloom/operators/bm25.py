@@ -51,7 +51,7 @@ class Bm25Index:
     def store(cls, docs: DataFrame, path: str, profile: Profile = STRICT) -> Bm25Index:
         """Tokenize once and write the index; terms are sorted, so that a query reads few."""
         tf = materialize(counted_terms(docs, profile))
-        save(tf.select("doc_id", "word", "tf"), f"{path}/tf", "word")
+        save(tf.select("doc_id", "word", "tf"), f"{path}/tf", "word", ranges=True)
         save(tf.where("head").select("doc_id", "dl"), f"{path}/lengths")
         save(docs.agg(F.count(F.lit(1)).alias("documents")), f"{path}/documents")
         return cls.load(docs.sparkSession, path)
